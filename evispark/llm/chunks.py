@@ -9,11 +9,12 @@ remembered ids. ``tests/llm`` holds this against the library's encoding of whole
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
 #: Distinct chunks remembered by a worker; beyond that the memo starts anew.
-MEMO = 700_000
+MEMO = 1_100_000
 
 _READY: dict[str, "ChunkEncoder"] = {}
 
@@ -44,7 +45,7 @@ class ChunkEncoder:
     def _library(self, pieces: list[bytes]) -> list[bytes]:
         got = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
         ids = [x.ids for x in got]
-        flat = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
         out, at = [], 0
         for x in ids:
             out.append(flat[at : (at := at + 4 * len(x))])
@@ -57,9 +58,7 @@ class ChunkEncoder:
         stem plus those of the punctuation, since the tokenizer's pattern splits there.
         """
         memo, new, stems = self.memo, [], {}
-        for c in chunks:
-            if c in memo:
-                continue
+        for c in chunks.difference(memo):
             stem = c.rstrip(_TRAIL)
             if stem and stem is not c and len(stem) != len(c) and stem[-1] in _PLAIN:
                 stems[c] = (stem, c[len(stem) :])

@@ -53,10 +53,9 @@ class Slots:
             self.memo.clear()
         split = [(t or "").lower().encode().split() for t in texts]
         memo = self.memo
-        for c in set().union(*split) if split else ():
-            if c not in memo:
-                word = c.strip(_EDGES)
-                memo[c] = xxhash.xxh3_64_intdigest(word) | 1 if word else 0
+        for c in set().union(*split).difference(memo):
+            word = c.strip(_EDGES)
+            memo[c] = xxhash.xxh3_64_intdigest(word) | 1 if word else 0
         get = memo.__getitem__
         out = [np.fromiter(map(get, s), np.uint64, len(s)) for s in split]
         return [h[h > 0] for h in out]
