@@ -1,4 +1,4 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from evispark.plans import evidence_queries, page_queries, rollup_queries, text_queries  # noqa: F401
+from evispark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
