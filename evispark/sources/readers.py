@@ -126,7 +126,7 @@ def documents(spark: SparkSession, path: str | None = None, pasted: list[str] |
 
 def addresses(text: Column) -> Column:
     """Addresses in free text: 'https:/x' repaired, run-together ones parted, each once."""
-    fixed = F.regexp_replace(text, r"(?i)\b(https?):/+(?=[^/\s])", "$1://")
+    fixed = F.regexp_replace(text, r"(?i)(https?):/+(?=[^/\s])", "$1://")
     parted = F.regexp_replace(fixed, r"(?i)(?<=\S)(?=https?://)", " ")
     found = F.regexp_extract_all(parted, F.lit(r"(?i)https?://[^\s,;<>\"'\)\]]+"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))
