@@ -13,11 +13,11 @@ from itertools import chain
 
 import numpy as np
 
+from .common import held
+
 #: Distinct chunks remembered by a worker; beyond that the memo starts anew.
 MEMO = 1_100_000
 
-_READY: dict[str, "ChunkEncoder"] = {}
-
 _TRAIL = b",.!?;:"
 _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -38,9 +38,7 @@ class ChunkEncoder:
 
     @classmethod
     def at(cls, path: str) -> "ChunkEncoder":
-        if path not in _READY:
-            _READY[path] = cls(path)
-        return _READY[path]
+        return held(path, lambda: cls(path))
 
     def _library(self, pieces: list[bytes]) -> list[bytes]:
         got = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)

@@ -34,6 +34,18 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """The one large object that a Python worker keeps between tasks: workers are used again, and
+    what an earlier operator kept there (a model, a memo) goes when another one starts."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

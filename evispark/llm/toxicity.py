@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import held, prepare
 
 SLOTS = 1 << 20
 PER_CLASS = 3_000
@@ -37,8 +37,6 @@ MEMO = 600_000
 _EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
-_WORKER: dict[str, "Scorer"] = {}
-
 
 class Slots:
     """Hashed features of texts, with a memo of word hashes."""
@@ -140,10 +138,7 @@ class Scorer:
 
 
 def _worker(model: Weights) -> Scorer:
-    if model.name not in _WORKER:
-        _WORKER.clear()
-        _WORKER[model.name] = Scorer(model)
-    return _WORKER[model.name]
+    return held(model.name, lambda: Scorer(model))
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int, train_chars: int):
