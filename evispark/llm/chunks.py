@@ -18,6 +18,9 @@ from .common import held
 #: Distinct chunks remembered by a worker; beyond that the memo starts anew.
 MEMO = 1_100_000
 
+#: Chunks encoded in one call: the library's results are far larger than the ids.
+BLOCK = 8192
+
 _TRAIL = b",.!?;:"
 _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -65,8 +68,9 @@ class ChunkEncoder:
         if stems:
             more = {x for pair in stems.values() for x in pair} - memo.keys() - set(new)
             new.extend(more)
-        if new:
-            memo.update(zip(new, self._library(new)))
+        for a in range(0, len(new), BLOCK):
+            some = new[a : a + BLOCK]
+            memo.update(zip(some, self._library(some)))
         for c, (stem, tail) in stems.items():
             memo[c] = memo[stem] + memo[tail]
 

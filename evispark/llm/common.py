@@ -22,7 +22,7 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 SPACES = "[\\x20\\x09-\\x0D]"
 
 #: Most Arrow bytes handed to a Python worker at once.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -46,6 +46,25 @@ def held(name: str, make):
     return _HELD[name]
 
 
+def release() -> None:
+    """Give a Python worker's free memory back: idle workers stay for a minute beside the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def hash_share(share: float, *key) -> Column:
+    """True for about ``share`` of all keys, the ones with the least hash."""
+    return F.pmod(F.xxhash64(F.lit("share"), *key), F.lit(1 << 20)) < F.lit(math.ceil(min(1.0, share) * (1 << 20)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

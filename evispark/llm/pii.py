@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import hash_share, prepare, written
 
 KINDS = ["email", "ip", "card", "phone"]
 SAMPLE = 6_000
@@ -231,7 +231,9 @@ def detect(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spans = found.select(F.explode("spans").alias("s")).select("s.*")
     counts = [tuple(r) for r in spans.groupBy("kind", "pattern").count().collect()]  # 4 * 81 rows at most
     post, _ = reliabilities(counts)
-    few = spans.orderBy(F.xxhash64("features", "start"), "start", "end").limit(sample)
+    # Spans of about four times the sample at most are ranked, however many there are.
+    ranked = spans.where(hash_share(4 * sample / max(1, sum(c[2] for c in counts)), "features", "start"))
+    few = ranked.orderBy(F.xxhash64("features", "start"), "start", "end").limit(sample)
     rows = [(r[0], post[(r[1], r[2])]) for r in few.select("features", "kind", "pattern").collect()]
     weights = found.sparkSession.sparkContext.broadcast(train(rows))  # FEATURES numbers
 

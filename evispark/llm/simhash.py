@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_pairs, components, least_roots, prepare, written
+from .common import chunk_pairs, components, least_roots, prepare, release, written
 
 SHINGLE = 4
 SEED = 42
@@ -65,9 +65,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for batch in batches:
             got = np.fromiter((fingerprint(t, shingle) for t in batch.to_pylist()), np.uint64, len(batch))
             yield pa.array(got.view(np.int64), pa.int64())
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text").cast("string")).alias("fp"))
 
@@ -153,6 +155,7 @@ def links(points: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -
             member, root = forest(fps, part, int(keys[2]), int(keys[3]), radius)
             if len(member):
                 yield pa.RecordBatch.from_arrays([pa.array(fps[member]), pa.array(fps[root])], ["a", "b"])
+        release()
 
     placed = dealt.select(*task, "fp", "part").repartition(*task).sortWithinPartitions(*task)
     return placed.mapInArrow(search, "a long, b long")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held, prepare
+from .common import hash_share, held, prepare
 
 SLOTS = 1 << 20
 PER_CLASS = 3_000
@@ -146,9 +146,11 @@ def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: in
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(learn_from, F.lit(False)))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id").asc(), F.col("doc_id").asc()]
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = None
     for k in (0, 1):
-        part = known.where(F.col("toxic") == k).orderBy(*order).limit(per_class)
+        part = known.where((F.col("toxic") == k) & hash_share(4 * per_class / max(1, sizes.get(k, 0)), "doc_id"))
+        part = part.orderBy(*order).limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # 2 * per_class ids at most; rows that repeat an id count once.
     fit = docs.where(F.col("text").isNotNull() & (F.length("text") <= train_chars)).select("doc_id", "text")
