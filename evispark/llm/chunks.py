@@ -35,6 +35,8 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
         self.limit = memo
+        self.word_end = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.word_end[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         ends = [i for t, i in self.library.get_vocab().items() if (x := t.removesuffix("</w>")) != t and x and x[0] in ".!?"]
         self.sentence_end = np.zeros(self.library.get_vocab_size() + 1, bool)
         self.sentence_end[ends] = True
@@ -43,6 +45,17 @@ class ChunkEncoder:
     def at(cls, path: str) -> "ChunkEncoder":
         return held(path, lambda: cls(path))
 
+    def _words(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces that are one run of letters each: the tokenizer's pattern keeps such a
+        run whole, and only its last token ends a word, so one call takes them all. A piece that its
+        normaliser splits shows in the count of ends."""
+        ids = np.array(self.library.encode_batch_fast([b" ".join(pieces).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.nonzero(self.word_end[ids])[0] + 1
+        if len(ends) != len(pieces):
+            return self._library(pieces)
+        flat, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def _library(self, pieces: list[bytes]) -> list[bytes]:
         got = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
         ids = [x.ids for x in got]
@@ -68,9 +81,11 @@ class ChunkEncoder:
         if stems:
             more = {x for pair in stems.values() for x in pair} - memo.keys() - set(new)
             new.extend(more)
-        for a in range(0, len(new), BLOCK):
-            some = new[a : a + BLOCK]
-            memo.update(zip(some, self._library(some)))
+        plain = [c for c in new if c.decode().isalpha()]
+        other = set(new).difference(plain)
+        for some, encode in ((plain, self._words), (list(other), self._library)):
+            for a in range(0, len(some), BLOCK):
+                memo.update(zip(some[a : a + BLOCK], encode(some[a : a + BLOCK])))
         for c, (stem, tail) in stems.items():
             memo[c] = memo[stem] + memo[tail]
 
