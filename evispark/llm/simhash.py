@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_pairs, components, least_roots, prepare, release, written
+from .common import chunk_pairs, components, prepare, release, written
 
 SHINGLE = 4
 SEED = 42
@@ -94,15 +94,16 @@ class Tree:
             for d, share in zip(far[np.concatenate([[0], cuts])].tolist(), np.split(rest, cuts)):
                 self.edges[d] = Tree(fps, share)
 
-    def search(self, fps: np.ndarray, queries: np.ndarray, at: np.ndarray, radius: int, out: list) -> None:
-        """Append (query numbers, point) for all points within ``radius``; ``at`` numbers ``queries``."""
+    def search(self, fps: np.ndarray, queries: np.ndarray, at: np.ndarray, radius: int, join) -> None:
+        """Call ``join(query numbers, point)`` for all points with queries within ``radius``; ``at``
+        numbers ``queries``."""
         stack = [(self, at)]
         while stack:
             node, ask = stack.pop()
             far = np.bitwise_count(queries[ask] ^ fps[node.at]).astype(np.int64)
             near = ask[far <= radius]
             if len(near):
-                out.append((near, node.at))
+                join(near, node.at)
             for edge, child in node.edges.items():
                 follow = ask[(far >= edge - radius) & (far <= edge + radius)]
                 if len(follow):
@@ -115,15 +116,15 @@ def forest(fps: np.ndarray, part: np.ndarray, lo: int, hi: int, radius: int) ->
     mine, theirs = np.nonzero(part == lo)[0], np.nonzero(part == hi)[0]
     if not len(mine) or not len(theirs):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found: list[tuple[np.ndarray, int]] = []
-    Tree(fps, mine).search(fps, fps, theirs, radius, found)
-    left = np.concatenate([near for near, _ in found]) if found else np.zeros(0, np.int64)
-    right = np.repeat([at for _, at in found], [len(near) for near, _ in found]) if found else left
-    apart = left != right
-    left, right = left[apart], right[apart]
-    if not len(left):
-        return left, right
-    root = np.array(least_roots(len(fps), left, right))
+    root = np.arange(len(fps))  # the least row of each row's component; links aren't kept
+
+    def join(near: np.ndarray, at: int) -> None:
+        seen = root[near]
+        if (seen != root[at]).any():
+            labels = np.unique(np.append(seen, root[at]))
+            root[np.isin(root, labels)] = labels[0]
+
+    Tree(fps, mine).search(fps, fps, theirs, radius, join)
     member = np.nonzero(root != np.arange(len(fps)))[0]
     return member, root[member]
 
