@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, prepare, written
+from .common import hash_share, prepare, release, written
 
 KINDS = ["email", "ip", "card", "phone"]
 SAMPLE = 6_000
@@ -44,9 +44,10 @@ ACCEPT = 0.5
 CONTEXT = 40
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# Possessive where nothing follows: a run of any length keeps no state to go back to.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
@@ -162,6 +163,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         )
         for batch in batches:
             yield pa.array([_spans(t or "") for t in batch.to_pylist()], kind)
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), find(F.col("text").cast("string")).alias("spans"))
 
