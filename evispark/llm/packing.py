@@ -128,21 +128,20 @@ class Block:
 def document_cuts(encoder: ChunkEncoder, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids with the end id, candidate cuts, their penalties) of one document."""
     ids = np.frombuffer(b"".join(encoded) + END_ID.to_bytes(4, "little"), "<u4")
-    ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded))) // 4
-    ends = ends[np.diff(ends, prepend=0) > 0]
+    sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+    ends = np.cumsum(sizes[sizes > 0]) >> 2
     if not len(ends):
         return ids, np.array([len(ids)]), np.zeros(1, np.int64)
     sentence = encoder.sentence_end[ids[ends - 1]]
-    wide = np.diff(ends[sentence], prepend=0)
-    keep = sentence.copy()
-    if not len(wide) or wide.max(initial=0) > SPARSE or len(ids) - ends[sentence][-1] > SPARSE:
+    full, keep = ends[sentence], sentence
+    if not len(full) or full[0] > SPARSE or (full[1:] - full[:-1]).max(initial=0) > SPARSE or len(ids) - full[-1] > SPARSE:
         block = ends // SPARSE  # the last chunk end of each stretch without a sentence end
         last = np.append(block[1:] != block[:-1], True)
-        keep |= last
-    pos = ends[keep]
-    penalty = np.where(sentence[keep], SENTENCE_CUT, OTHER_CUT)
-    inner = pos < len(ids)
-    return ids, np.append(pos[inner], len(ids)), np.append(penalty[inner], 0)
+        keep = sentence | last
+    # Chunks end before the end id, so the document's end is one cut more.
+    pos, penalty = np.concatenate((ends[keep], [len(ids)])), np.zeros(int(keep.sum()) + 1, np.int64)
+    penalty[:-1] = np.where(sentence[keep], SENTENCE_CUT, OTHER_CUT)
+    return ids, pos, penalty
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, block: int = BLOCK) -> DataFrame:
@@ -171,8 +170,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, block: int = BLOCK)
                     else:
                         stop = int(pos[max(0, np.searchsorted(pos, start + room, "right") - 1)])
                         stop = stop if stop > start else start + room
-                    inside = (pos > start) & (pos <= stop)
-                    where, cost = pos[inside] - start, penalty[inside]
+                    where, cost = pos, penalty
+                    if stop - start < total:
+                        inside = (pos > start) & (pos <= stop)
+                        where, cost = pos[inside] - start, penalty[inside]
                     if not len(where) or where[-1] != stop - start:
                         where, cost = np.append(where, stop - start), np.append(cost, OTHER_CUT)
                     now.add(doc_id, start, ids[start:stop], total, where, cost)
