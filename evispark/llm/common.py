@@ -104,6 +104,31 @@ def id_part(column: Column, parts: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % parts
 
 
+#: Names that no table of documents has.
+_ID, _TEXT, _SIZE = "__stay_id__", "__stay_text__", "__stay_size__"
+
+
+def rows_that_stay(docs: DataFrame, text_key: Column, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, text_key, kept: one row per row of ``docs``) keeps.
+
+    Rows are told apart by doc_id, where null equals null, and ``text_key``. ``decided`` keeps at
+    most one row of each such pair; of rows that share a kept one, a row with the longest text stays.
+    """
+    each = decided.groupBy(F.col("doc_id").alias(_ID), F.col("text_key").alias(_TEXT))
+    each = written(each.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "kept")
+    marked = docs.withColumn(_TEXT + "2", text_key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(_ID)) & (F.col(_TEXT + "2") == F.col(_TEXT))
+    left = marked.join(each.where("NOT stays").select(_ID, _TEXT), same, "left_anti")
+    again = each.where("stays AND n > 1").select(_ID, _TEXT)
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(again, same, "left_anti").select(*docs.columns)
+    size = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rest = left.join(again, same, "left_semi").select(*docs.columns, F.col(_TEXT + "2"), size.alias(_SIZE))
+    rest = rest.groupBy(F.col("doc_id").alias(_ID), _TEXT + "2").agg(F.max_by(F.struct(*docs.columns), _SIZE).alias("row"))
+    return once.unionByName(rest.select("row.*"))
+
+
 def in_id_order(df: DataFrame, *ties: Column) -> DataFrame:
     """Range-partitioned and sorted by doc_id (nulls first); rows of one id may be split by ``ties``."""
     keys = [F.col("doc_id").asc_nulls_first(), *(t.asc() for t in ties)]

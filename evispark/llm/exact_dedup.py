@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, prepare, written
+from .common import SPACES, prepare, rows_that_stay, written
 
 BLOCK = 4096
 BUCKETS = 1 << 20
@@ -138,3 +138,9 @@ def duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         (F.col("row") == F.col("best.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def representatives(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` of which each group of equal texts keeps one, the one that is ``kept``."""
+    got = duplicates(docs, block).select("doc_id", F.col("text_sha256").alias("text_key"), "kept")
+    return rows_that_stay(docs, F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256), got)

@@ -27,10 +27,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_pairs, components, prepare, release, written
+from .common import chunk_pairs, components, prepare, release, rows_that_stay, written
 
 SHINGLE = 4
 SEED = 42
@@ -59,8 +59,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: Column) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and ``more`` of every row."""
     prepare(docs.sparkSession)
 
     @F.arrow_udf("long")
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.array(got.view(np.int64), pa.int64())
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text").cast("string")).alias("fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text").cast("string")).alias("fp"), *more)
 
 
 class Tree:
@@ -192,26 +192,33 @@ def _cut(columns: np.ndarray):
         yield columns[:4, a], columns[4, a:b], columns[5, a:b]
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id (least doc_id reachable by links), one row per row."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+def _placed(prints: DataFrame, key: list[str], radius: int, shard: int) -> DataFrame:
+    """``prints`` with ``first``: of the rows that links reach, the least by doc_id (nulls last) and ``key``."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)).alias("least")
+    points = written(prints.groupBy("fp").agg(least), "points")
     roots = components(links(points.select("fp"), points.count(), radius, shard))
     placed = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     placed = placed.withColumn("root", F.coalesce("root", "fp"))
-    first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(first, "root").select("fp", "component_id")
-    return prints.join(placed, "fp").select(
+    first = placed.groupBy("root").agg(F.min("least").alias("first"))
+    placed = placed.join(first, "root").select("fp", "first")
+    return prints.join(placed, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id (least doc_id reachable by links), one row per row."""
+    prints = written(fingerprints(docs, shingle), "fingerprints")
+    return _placed(prints, [], radius, shard).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
+        F.col("first.doc_id").alias("component_id"),
     )
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` of which each component keeps its least doc_id (one row of it; rows with
-    a null doc_id stay, as they can't be named)."""
-    got = near_duplicates(docs, shingle, radius)
-    drop = got.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    return kept
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """The rows of ``docs`` of which each component keeps one: the row with the least doc_id (nulls
+    last) and, of several texts with that id, the one whose hash is least."""
+    text_key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    prints = written(fingerprints(docs, shingle, text_key.alias("text_key")), "fingerprints")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    got = _placed(prints, ["text_key"], radius, shard).select("doc_id", "text_key", first.alias("kept"))
+    return rows_that_stay(docs, text_key, got)
