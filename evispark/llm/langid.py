@@ -284,7 +284,9 @@ def identify(
     per_lang: int = PER_LANG,
     train_chars: int = TRAIN_CHARS,
 ) -> DataFrame:
-    """``docs`` plus lang_pred, score and switches (label changes between neighbouring words).
+    """``docs`` plus lang_pred, score, switches (label changes between neighbouring words), certainty
+    (mean of each word's largest posterior; null if a text with letters meets a model that knows no
+    language) and unlearned (the row has a label, and the model doesn't know that language).
 
     Learns from rows where ``learn_from`` is true."""
     spark = docs.sparkSession
@@ -297,31 +299,34 @@ def identify(
     )
     model = train(sample(base, F.col("_learn"), per_lang, train_chars))
     shipped = spark.sparkContext.broadcast(model)  # BUCKETS x MOST_LANGS floats at most
-    kind = "struct<lang_pred:string,score:double,words:long,switches:long>"
+    kind = "struct<lang_pred:string,score:double,words:long,switches:long,certainty:double>"
 
     @F.arrow_udf(kind)
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shipped.value
         for batch in batches:
             columns = zip(*_predict(model, batch.to_pylist()))
-            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.StructArray.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["lang_pred", "score", "words", "switches"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["lang_pred", "score", "words", "switches", "certainty"]
             )
 
     got = docs.withColumn("_lid", guess(F.col("text").cast("string")))
-    return got.withColumns({"lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score"), "switches": F.col("_lid.switches")}).drop("_lid")
+    fields = {x: F.col(f"_lid.{x}") for x in ("lang_pred", "score", "switches", "certainty")}
+    label = docs["lang"].cast("string")
+    known = label.isin(model.langs) if model.langs else F.lit(False)
+    return got.withColumns(fields | {"unlearned": label.isNotNull() & ~known}).drop("_lid")
 
 
-def _predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
+def _predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, int, int, float | None]]:
     if not model.langs:
-        return [(UND, 0.0, 0, 0) for _ in texts]
+        return [(UND, 0.0, 0, 0, None if _LETTER.search(t or "") else 0.0) for t in texts]
     out = []
     for post in _worker(model).label(texts):
         if not len(post):
-            out.append((UND, 0.0, 0, 0))
+            out.append((UND, 0.0, 0, 0, 0.0))
             continue
         mean, labels = post.mean(0), post.argmax(1)
         k = int(mean.argmax())
-        out.append((model.langs[k], float(min(1.0, mean[k])), len(post), int((labels[1:] != labels[:-1]).sum())))
+        out.append((model.langs[k], float(min(1.0, mean[k])), len(post), int((labels[1:] != labels[:-1]).sum()), float(min(1.0, post.max(1).mean()))))
     return out
