@@ -39,6 +39,8 @@ RIDGE = 0.05
 EVIDENCE = 24.0
 #: Targets are the shares raised to this power: rarer domains are raised.
 TEMPER = 0.8
+#: A row's own label is taken to be right with this probability, where labels count as evidence.
+TRUST = 0.9999
 
 
 def words(text: Column) -> Column:
@@ -69,11 +71,14 @@ class Classifier:
         """Summed log-likelihood of each domain."""
         return [_looked_up(bucketed, constant(row, "array<double>")) for row in self.table]
 
-    def posterior(self, bucketed: Column) -> Column:
-        """array<double> in the order of ``domains``."""
+    def posterior(self, bucketed: Column, label: Column | None = None) -> Column:
+        """array<double> in the order of ``domains``; a ``label`` that is no domain counts for none."""
         n = F.greatest(F.lit(1.0), F.size(bucketed) / F.lit(EVIDENCE))
-        logits = F.array(*[F.lit(p) + e / n for p, e in zip(self.prior, self.evidence(bucketed))])
-        return logits
+        logits = [F.lit(p) + e / n for p, e in zip(self.prior, self.evidence(bucketed))]
+        if label is not None:
+            right, wrong = math.log(TRUST), math.log((1 - TRUST) / max(1, len(self.domains) - 1))
+            logits = [x + F.when(label == d, right).when(label.isin(self.domains), wrong).otherwise(0.0) for x, d in zip(logits, self.domains)]
+        return F.array(*logits)
 
 
 def normalise(logits: Column) -> Column:
@@ -81,11 +86,12 @@ def normalise(logits: Column) -> Column:
     return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, y: a + y))
 
 
-def train(docs: DataFrame, label: str = "lang", per_domain: int = PER_DOMAIN) -> Classifier:
-    """Fit the table on at most ``per_domain`` ids of each of the MOST_DOMAINS commonest labels."""
+def train(docs: DataFrame, label: str = "lang", per_domain: int = PER_DOMAIN, most: int | None = MOST_DOMAINS) -> Classifier:
+    """Fit the table on at most ``per_domain`` ids of each of the ``most`` commonest labels (None: of all)."""
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     known = known.select("doc_id", F.col(label).cast("string").alias("domain"), "text")
-    counts = known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS).collect()
+    counts = known.groupBy("domain").count().orderBy(F.desc("count"), "domain")
+    counts = (counts if most is None else counts.limit(most)).collect()
     if not counts:
         return Classifier([], [], [])
     domains = sorted(r["domain"] for r in counts)
@@ -94,19 +100,21 @@ def train(docs: DataFrame, label: str = "lang", per_domain: int = PER_DOMAIN) ->
     ids = known.where(F.col("domain").isin(domains)).select("domain", "doc_id").distinct()
     first = W.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = ids.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= per_domain).drop("_k")
-    fit = known.join(F.broadcast(ids), ["domain", "doc_id"])  # per_domain * MOST_DOMAINS ids at most
+    fit = known.join(F.broadcast(ids), ["domain", "doc_id"])  # per_domain ids a domain at most
     found = fit.select("domain", F.explode(buckets(F.col("text"))).alias("bucket")).groupBy("domain", "bucket").count()
     table = {d: [1.0] * BUCKETS for d in domains}
-    for r in found.collect():  # MOST_DOMAINS * BUCKETS rows at most
+    for r in found.collect():  # BUCKETS rows a domain at most
         table[r["domain"]][r["bucket"] - 1] += r["count"]
     log = [[round(math.log(x / sum(table[d])), 6) for x in table[d]] for d in domains]
     return Classifier(domains, [math.log(share[d]) for d in domains], log)
 
 
-def memberships(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
-    """tokens and posterior of every row, with ``keep``."""
-    got = docs.select(*keep, buckets(F.col("text")).alias("_w"))
-    got = got.select(*keep, F.size("_w").cast("long").alias("tokens"), model.posterior(F.col("_w")).alias("_l"))
+def memberships(docs: DataFrame, model: Classifier, *keep: str, label: str | None = None) -> DataFrame:
+    """tokens and posterior of every row, with ``keep``; the column ``label`` is evidence beside the text."""
+    own = [] if label is None else [F.col(label).cast("string").alias("_own")]
+    got = docs.select(*keep, buckets(F.col("text")).alias("_w"), *own)
+    logits = model.posterior(F.col("_w"), F.col("_own") if own else None)
+    got = got.select(*keep, F.size("_w").cast("long").alias("tokens"), logits.alias("_l"))
     return got.select(*keep, "tokens", normalise(F.col("_l")).alias("posterior"))
 
 
@@ -125,20 +133,23 @@ def replay(posterior: Column, weight: Column, residuals: list[list[float]], ridg
 
 
 class Fit:
-    """What ``fit_rates`` found: the classifier, the targets and the residuals to replay."""
+    """What ``fit_rates`` found: the classifier, the targets and the residuals to replay, and the
+    token shares that the last step achieved, of ``total`` tokens."""
 
     def __init__(self, model: Classifier, per_row: float, targets: list[float], residuals: list[list[float]]):
         self.model, self.per_row, self.targets, self.residuals = model, per_row, targets, residuals
+        self.total, self.shares, self.achieved = 0.0, targets, targets
 
     def rate(self, posterior: Column, tokens: Column) -> Column:
         return replay(posterior, F.least(tokens / F.lit(self.per_row), F.lit(4.0)), self.residuals)
 
 
-def fit_rates(table: DataFrame, model: Classifier, targets: dict[str, float] | None = None, steps: int = STEPS) -> Fit:
+def fit_rates(table: DataFrame, model: Classifier, targets: dict[str, float] | None = None, steps: int = STEPS, level: bool = False) -> Fit:
     """Projected-gradient least squares over ``table`` (tokens, posterior).
 
     ``targets``: token share wanted of each domain, in units of today's tokens (they may add up to
-    more than 1). Default: shares ** TEMPER, scaled so that no domain shrinks.
+    more than 1). Default: shares ** TEMPER, scaled so that no domain shrinks or, with ``level``, to
+    add up to 1, which lowers the domains that have most.
     """
     k = len(model.domains)
     if not k:
@@ -152,6 +163,7 @@ def fit_rates(table: DataFrame, model: Classifier, targets: dict[str, float] | N
     if targets is None:
         wanted = [s**TEMPER for s in share]
         scale = max(s / w for s, w in zip(share, wanted) if w) if any(wanted) else 1.0
+        scale = 1.0 / sum(wanted) if level and any(wanted) else scale
         wanted = [scale * w for w in wanted]
     else:
         wanted = [targets.get(d, s) for d, s in zip(model.domains, share)]
@@ -173,6 +185,7 @@ def fit_rates(table: DataFrame, model: Classifier, targets: dict[str, float] | N
         now = [got[f"m{j}"] / total for j in range(k)]
         if max(abs(a - b) / max(b, 1e-9) for a, b in zip(now, wanted)) < 1e-3:
             break
+    probe.total, probe.shares, probe.achieved = total, share, now
     return probe
 
 
@@ -183,26 +196,36 @@ def copies(rate: Column, *key: Column) -> Column:
     return (F.floor(rate) + (uniform < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def rates(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None = None, steps: int = STEPS) -> DataFrame:
-    """doc_id, source, tokens, domain (likeliest), membership (its posterior), rate and copies."""
-    model = train(docs, label)
+def rates(
+    docs: DataFrame, label: str = "lang", targets: dict[str, float] | None = None, steps: int = STEPS,
+    most: int | None = MOST_DOMAINS, level: bool = False, own: bool = False,
+) -> DataFrame:
+    """doc_id, source, tokens, domain (likeliest), membership (its posterior), rate and copies, and of
+    the row's domain the tokens that the table has, that are wanted and that the rates achieve.
+
+    ``own``: a row's label is evidence of its domain beside the text."""
+    model = train(docs, label, most=most)
+    totals = ["domain_tokens", "target_tokens", "achieved_tokens"]
     if not model.domains:
         return docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.size(words(F.col("text"))).cast("long").alias("tokens"),
             F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("membership"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"),
-        )
-    table = written(memberships(docs, model, "doc_id", "source"), "memberships")
-    fit = fit_rates(table, model, targets, steps)
+            *[F.lit(None).cast("double").alias(c) for c in totals],
+        )
+    table = written(memberships(docs, model, "doc_id", "source", label=label if own else None), "memberships")
+    fit = fit_rates(table, model, targets, steps, level)
     best = F.array_max("posterior")
+    at = (F.array_position("posterior", best) - 1).cast("int")
     got = table.withColumn("rate", F.round(fit.rate(F.col("posterior"), F.col("tokens")), 9))
     return got.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         "tokens",
-        F.get(F.array(*map(F.lit, model.domains)), (F.array_position("posterior", best) - 1).cast("int")).alias("domain"),
+        F.get(F.array(*map(F.lit, model.domains)), at).alias("domain"),
         F.round(best, 9).alias("membership"),
         "rate",
         copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+        *[F.get(F.array(*[F.lit(round(fit.total * x, 3)) for x in shares]), at).alias(c) for c, shares in zip(totals, (fit.shares, fit.targets, fit.achieved))],
     )
 
 
@@ -210,22 +233,29 @@ def rates(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None
 _KEY, _COPIES, _EACH = "__mixing_key__", "__mixing_copies__", "__mixing_each__"
 
 
-def mix(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, label: str = "lang", targets: dict[str, float] | None = None,
+    most: int | None = MOST_DOMAINS, level: bool = False, own: bool = False,
+) -> DataFrame:
     """The rows of ``docs``, each as many times as its copies say; its columns are unchanged.
 
-    Copies are a function of doc_id and text, so they are written as a table of those that differ
+    Copies are a function of doc_id and text (and of the label, with ``own``), so they are written as a table of those that differ
     from one copy and joined back. (A filter on them in one plan with the posteriors would be pushed
     through the projections and evaluate the posterior anew inside every lambda.)
     """
-    model = train(docs, label)
+    model = train(docs, label, most=most)
     if not model.domains:
         return docs
-    key = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    table = written(memberships(docs.withColumn(_KEY, key), model, "doc_id", _KEY), "memberships")
-    fit = fit_rates(table, model, targets)
+    key = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")), *([F.col(label).cast("string")] if own else []))
+    table = written(memberships(docs.withColumn(_KEY, key), model, "doc_id", _KEY, label=label if own else None), "memberships")
+    fit = fit_rates(table, model, targets, level=level)
     rate = F.round(fit.rate(F.col("posterior"), F.col("tokens")), 9)
     counts = written(table.select(_KEY, copies(rate, F.col("doc_id")).alias(_COPIES)), "copies")
     other = counts.where(F.col(_COPIES) != 1).dropDuplicates([_KEY])
     seen = docs.withColumn(_KEY, key).join(other, _KEY, "left")
     times = F.array_repeat(F.lit(1), F.coalesce(_COPIES, F.lit(1)).cast("int"))
     return seen.withColumn(_EACH, F.explode(times)).select(*docs.columns)
+
+
+#: The dealt mix: every source is a domain and its targets are level.
+BY_SOURCE = {"label": "source", "most": None, "level": True, "own": True}

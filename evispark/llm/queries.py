@@ -31,7 +31,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.rates(table(spark, sf_dir, "documents"))
+    return mixing.rates(table(spark, sf_dir, "documents"), **mixing.BY_SOURCE)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evispark.llm import simhash
+from evispark.llm import mixing, simhash
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,3 +82,18 @@ def test_language_stage_keeps_mixed_and_unjudged_texts(spark):
     got = {r[0] for r in corpus_pipeline.language(spark, blind, "").select("doc_id").collect()}
     want = {r[0] for r in blind.where(F.col("text").rlike("[a-zA-Z]")).select("doc_id").collect()}
     assert got >= want and -2 not in got
+
+
+def test_mixing_meets_the_targets_of_every_source(spark):
+    rows = [(k, words(k, 30), "en", "hot" if k % 2 else f"s{k % 40}", 0) for k in range(600)]  # 21 sources, one with half the rows
+    table = spark.createDataFrame(rows, KIND)
+    got = mixing.rates(table, **mixing.BY_SOURCE).toPandas()
+    assert set(got.domain) == {r[3] for r in rows} and (got.domain == got.source).all()
+    now = (got.tokens * got.rate).groupby(got.source).sum()
+    each = got.groupby("domain").first()
+    wanted = each.domain_tokens**mixing.TEMPER
+    assert ((each.target_tokens / (wanted / wanted.sum() * got.tokens.sum())) - 1).abs().max() < 1e-3
+    assert (now / each.target_tokens - 1).abs().max() < 0.05 and (each.achieved_tokens / each.target_tokens - 1).abs().max() < 0.05
+    assert now["hot"] < 0.9 * got.tokens[got.source == "hot"].sum()
+    mixed = corpus_pipeline.mix(spark, table, "").groupBy("doc_id").count().collect()
+    assert {r[0]: r[1] for r in mixed} == {r.doc_id: r.copies for r in got.itertuples() if r.copies}
