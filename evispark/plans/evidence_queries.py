@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evispark import lexicon as L
+from evispark.functions import citation
 from evispark.functions import text as T
 from evispark.operators import decide as D
 from evispark.operators import match as M
@@ -156,6 +157,14 @@ def citation_sanitize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(clean).cast("long").alias("chars"), F.sha2(clean, 256).alias("digest"))
 
 
+@query()
+def citation_snippet(spark, sf):
+    """citation_sanitize over whole texts, with the sentence that a citation shows."""
+    clean = T.unlinked(F.col("text"))
+    found = citation.snippet(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.length(clean).cast("long").alias("chars"), F.sha2(clean, 256).alias("digest"), found.alias("snippet"))
+
+
 @query(r"""
     SELECT key, count(*) AS n, max(CASE role WHEN 'user' THEN 3 WHEN 'system' THEN 2 ELSE 1 END) AS severity, min(conv_id) AS first_conv
     FROM (SELECT conv_id, role, regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS key FROM conversations)

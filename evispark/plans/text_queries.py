@@ -90,6 +90,12 @@ def slug_and_clip(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.slug(F.substring(text, 1, 80)).alias("slug"), T.clip(text, 60).alias("clipped"))
 
 
+@query()
+def slug_whole(spark, sf):
+    """slug_and_clip's slug, of whole values."""
+    return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
 @query(rf"""
     SELECT sum((n >= 6 AND NOT (n < 14 AND first IN ({L.sql_list(L.LOW_CONTEXT_PREFIXES)})) AND NOT ends_with(sentence, ':')
         AND (regexp_matches(sentence, '[.!?]$') OR n >= 12))::INT)::BIGINT AS n_sentence_like, count(*) AS n, lang
