@@ -104,6 +104,24 @@ def boilerplate_removal(spark, sf):
     return left.groupBy("page_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("p")).alias("chars"))
 
 
+#: A paragraph on more than this share of the pages is boilerplate.
+COMMON_SHARE = 0.3
+
+
+@query()
+def boilerplate_share(spark, sf):
+    """boilerplate_removal with the threshold that grows with the count of pages: a paragraph goes if
+    it is on max(2, floor(COMMON_SHARE * pages) + 1) pages or more."""
+    pages = table(spark, sf, "pages")
+    found = pages.select("page_id", F.explode(H.blocks(F.col("html"), "p|li|h1|div")).alias("p"))
+    found = found.withColumn("key", F.sha2(F.regexp_replace(F.lower("p"), "[^a-z0-9 ]", ""), 256))
+    least = pages.agg(F.greatest(F.lit(2), F.floor(F.lit(COMMON_SHARE) * F.count(F.lit(1))) + 1).alias("least"))
+    common = found.where(F.length("p") >= 40).select("key", "page_id").distinct().groupBy("key").count()
+    common = common.crossJoin(F.broadcast(least)).where("count >= least")
+    left = found.join(common.select("key"), "key", "left_anti")
+    return left.groupBy("page_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("p")).alias("chars"))
+
+
 @query(f"SELECT {_HOST} AS host, count(*) AS pages, min(page_id) AS first_page, count(DISTINCT url) AS urls FROM pages GROUP BY 1")
 def url_host_dedupe(spark, sf):
     return table(spark, sf, "pages").groupBy(H.host(F.col("url")).alias("host")).agg(

@@ -40,3 +40,19 @@ def test_noise_lines():
     for line in ("12 34", "See https://x.co for all of the details here", "# Our Great Company Values And Mission", "benefits and how we work with other people", "one two three four five", "a ----- b c d e f g h"):
         assert citation.noise_line(line, citation.cleaned(line)), line
     assert not citation.noise_line("- " + LATE, citation.cleaned("- " + LATE))
+
+
+def pages_at(spark, path, rows, kind):
+    spark.createDataFrame(rows, kind).write.parquet(f"{path}/pages.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("n", [1, 2, 10, 40])
+def test_boilerplate_share(spark, tmp_path, n):
+    shared = [f"Passage number {k} that stands on several pages of this corpus." for k in range(n + 1)]
+    texts = {i: [p for k, p in enumerate(shared) if i < k] + [f"Only page {i} has this paragraph, no other page does."] for i in range(n)}
+    rows = [(i, "http://x.co/", "".join(f"<p>{p}</p>" for p in ps)) for i, ps in texts.items()]
+    got = {r["page_id"]: r["kept"] for r in QUERIES["boilerplate_share"](spark, pages_at(spark, tmp_path, rows, "page_id long, url string, html string")).collect()}
+    least = max(2, int(n * 0.3) + 1)
+    on = {p: sum(p in ps for ps in texts.values()) for p in shared}
+    assert got == {i: sum(on.get(p, 1) < least for p in ps) for i, ps in texts.items()}
