@@ -84,6 +84,33 @@ def page_relevance(spark, sf):
     return table(spark, sf, "pages").select("page_id", score.alias("score")).where("score >= 2")
 
 
+#: Characters of a page's text that its content score reads, as in the survey's HTM-11.
+PREVIEW = 3500
+
+
+@query()
+def page_relevance_whole(spark, sf):
+    """page_relevance with its content and stage terms, and seeds whatever their score. A page is a
+    seed if it was fetched from the address it was asked for (``requested_url``, if the table has it)."""
+
+    def hits(column, words):
+        return sum((column.contains(w).cast("int") for w in words), F.lit(0))
+
+    pages, url, html = table(spark, sf, "pages"), F.col("url"), F.col("html")
+    text = H.visible(html)
+    preview = F.substring(F.lower(T.collapse(text)), 1, PREVIEW)
+    score = (
+        F.least(F.lit(5), 2 * hits(F.lower(H.path(url)), ("en", "page", "fr")))
+        + F.least(F.lit(3), hits(F.lower(H.title(html)), _WORDS))
+        + F.least(F.lit(6), hits(preview, L.CONTENT_TERMS))
+        + F.when(preview.rlike(L.STAGE_SIGNAL), 3).otherwise(0)
+        - F.least(F.lit(6), 2 * hits(F.lower(url), L.IRRELEVANT_URL))
+        - F.when(F.length(text) < 220, 1).otherwise(0)
+    )
+    seed = F.col("requested_url").eqNullSafe(url) if "requested_url" in pages.columns else F.lit(False)
+    return pages.select("page_id", score.alias("score"), seed.alias("seed")).where("score >= 2 OR seed")
+
+
 _PARAS = rf"""
     SELECT page_id, url, p, sha256(regexp_replace(lower(p), '[^a-z0-9 ]', '', 'g')) AS key, pos FROM (
         SELECT page_id, url, unnest(range(len(b))) AS pos, unnest(list_transform(b, lambda x: {_COLLAPSE.format("regexp_replace(x, '<[^>]+>', ' ', 'g')")})) AS p

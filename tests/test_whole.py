@@ -56,3 +56,16 @@ def test_boilerplate_share(spark, tmp_path, n):
     least = max(2, int(n * 0.3) + 1)
     on = {p: sum(p in ps for ps in texts.values()) for p in shared}
     assert got == {i: sum(on.get(p, 1) < least for p in ps) for i, ps in texts.items()}
+
+
+def test_page_relevance_whole(spark, tmp_path):
+    body = "Our leave policy and overtime rules. " + "Filler words stand here. " * 20
+    plain = "Filler words stand here. " * 20
+    rows = [
+        (1, "http://x.co/a", "http://x.co/b", f"<title>Q</title><p>{body}</p>"), (2, "http://x.co/a", "http://x.co/b", f"<title>Q</title><p>{plain}</p>"),
+        (3, "http://x.co/a", "http://x.co/b", f"<title>Q</title><p>About 250 employees. {plain}</p>"), (4, "http://x.co/a", "http://x.co/a", f"<title>Q</title><p>{plain}</p>"),
+        (5, "http://x.co/a", None, f"<title>Q</title><p>{plain}</p>"),
+    ]
+    path = pages_at(spark, tmp_path, rows, "page_id long, url string, requested_url string, html string")
+    got = {r["page_id"]: (r["score"], r["seed"]) for r in QUERIES["page_relevance_whole"](spark, path).collect()}
+    assert got == {1: (2, False), 3: (3, False), 4: (0, True)}
