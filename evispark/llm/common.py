@@ -60,9 +60,9 @@ def release() -> None:
         pass
 
 
-def hash_share(share: float, *key) -> Column:
+def hash_share(share: float | Column, *key) -> Column:
     """True for about ``share`` of all keys, the ones with the least hash."""
-    return F.pmod(F.xxhash64(F.lit("share"), *key), F.lit(1 << 20)) < F.lit(math.ceil(min(1.0, share) * (1 << 20)))
+    return F.pmod(F.xxhash64(F.lit("share"), *key), F.lit(1 << 20)) < F.ceil(F.least(F.lit(1.0), share if isinstance(share, Column) else F.lit(share)) * F.lit(float(1 << 20)))
 
 
 def shared_dir(spark: SparkSession) -> str:

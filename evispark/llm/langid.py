@@ -1,25 +1,28 @@
 """Word-level language labels by a linear-chain conditional random field.
 
-A chain is a run of at most ``CHAIN`` words of one document. The score of a label sequence is the
+A word is a white-space chunk; a chunk of over ``WIDTH`` code points (text without spaces) is as many
+words as it has pieces of that width. A chain is a run of words of one document. The score of a label sequence is the
 sum of emission weights (hashed prefixes, suffixes, character 2- and 3-grams and the word itself,
 plus lexicon membership per language) and of learned transitions. Training maximises the
 conditional likelihood with forward-backward gradients and AdaGrad, on chains of which half are
 spliced from texts of different languages, so that transitions learn both staying and switching.
 Prediction runs forward-backward over every word of every text; a document's language is the one
-with the largest mean posterior over its words, and that mean is the score.
+with the largest mean posterior over its words, and that mean is the score. A text of over ``LONG``
+words is cut into chains that overlap by ``CONTEXT`` words on either side: messages are carried
+across a border by words whose own posteriors are taken from the neighbouring chain.
 
 Training reads a bounded sample of labelled rows (``per_lang`` rows of each language of at most
-``train_chars`` characters, the ones with the least hash); everything else reads all rows.
+``train_chars`` characters, the ones with the least hash; fewer rows each beyond ``TRAIN_ROWS`` in
+all); everything else reads all rows. Languages beyond the ``MOST_LANGS`` commonest are not learned:
+the model takes 0.5 MB a language and is sent to every task.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a null lang is not
 learned from; with nothing to learn from all documents are ``und``; repeated rows are predicted
-each; other columns are ignored. Words longer than ``WIDTH`` code points keep their first
-characters and their own suffixes as features.
+each; other columns are kept, but ones named like those that ``identify`` adds are replaced.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import uuid
 import zlib
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held, prepare
+from .common import hash_share, held, prepare
 
 UND = "und"
 CHAIN = 48
@@ -41,22 +44,42 @@ WIDTH = 20
 BUCKETS = 1 << 17
 PER_LANG = 150
 TRAIN_CHARS = 20_000
-MOST_LANGS = 32
+TRAIN_ROWS = 4_800
+MOST_LANGS = 256
 LEXICON = 2_000
 ROUNDS = 30
 MEMO = 400_000
-#: Words whose features are looked up at once.
-BLOCK = 8192
+#: Words whose features are looked up at once; chain cells that forward-backward takes at once.
+BLOCK, CELLS = 8192, 1 << 20
+LONG, CONTEXT = 1024, 16
 
-_LETTER = re.compile(r"[^\W\d_]")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+def has_letter(text: str) -> bool:
+    """A character of Unicode category L."""
+    return text.isalpha() or any(map(str.isalpha, text))
+
+
+def pieces(text: str | None) -> list[bytes]:
+    """White-space chunks, the ones of over WIDTH code points cut into pieces."""
+    chunks = (text or "").encode().lower().split()
+    if max(map(len, chunks), default=0) <= WIDTH:
+        return chunks
+    out: list[bytes] = []
+    for c in chunks:
+        if len(c) <= WIDTH or len(word := c.decode("utf-8", "replace")) <= WIDTH:
+            out.append(c)
+        else:
+            out += [word[a : a + WIDTH].encode() for a in range(0, len(word), WIDTH)]
+    return out
+
+
 def word_of(chunk: bytes) -> str:
     """The lower-cased word of a white-space chunk, without ASCII punctuation at its ends; empty if
     it has no letter."""
     word = unicodedata.normalize("NFC", chunk.decode("utf-8", "replace").lower().strip(_EDGES))
-    return word if _LETTER.search(word) else ""
+    return word if has_letter(word) else ""
 
 
 def features(words: list[str]) -> np.ndarray:
@@ -91,7 +114,7 @@ class Model:
 
     langs: list[str]
     weights: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS + 1, 0), np.float32))
-    lexicon: dict[str, int] = field(default_factory=dict)  # word -> bit set of languages
+    lexicon: dict[str, list[int]] = field(default_factory=dict)  # word -> numbers of languages
     lexical: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     trans: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -102,9 +125,9 @@ class Model:
         for a in range(0, len(words), BLOCK):
             some, rows = words[a : a + BLOCK], out[a : a + BLOCK]
             rows += self.weights[features(some)].sum(1)
-            bits = np.fromiter((self.lexicon.get(w, 0) for w in some), np.int64, len(some))
-            for k in range(len(self.langs)):
-                rows += ((bits >> k) & 1)[:, None] * self.lexical[k]
+            for i, w in enumerate(some):
+                if w in self.lexicon:
+                    rows[i] += self.lexical[self.lexicon[w]].sum(0)
         return out
 
 
@@ -153,7 +176,7 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> M
     vocab: dict[str, int] = {}
     chains, counts = [], [Counter() for _ in langs]
     for lang, text in rows:
-        found = [w for w in map(word_of, text.encode().split()) if w]
+        found = [w for w in map(word_of, pieces(text)) if w]
         if found:
             label = langs.index(lang)
             counts[label].update(found)
@@ -173,15 +196,16 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> M
         word[i, : len(w)], gold[i, : len(y)] = w, y
     live = np.arange(size.max())[None, :] < size[:, None]
 
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, list[int]] = {}
     for label, c in enumerate(counts):
         for w, n in c.most_common(LEXICON):
             if n >= 3:
-                lexicon[w] = lexicon.get(w, 0) | 1 << label
+                lexicon.setdefault(w, []).append(label)
     words = list(vocab)
     feats = features(words)
-    bits = np.array([lexicon.get(w, 0) for w in words])
-    member = ((bits[:, None] >> np.arange(k)) & 1).astype(float)
+    member = np.zeros((len(words), k))
+    for i, w in enumerate(words):
+        member[i, lexicon.get(w, [])] = 1
     there = feats >= 0
     flat, owner = feats[there], np.nonzero(there)[0]
     weights, lexical = np.zeros((BUCKETS + 1, k)), np.zeros((k, k))
@@ -191,18 +215,23 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> M
     inside = live[:, 1:]
     np.add.at(true_pairs, (gold[:, :-1][inside], gold[:, 1:][inside]), 1)
     first = np.bincount(gold[:, 0], minlength=k)
+    rows_at_once = max(1, 2 * CELLS // (size.max() * k))
     # Rare languages weigh as much as frequent ones: rows are sampled per language.
     for _ in range(rounds):
         vocab_emit = np.zeros((len(words), k))
         for j in range(k):
             vocab_emit[:, j] = np.bincount(owner, weights[flat, j], len(words))
         vocab_emit += member @ lexical
-        post, pairs, _ = forward_backward(vocab_emit[word], size, trans, start)
-        miss = -post
-        np.put_along_axis(miss, gold[:, :, None], np.take_along_axis(miss, gold[:, :, None], 2) + 1, 2)
-        by_word = np.stack([np.bincount(word[live], miss[live][:, j], len(words)) for j in range(k)], 1)
+        by_word, pairs, begins = np.zeros((len(words), k)), np.zeros((k, k)), first.astype(float)
+        for a in range(0, len(size), rows_at_once):
+            at = slice(a, a + rows_at_once)
+            post, some, _ = forward_backward(vocab_emit[word[at]], size[at], trans, start)
+            pairs += some
+            begins -= post[:, 0].sum(0)
+            miss = -post
+            np.put_along_axis(miss, gold[at, :, None], np.take_along_axis(miss, gold[at, :, None], 2) + 1, 2)
+            by_word += np.stack([np.bincount(word[at][live[at]], miss[live[at]][:, j], len(words)) for j in range(k)], 1)
         grad = np.stack([np.bincount(flat, by_word[owner, j], BUCKETS + 1) for j in range(k)], 1)
-        begins = first - post[:, 0].sum(0)
         for x, g, s in zip(
             (weights, lexical, trans, start), (grad, member.T @ by_word, true_pairs - pairs, begins), state
         ):
@@ -239,45 +268,76 @@ class Emissions:
 
     def label(self, texts: list[str | None]) -> list[np.ndarray]:
         """Posteriors (words, languages) of each text's words that have a letter."""
-        split = [(t or "").encode().lower().split() for t in texts]
+        split = [pieces(t) for t in texts]
         self.learn(set().union(*split))
-        get = self.at.__getitem__
+        get, k = self.at.__getitem__, len(self.model.langs)
         found = [np.fromiter(map(get, s), np.int64, len(s)) for s in split]
         found = [f[f > 0] for f in found]
         lengths = np.array([len(f) for f in found])
         flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        out = np.empty((len(flat), len(self.model.langs)))
-        starts = np.concatenate([np.arange(b, b + n, CHAIN) for b, n in zip(np.cumsum(lengths) - lengths, lengths)] or [np.zeros(0, int)]).astype(np.int64)
-        ends = np.minimum(np.append(starts[1:], len(flat)), starts + CHAIN)
-        size = ends - starts
-        for a in range(0, len(starts), 4096):
-            n = size[a : a + 4096]
-            place = starts[a : a + 4096, None] + np.arange(n.max())
+        out = np.empty((len(flat), k))
+        own, span = _spans(lengths)
+        size = span[:, 1] - span[:, 0]
+        for at in _alike(size, CELLS // max(1, k)):
+            n = size[at]
+            place = span[at, 0][:, None] + np.arange(n.max())
             live = np.arange(n.max()) < n[:, None]
-            post, _, _ = forward_backward(
-                self.rows[flat[np.where(live, place, 0)]].astype(float), n, self.model.trans, self.model.start
-            )
-            out[place[live]] = post[live]
+            post, _, _ = forward_backward(self.rows[flat[np.where(live, place, 0)]].astype(float), n, self.model.trans, self.model.start)
+            mine = live & (place >= own[at, 0][:, None]) & (place < own[at, 1][:, None])
+            out[place[mine]] = post[mine]
         return np.split(out, np.cumsum(lengths)[:-1]) if len(lengths) else []
 
 
+def _spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the words that each chain labels, and of those that it runs over."""
+    own, span, begin = [], [], 0
+    for n in lengths.tolist():
+        for a in range(0, n, LONG):
+            b = min(n, a + LONG)
+            own.append((begin + a, begin + b))
+            span.append((begin + max(0, a - CONTEXT), begin + min(n, b + CONTEXT)))
+        begin += n
+    return np.array(own, np.int64).reshape(-1, 2), np.array(span, np.int64).reshape(-1, 2)
+
+
+def _alike(size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers in groups of similar ``size`` whose padded cells are at most ``most``."""
+    order = np.argsort(size, kind="stable")
+    cuts, begin = [], 0
+    for i, n in enumerate(size[order].tolist()):
+        if i > begin and (i - begin + 1) * n > most:
+            cuts.append(i)
+            begin = i
+    return [g for g in np.split(order, cuts) if len(g)]
+
+
 def _worker(model: Model) -> Emissions:
     return held(model.name, lambda: Emissions(model))
 
 
 def sample(docs: DataFrame, learn_from: Column, per_lang: int, train_chars: int) -> list[tuple[str, str]]:
     """At most ``per_lang`` labelled whole texts of each of the ``MOST_LANGS`` commonest languages."""
-    known = docs.where(F.coalesce(learn_from, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    fit = known.where(F.col("lang").isin(langs) & (F.length("text") <= train_chars) & F.col("doc_id").isNotNull())
+    known = docs.where(F.coalesce(learn_from, F.lit(False)) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    fit = known.where(F.col("text").isNotNull() & (F.length("text") <= train_chars))
+    counts = fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    if not counts:
+        return []
+    per_lang = min(per_lang, max(10, TRAIN_ROWS // len(counts)))
+    # Only ids below a hash bound that leaves about four times as many as wanted are ranked.
+    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * per_lang / r["count"]))])[F.col("lang")]
+    near = fit.where(bound.isNotNull() & hash_share(bound, "doc_id"))
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = fit.select("lang", "doc_id").distinct()
+    ids = near.select("lang", "doc_id").distinct()
     ids = ids.select("lang", "doc_id", F.row_number().over(first).alias("_k")).where(F.col("_k") <= per_lang)
     # At most per_lang * MOST_LANGS ids; rows that repeat an id count once.
     ids = F.broadcast(ids.select("lang", "doc_id"))
     return [(r[0], r[1]) for r in fit.join(ids, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").select("lang", "text").collect()]
 
 
+#: A name that no table of documents has.
+_GOT = "__language__"
+
+
 def identify(
     docs: DataFrame,
     learn_from: Column,
@@ -311,16 +371,16 @@ def identify(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["lang_pred", "score", "words", "switches", "certainty"]
             )
 
-    got = docs.withColumn("_lid", guess(F.col("text").cast("string")))
-    fields = {x: F.col(f"_lid.{x}") for x in ("lang_pred", "score", "switches", "certainty")}
-    label = docs["lang"].cast("string")
+    got = docs.withColumn(_GOT, guess(F.col("text").cast("string")))
+    fields = {x: F.col(f"{_GOT}.{x}") for x in ("lang_pred", "score", "switches", "certainty")}
+    label = F.col("lang").cast("string")
     known = label.isin(model.langs) if model.langs else F.lit(False)
-    return got.withColumns(fields | {"unlearned": label.isNotNull() & ~known}).drop("_lid")
+    return got.withColumns(fields | {"unlearned": label.isNotNull() & ~known}).drop(_GOT)
 
 
 def _predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, int, int, float | None]]:
     if not model.langs:
-        return [(UND, 0.0, 0, 0, None if _LETTER.search(t or "") else 0.0) for t in texts]
+        return [(UND, 0.0, 0, 0, None if has_letter(t or "") else 0.0) for t in texts]
     out = []
     for post in _worker(model).label(texts):
         if not len(post):
