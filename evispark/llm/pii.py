@@ -12,9 +12,11 @@ opinion):
 
 Expectation-maximisation over the vote patterns (at most 3^4 per kind, counted over all candidates)
 estimates each labeler's reliability per kind and the posterior of each pattern. A logistic
-regression over hashed span features is then trained on a bounded sample of candidates (``SAMPLE``)
-with those posteriors as labels; it decides which candidates are added. Base matches always stay;
-an added span never overlaps one of its kind.
+regression over hashed span features is then trained with those posteriors as labels; it decides which
+candidates are added. It learns from a bounded sample of distinct feature lists: every (kind, vote
+pattern) that occurs has its share of ``SAMPLE`` and ``LEAST_OF_EACH`` lists at least, so that neither
+spans that repeat nor rare patterns leave a kind untrained. Base matches always stay; an added span
+never overlaps one of its kind, and even odds add nothing.
 
 Every pattern runs in linear time: starts inside a run that has failed are never retried.
 
@@ -28,17 +30,20 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_share, prepare, release, written
+from .common import prepare, release, written
 
 KINDS = ["email", "ip", "card", "phone"]
 SAMPLE = 6_000
+LEAST_OF_EACH = 20
 FEATURES = 1 << 14
 ACCEPT = 0.5
 CONTEXT = 40
@@ -140,12 +145,16 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     return (1 if base else -1), (1 if known else -1), cue, (-1 if glued else 1)
 
 
+_DIGITS, _UPPER, _LOWER = re.compile("[0-9]+"), re.compile("[A-Z]+"), re.compile("[a-z]+")
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[int]:
-    """Hashed: shape of the span, length, characters at its edges, words before it."""
-    span = text[start:end]
-    shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]", "9", span[:24])))
+    """Hashed: shape of the whole span (digit runs with their lengths), length (by powers of two from
+    32 on), characters at its edges, words before it."""
+    span, size = text[start:end], end - start
+    shape = _LOWER.sub("a", _UPPER.sub("A", _DIGITS.sub(lambda m: f"9{len(m[0])}", span)))
     left, right = text[start - 1 : start], text[end : end + 1]
-    names = [f"{kind}|{x}" for x in ("", f"s{shape}", f"n{min(end - start, 40)}", f"l{left if not left.isalnum() else 'x'}", f"r{right if not right.isalnum() else 'x'}", f"d{len(_only_digits(span))}", f"p{span[:2]}")]
+    names = [f"{kind}|{x}" for x in ("", f"s{shape}", f"n{size if size < 32 else 32 + size.bit_length()}", f"l{left if not left.isalnum() else 'x'}", f"r{right if not right.isalnum() else 'x'}", f"d{len(_only_digits(span))}", f"p{span[:2]}")]
     names += [f"{kind}|c{w}" for w in text[max(0, start - CONTEXT) : start].lower().split()[-3:]]
     return [zlib.crc32(n.encode()) % FEATURES for n in names]
 
@@ -170,14 +179,15 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def _spans(text: str) -> list[dict]:
     base, loose = matches(text)
-    taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}  # disjoint, by start
     rows = []
     for group, is_base in ((base, True), (loose, False)):
         for kind, a, b in group:
             if not is_base:
-                if any(a < e and s < b for s, e in taken[kind]):
+                spans, at = taken[kind], bisect_left(taken[kind], (a, b))
+                if at < len(spans) and spans[at][0] < b or at and spans[at - 1][1] > a:
                     continue
-                taken[kind].append((a, b))
+                spans.insert(at, (a, b))
             v = votes(text, kind, a, b, is_base)
             pattern = sum((x + 1) * 3**i for i, x in enumerate(v))
             rows.append({"kind": KINDS.index(kind), "start": a, "end": b, "base": is_base, "pattern": pattern, "features": features(text, kind, a, b)})
@@ -226,18 +236,32 @@ def train(sample: list[tuple[list[int], float]], rounds: int = 30, seed: int = 7
     return weights
 
 
+def _sampled(lists: DataFrame, counts: list, post: dict[tuple[int, int], float], sample: int) -> list[tuple[list[int], float]]:
+    """(features, posterior): of each (kind, pattern) the lists with the least hash, as many as its
+    quota. Only lists below a hash bound that leaves about four quotas are ranked."""
+    total = sum(r["lists"] for r in counts)
+    if not total:
+        return []
+    quota = {(r["kind"], r["pattern"]): LEAST_OF_EACH + sample * r["lists"] // total for r in counts}
+    bounds = [(r["kind"], r["pattern"], q, min(1.0, 4 * q / r["lists"])) for r in counts for q in [quota[(r["kind"], r["pattern"])]]]
+    bounds = lists.sparkSession.createDataFrame(bounds, "kind int, pattern int, quota long, share double")
+    place = F.xxhash64("features")
+    near = lists.join(F.broadcast(bounds), ["kind", "pattern"])  # 4 * 81 rows at most
+    near = near.where(F.pmod(place, F.lit(1 << 30)) <= F.col("share") * (1 << 30))
+    rank = F.row_number().over(W.partitionBy("kind", "pattern").orderBy(place, "features"))
+    few = near.withColumn("rank", rank).where("rank <= quota").orderBy("kind", "pattern", "rank")
+    return [(r[0], post[(r[1], r[2])]) for r in few.select("features", "kind", "pattern").collect()]
+
+
 def detect(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans as text."""
     prepare(docs.sparkSession)
     found = written(candidates(docs), "spans")
-    spans = found.select(F.explode("spans").alias("s")).select("s.*")
-    counts = [tuple(r) for r in spans.groupBy("kind", "pattern").count().collect()]  # 4 * 81 rows at most
-    post, _ = reliabilities(counts)
-    # Spans of about four times the sample at most are ranked, however many there are.
-    ranked = spans.where(hash_share(4 * sample / max(1, sum(c[2] for c in counts)), "features", "start"))
-    few = ranked.orderBy(F.xxhash64("features", "start"), "start", "end").limit(sample)
-    rows = [(r[0], post[(r[1], r[2])]) for r in few.select("features", "kind", "pattern").collect()]
-    weights = found.sparkSession.sparkContext.broadcast(train(rows))  # FEATURES numbers
+    spans = found.select(F.explode("spans").alias("s")).select("s.kind", "s.pattern", "s.features")
+    lists = written(spans.groupBy("kind", "pattern", "features").agg(F.count(F.lit(1)).alias("n")), "lists")
+    counts = lists.groupBy("kind", "pattern").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("lists")).collect()
+    post, _ = reliabilities([(r["kind"], r["pattern"], r["n"]) for r in counts])  # 4 * 81 rows at most
+    weights = found.sparkSession.sparkContext.broadcast(train(_sampled(lists, counts, post, sample)))  # FEATURES numbers
 
     kind = "struct<n:array<long>,sha:string,spans:string,added:long>"
 
@@ -255,7 +279,7 @@ def detect(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def _decided(spans: list[dict], weights: np.ndarray) -> dict:
     base = [s for s in spans if s["base"]]
-    more = [s for s in spans if not s["base"] and 1 / (1 + np.exp(-weights[np.unique(s["features"])].sum())) >= ACCEPT]
+    more = [s for s in spans if not s["base"] and 1 / (1 + np.exp(-weights[np.unique(s["features"])].sum())) > ACCEPT]
 
     def text(rows: list[dict]) -> str:
         rows = sorted(rows, key=lambda s: (s["kind"], s["start"], s["end"]))
