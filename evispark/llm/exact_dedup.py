@@ -7,7 +7,8 @@ same way, level by level, until each document has one name. Different blocks, an
 texts, never share a name: ranks come from comparing contents, the hash only deals the work out. Two
 documents are equal if they took the same number of levels and ended with the same name.
 
-The first level ranks all blocks inside their bucket, so the text moves once. Blocks that are very
+The blocks are written once and read by each later step. The first level ranks all blocks inside their
+bucket, so the text moves once. Blocks that are very
 common would make one bucket huge; those (found by counting hashes, at most ``1 / HOT_SHARE`` of
 them) are reduced to their distinct contents by partial aggregation, ranked, and their names joined
 back with an equi-join that the adaptive planner can split. Higher levels carry integers only and
@@ -75,10 +76,11 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
 
 
 def _name_blocks(docs: DataFrame, block: int) -> DataFrame:
-    rows = _blocks(docs, block).withColumn("_h", F.xxhash64("block"))
+    # Written once: row numbers stay what they are if a task runs again, and texts are scanned once.
+    rows = written(_blocks(docs, block).withColumn("_h", F.xxhash64("block")), "blocks")
     counts = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
     counts = written(counts.where(F.col("_n") > HOT_LEAST), "counts")
-    n = docs.count()
+    n = rows.where("place = 0").count()
     hot = [r[0] for r in counts.where(F.col("_n") > max(HOT_LEAST, int(n * HOT_SHARE))).orderBy(F.desc("_n"), "_h").limit(int(1 / HOT_SHARE)).select("_h").collect()]
     common = F.col("_h").isin(hot) if hot else F.lit(False)
     keep = ["row", "place", "blocks", "doc_id", "n", "sha", "name"]
