@@ -37,7 +37,7 @@ BLOCK = 1 << 18
 #: In units of one padding id: any sequence at all, a cut after a sentence, elsewhere.
 SEQUENCE_COST, SENTENCE_CUT, OTHER_CUT = 8, 4, 24
 #: Power-of-two lengths that a window may have without padding.
-POWERS = [1 << k for k in range(5, 11)]
+POWERS = [1 << k for k in range(11)]
 #: Chunk ends become candidate cuts where sentence ends lie farther apart than this.
 SPARSE = 64
 
