@@ -48,7 +48,7 @@ SHARD_DOCS = 2_000_000
 END_ID = 1
 _READ = 8 << 20
 
-MANIFEST = "partition int, seq int, name string, docs long, tokens long, bytes long"
+MANIFEST = "partition int, seq int, name string, docs long, tokens long, bytes long, least_id long, most_id long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -91,7 +91,8 @@ class ShardWriter:
             self._put(self.pack(part), len(part), self.sum(part))
         self.tokens += len(ids) // 4
 
-    def close(self) -> tuple[int, int, int]:
+    def close(self) -> tuple[int, int, int, int | None, int | None]:
+        """Documents, tokens, bytes, least and greatest doc_id (null: no document has one)."""
         index = struct.pack("<Q", len(self.ids))
         index += np.array([x or 0 for x in self.ids], "<i8").tobytes()
         index += np.array([x is None for x in self.ids], "u1").tobytes()
@@ -102,7 +103,8 @@ class ShardWriter:
         self.out.write(struct.pack("<II", TABLE_MAGIC, len(body) + len(foot)) + body + foot)
         self.out.close()
         self.fs.move(self.temp, self.final)
-        return len(self.ids), self.tokens, self.bytes + 8 + len(body) + len(foot)
+        named = [x for x in self.ids if x is not None]
+        return len(self.ids), self.tokens, self.bytes + 8 + len(body) + len(foot), min(named, default=None), max(named, default=None)
 
 
 @dataclass
@@ -197,8 +199,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         encoder, out, seq, rows = ChunkEncoder.at(tokenizer), None, 0, []
 
         def close():
-            n, tokens, size = out.close()
-            rows.append((part, seq, out.final.rsplit("/", 1)[1], n, tokens, size))
+            rows.append((part, seq, out.final.rsplit("/", 1)[1], *out.close()))
 
         for batch in batches:
             ids, texts_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -212,8 +213,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         if out is not None:
             close()
         if rows:
-            names = ["partition", "seq", "name", "docs", "tokens", "bytes"]
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            names = [x.split()[0] for x in MANIFEST.split(", ")]
+            kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     ordered = in_id_order(texts(docs), F.xxhash64("text"))
@@ -257,10 +258,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
-    """Ids of the documents named by the caller: (doc_id, ids array<int>). Each task opens one
-    shard's index and decompresses the wanted frames alone."""
+    """Ids of the documents named by the caller: (doc_id, ids array<int>). Only shards whose range of
+    doc_ids holds one are opened, and only the wanted frames decompressed."""
     prepare(spark)
     wanted = np.array(sorted(set(doc_ids)), np.int64)
+    if not len(wanted):
+        return spark.createDataFrame([], "doc_id long, ids array<int>")
 
     def read(batches):
         for batch in batches:
@@ -270,4 +273,7 @@ def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
                     ids = pa.array([shard.document(at).astype("i4")], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([pa.array([int(shard.doc_ids[at])]), ids], ["doc_id", "ids"])
 
-    return manifest(spark, folder).select("name").mapInArrow(read, "doc_id long, ids array<int>")
+    asked = F.broadcast(spark.createDataFrame([(int(x),) for x in wanted], "_wanted long"))  # the caller's list
+    shards = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    shards = shards.join(asked, F.col("_wanted").between(F.col("least_id"), F.col("most_id")), "left_semi")
+    return shards.select("name").repartition("name").mapInArrow(read, "doc_id long, ids array<int>")
