@@ -1,9 +1,10 @@
 """Shards by fixed virtual slots: records hash into thousands of slots, a versioned map places slots.
 
-A record's slot never changes. The map from slots to shards is data: version 1 spreads the slots by
-their bytes (largest first onto the lightest shard); later versions are edits of it, moving only
-the slots that a rebalancing or another shard asks for. Law: ``bytes``, the shards' sizes are near
-equal.
+A record's slot never changes. The map from slots to shards is data. Version 1, made before anything
+is known of the records, deals the slots evenly; each later version is an edit of the one before that
+moves only the slots that a rebalancing by measured bytes, or another shard, asks for. ``shard`` loads
+the latest version of its folder, stores the edit as the next one if any slot moves, and places
+records by that. Law: ``bytes``, the shards' sizes are near equal.
 
 Per-slot bytes are partial aggregates and there are ``SLOTS`` of them at most, so the map is made on
 the driver. A record's place in its shard is its slot's base (prefix sums over slots) plus its place
@@ -17,8 +18,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,34 +37,30 @@ def slot_of(slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))), F.lit(slots)).cast("int")
 
 
-def first_map(sizes: dict[int, int], slots: int = SLOTS, shards: int = SHARDS) -> list[int]:
-    """Shard of every slot: slots by falling bytes, each onto the shard with the least so far."""
-    heap = [(0, s) for s in range(shards)]
-    out = [0] * slots
-    for slot in sorted(range(slots), key=lambda s: (-sizes.get(s, 0), s)):
-        load, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (load + sizes.get(slot, 0), shard))
-    return out
+def first_map(slots: int = SLOTS, shards: int = SHARDS) -> list[int]:
+    """Shard of every slot, before any record is seen."""
+    return [slot % shards for slot in range(slots)]
 
 
-def rebalanced(placed: list[int], sizes: dict[int, int], shards: int, slack: float = 0.01) -> list[int]:
-    """An edit of the map: slots move from the heaviest shard to the lightest, largest that fits
-    first, until they are within ``slack`` of the mean or no move helps. Also fills new shards."""
+def rebalanced(placed: list[int], sizes: dict[int, int], shards: int, slack: float = 0.002) -> list[int]:
+    """An edit of the map: slots move from the heaviest shard to the lightest, the one nearest to half
+    their gap first, until they are within ``slack`` of the mean or no move helps. A shard that no slot
+    can leave (one slot of it outweighs the mean) is set aside. Also fills new shards."""
     out, load = list(placed), [0] * shards
     held: list[set[int]] = [set() for _ in range(shards)]
     for slot, shard in enumerate(out):
         load[shard] += sizes.get(slot, 0)
         held[shard].add(slot)
-    mean = sum(load) / shards
-    for _ in range(len(out)):
-        top, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
+    mean, open_ = sum(load) / shards, set(range(shards))
+    while open_:
+        top, low = max(open_, key=lambda s: (load[s], -s)), min(range(shards), key=load.__getitem__)
         gap = load[top] - load[low]
         if gap <= slack * mean:
             break
         fit = [s for s in held[top] if 0 < sizes.get(s, 0) < gap]
         if not fit:
-            break
+            open_.remove(top)
+            continue
         slot = min(fit, key=lambda s: (abs(sizes[s] - gap / 2), s))
         held[top].remove(slot)
         held[low].add(slot)
@@ -82,6 +77,29 @@ def load_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.schema(MAP).parquet(f"{folder}/version={version:06d}")
 
 
+def latest_version(spark: SparkSession, folder: str) -> int:
+    """The highest version whose map was written whole; 0 if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return max((int(f.getPath().getParent().getName().rsplit("=", 1)[1]) for f in found), default=0)
+
+
+def rebalance(spark: SparkSession, folder: str, sizes: dict[int, int], shards: int = SHARDS, slots: int = SLOTS) -> int:
+    """Edit the stored map for ``sizes`` and ``shards``; returns the version that is in force."""
+    version = latest_version(spark, folder)
+    if not version:
+        version = 1
+        store_map(spark, folder, 1, first_map(slots, shards), {})
+    placed = [r["shard"] for r in load_map(spark, folder, version).orderBy("slot").select("shard").collect()]  # SLOTS rows
+    if len(placed) != slots or max(placed) >= shards:
+        raise ValueError(f"the map in {folder} has {len(placed)} slots in {max(placed) + 1} shards")
+    edited = rebalanced(placed, sizes, shards)
+    if edited != placed:
+        version += 1
+        store_map(spark, folder, version, edited, sizes)
+    return version
+
+
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual slot and the part of the slot that ranks the row."""
     plain = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
@@ -111,15 +129,14 @@ def place(rows: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and virtual_slot of every row; the map
-    is stored as version 1 in ``folder``."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot and map_version of every
+    row; ``folder`` holds the versions of the map."""
     spark = docs.sparkSession
     prepare(spark)
     folder = folder or new_folder(spark, "slot-map")
     rows = written(sized(docs, slots), "sized")
-    sizes = slot_bytes(rows)
-    store_map(spark, folder, 1, first_map(sizes, slots, shards), sizes)
-    return place(rows, load_map(spark, folder, 1)).select(
+    version = rebalance(spark, folder, slot_bytes(rows), shards, slots)
+    return place(rows, load_map(spark, folder, version)).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -128,4 +145,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
+        F.lit(version).alias("map_version"),
     )
