@@ -1,0 +1,100 @@
+"""The passage that an evidence row shows: the paragraph, or the sentence and its neighbour, around the
+first matched term, with the surroundings of the chunk in its document as context.
+
+Bounds move by character around an anchor, which columns can't follow; one Arrow UDF does it."""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from evispark import lexicon as L
+
+AROUND = 900
+MOST = 900
+
+_END = re.compile(r"[.!?\n]")
+_BREAK = re.compile(r"(?<=[.!?])\s+")
+_CLOSED = re.compile(r"[.!?](?:\s|$)")
+
+
+def flat(text: str) -> str:
+    return " ".join(text.split())
+
+
+def clipped(text: str, most: int) -> str:
+    text = flat(text)
+    return text if len(text) <= most else text[:most].rstrip() + "..."
+
+
+def sentence_at(text: str, at: int) -> tuple[int, int]:
+    """The stretch between sentence marks or line ends that holds ``at``; a mark at ``at`` ends it."""
+    start = max(text.rfind(c, 0, at) for c in ".!?\n") + 1
+    found = _END.search(text, at)
+    return start, found.end() if found else len(text)
+
+
+def paragraph_at(text: str, at: int) -> tuple[int, int]:
+    start, end = text.rfind("\n\n", 0, at), text.find("\n\n", at)
+    return (start + 2 if start >= 0 else 0), (end if end >= 0 else len(text))
+
+
+def reads_like_a_sentence(text: str) -> bool:
+    words = text.split()
+    if len(words) < 6 or text.endswith(":") or len(words) < 14 and words[0].lower() in L.LOW_CONTEXT_PREFIXES:
+        return False
+    return text[-1] in ".!?" or len(words) >= 12
+
+
+def has_context(text: str) -> bool:
+    """Eighty characters, and two sentences or 22 words."""
+    text = flat(text)
+    return len(text) >= 80 and (len(_CLOSED.findall(text)) >= 2 or len(re.findall(r"[a-z0-9']+", text.lower())) >= 22)
+
+
+def with_next(text: str, start: int, end: int, most: int) -> str:
+    """The sentence, with the one after it if both still read like a sentence and fit."""
+    own = flat(text[start:end])
+    after = flat(text[slice(*sentence_at(text, min(len(text) - 1, end)))]) if own else ""
+    both = f"{own} {after}"
+    return both if after and after != own and len(both) <= most and reads_like_a_sentence(both) else own
+
+
+def _mentions(text: str, terms: list[str]) -> bool:
+    return not terms or any(re.search(rf"\b{re.escape(t)}\b", text, re.I) for t in terms)
+
+
+def best_snippet(text: str | None, document: str | None, start: int | None, end: int | None, terms: list[str] | None, most: int = MOST) -> str:
+    text, terms = text or "", terms or []
+    if document and start is not None and end is not None:
+        begin = max(0, start - AROUND)
+        near = document[begin : end + AROUND]
+        if near.strip():
+            found = next((m for t in terms if (m := re.search(rf"\b{re.escape(t)}\b", near, re.I))), None)
+            at = found.start() if found else min(len(near) - 1, start - begin)
+            for passage in (flat(near[slice(*paragraph_at(near, at))]), with_next(near, *sentence_at(near, at), most)):
+                if has_context(passage):
+                    return clipped(passage, most)
+    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()] or [flat(text)]
+    for own, after in zip(paragraphs, [*paragraphs[1:], ""]):
+        if _mentions(own, terms):
+            passage = next((p for p in (own, flat(f"{own} {after}") if after else "") if has_context(p)), None)
+            if passage:
+                return clipped(passage, most)
+    sentences = [s.strip() for s in _BREAK.split(text) if s.strip()]
+    for own, after in zip(sentences, [*sentences[1:], ""]):
+        if reads_like_a_sentence(own):
+            both = flat(f"{own} {after}")
+            passage = both if after and len(both) <= most and reads_like_a_sentence(both) else own
+            if has_context(passage):
+                return clipped(passage, most)
+    return clipped(" ".join(paragraphs[:2]), most)
+
+
+@F.arrow_udf(StringType())
+def snippet(texts: pa.Array, documents: pa.Array, starts: pa.Array, ends: pa.Array, terms: pa.Array) -> pa.Array:
+    columns = (c.to_pylist() for c in (texts, documents, starts, ends, terms))
+    return pa.array([best_snippet(*row) for row in zip(*columns)], pa.string())

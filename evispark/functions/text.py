@@ -138,6 +138,15 @@ def nav_score(text: Column, short: int = 40) -> Column:
     return F.round((brief - closed) / n, 3)
 
 
+def nav_balance(text: Column) -> Column:
+    """Share of lines of at most four words less share of lines with punctuation; 0 without lines."""
+    found = lines(text)
+    n = F.size(found)
+    brief = F.size(F.filter(found, lambda s: F.size(F.split(s, r"\s+")) <= 4))
+    marked = F.size(F.filter(found, lambda s: s.rlike("[.:;!?]")))
+    return F.when(n == 0, 0.0).otherwise(F.bround(brief / n - marked / n, 3))
+
+
 def is_list(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n"), lambda s: s.rlike(BULLET))) >= 2
 
