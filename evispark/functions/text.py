@@ -58,6 +58,66 @@ def title_of(text: Column, stem: Column) -> Column:
     return F.coalesce(heading, F.get(wordy, F.lit(0)), stem)
 
 
+def file_title(text: Column, stem: Column, markdown: Column) -> Column:
+    """A markdown file's level-1 heading if it comes before any line of four words, else the stem in words."""
+    found = F.transform(lines(text), collapse)
+    told = F.get(F.filter(found, lambda s: s.rlike(r"^#\s+\S") | (F.size(F.split(s, " ")) >= 4)), F.lit(0))
+    heading = F.regexp_extract(told, r"^#\s+(.+)$", 1)
+    plain = strip(F.regexp_replace(stem, "[_-]", " "))
+    return F.coalesce(F.when(markdown & (heading != ""), heading), F.nullif(plain, F.lit("")), F.lit("Untitled"))
+
+
+def short_source(text: Column, most: int = 96) -> Column:
+    """The end of a long name, after an ellipsis."""
+    plain = strip(F.coalesce(text, F.lit("")))
+    cut = F.concat(F.lit("..."), F.substring(plain, F.length(plain) - (most - 4), F.lit(most - 3)))
+    return F.when(plain == "", "unknown").when(F.length(plain) <= most, plain).otherwise(cut)
+
+
+def document_title(title: Column, doc_id: Column) -> Column:
+    """A document's title, else its id without the last part, in words."""
+    stem = strip(F.regexp_replace(F.regexp_replace(doc_id, "-[^-]*$", ""), "[_-]", " "))
+    return F.coalesce(F.nullif(strip(F.coalesce(title, F.lit(""))), F.lit("")), F.nullif(stem, F.lit("")), doc_id)
+
+
+def compact_goal(text: Column, default: str, most: int = 220) -> Column:
+    """A goal without its prohibitions, cut at a word."""
+    kept = collapse(F.regexp_replace(collapse(F.coalesce(text, F.lit(""))), r"(?i)\b(avoid|do not|don't|never)\b[^.]*[.]?", ""))
+    cut = F.regexp_replace(F.regexp_replace(F.rtrim(F.substring(kept, 1, most)), r" [^ ]*$", ""), r"[ ,;:]+$", "")
+    return F.when(kept == "", default).when(F.length(kept) <= most, kept).otherwise(cut)
+
+
+CHUNK_ID = r"\b([A-Za-z0-9_-]+-c\d{3,5})\b"
+
+
+def cited_ids(markdown: Column) -> Column:
+    """Chunk ids in a text, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(markdown, F.lit("")), F.lit(CHUNK_ID), F.lit(1)))
+
+
+def heading_signature(markdown: Column) -> Column:
+    """'level label' of every markdown heading, in order."""
+    found = F.filter(F.split(F.coalesce(markdown, F.lit("")), r"\r?\n"), lambda s: s.rlike(r"^\s{0,3}#{1,6}\s+\S"))
+    return F.transform(found, lambda s: F.concat_ws(" ", F.length(F.regexp_extract(s, r"^\s*(#+)", 1)), strip(F.regexp_extract(s, r"^\s*#+\s+(.*)$", 1))))
+
+
+def unfenced(markdown: Column) -> Column:
+    """The inside of a text that is one fenced block."""
+    inside = F.regexp_extract(markdown, r"(?is)^\s*```(?:markdown|md)?\s*(.*?)\s*```\s*$", 1)
+    return F.when(markdown.rlike(r"(?is)^\s*```(?:markdown|md)?\s*.*?\s*```\s*$"), inside).otherwise(markdown)
+
+
+def same_references(before: Column, after: Column) -> Column:
+    """A revision keeps the headings in order and the cited ids in any order."""
+    same_ids = F.array_sort(cited_ids(before)) == F.array_sort(cited_ids(after))
+    return (F.array_join(heading_signature(before), "\n") == F.array_join(heading_signature(after), "\n")) & same_ids
+
+
+def json_path(document: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text, as text; null where a step is missing."""
+    return F.get_json_object(document, "$." + path)
+
+
 def clip(text: Column, size: int) -> Column:
     flat = collapse(text)
     return F.when(F.length(flat) <= size, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, size)), F.lit("...")))
@@ -79,15 +139,19 @@ def shingles(found: Column, size: int) -> Column:
     return F.when(last >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
+#: Word bounds that are the same for letters of any script.
+BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def phrase_pattern(query: Column) -> Column:
     """A pattern for the query's tokens in order, with anything but words between, at word bounds."""
-    return F.concat(F.lit(r"(?i)\b"), F.array_join(tokens(query), r"[\W_]+"), F.lit(r"\b"))
+    return F.concat(F.lit("(?i)" + BEFORE), F.array_join(tokens(query), r"[^\p{L}\p{N}]+"), F.lit(AFTER))
 
 
 def stem_match(text: Column, term: Column) -> Column:
     """The term itself, or (five letters and more) the term less its last letter plus up to six."""
-    exact = F.regexp_like(F.lower(text), F.concat(F.lit(r"\b"), term, F.lit(r"\b")))
-    stem = F.concat(F.lit(r"\b"), F.substring(term, F.lit(1), F.length(term) - 1), F.lit(r"[a-z]{0,6}\b"))
+    exact = F.regexp_like(F.lower(text), F.concat(F.lit(BEFORE), term, F.lit(AFTER)))
+    stem = F.concat(F.lit(BEFORE), F.substring(term, F.lit(1), F.length(term) - 1), F.lit("[a-z]{0,6}" + AFTER))
     return exact | ((F.length(term) >= 5) & F.regexp_like(F.lower(text), stem))
 
 
@@ -99,8 +163,28 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda s: s != "")
 
 
+def page_paragraphs(text: Column) -> Column:
+    """Parts between blank lines; the lines, if there is nothing else."""
+    found = paragraphs(text)
+    return F.when(F.size(found) > 0, found).otherwise(lines(text))
+
+
+def first_seen(values: Column, cap: int | None = None) -> Column:
+    """The stripped values that aren't blank, each once whatever its capitals, in order; ``cap`` at most."""
+    empty = F.array().cast("array<string>")
+
+    def take(seen: Column, value: Column) -> Column:
+        low = F.lower(value)
+        new = ~F.array_contains(seen["low"], low)
+        return F.when(new, F.struct(F.array_append(seen["low"], low).alias("low"), F.array_append(seen["out"], value).alias("out"))).otherwise(seen)
+
+    kept = F.filter(F.transform(values, strip), lambda v: v != "")
+    out = F.aggregate(kept, F.struct(empty.alias("low"), empty.alias("out")), take, lambda s: s["out"])
+    return F.slice(out, 1, cap) if cap else out
+
+
 def windows(text: Column) -> Column:
-    """Paragraphs, then sentences, blanks collapsed, each once; the whole text if there are none."""
+    """Paragraphs, then sentences, blanks collapsed, equal ones once; the whole text if there are none."""
     found = F.array_distinct(F.transform(F.concat(paragraphs(text), sentences(text)), collapse))
     return F.when(F.size(found) > 0, found).otherwise(F.array(collapse(text)))
 
@@ -117,8 +201,10 @@ def sentence_like(text: Column) -> Column:
 
 
 def contextual(text: Column) -> Column:
-    ends = F.regexp_count(text, F.lit(r"[.!?](?:\s|$)"))
-    return (F.length(text) >= 80) & ((ends >= 2) | (F.size(words(text)) >= 22))
+    """Eighty characters, and two sentences or 22 words."""
+    flat = collapse(text)
+    many = F.regexp_count(F.lower(flat), F.lit("[a-z0-9']+")) >= 22
+    return (F.length(flat) >= 80) & ((sentence_count(flat) >= 2) | many)
 
 
 def sentence_count(text: Column) -> Column:
@@ -155,10 +241,22 @@ def is_table(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n"), lambda s: s.contains("|"))) >= 2
 
 
+def nav_like(text: Column) -> Column:
+    """Six lines and more, three fifths of them of at most four words, a quarter at most with punctuation."""
+    found = lines(text)
+    n = F.size(found)
+    brief = F.size(F.filter(found, lambda s: F.size(F.split(s, r"\s+")) <= 4))
+    marked = F.size(F.filter(found, lambda s: s.rlike("[.:;!?]")))
+    return (n >= 6) & (brief >= 0.6 * n) & (marked <= 0.25 * n)
+
+
 def tabular_noise(text: Column) -> Column:
+    """Two lines and more, 55 % of them with a bar and 45 % of at most five words."""
     found = lines(text)
-    n = F.greatest(F.size(found), F.lit(1))
-    return (F.size(F.filter(found, lambda s: s.contains("|"))) / n >= 0.55) & (F.size(F.filter(found, lambda s: F.length(s) < 40)) / n >= 0.45)
+    n = F.size(found)
+    bars = F.size(F.filter(found, lambda s: s.contains("|")))
+    brief = F.size(F.filter(found, lambda s: F.size(F.split(s, r"\s+")) <= 5))
+    return (n >= 2) & (bars >= 0.55 * n) & (brief >= 0.45 * n)
 
 
 def first_sentences(text: Column, count: int) -> Column:
@@ -166,7 +264,9 @@ def first_sentences(text: Column, count: int) -> Column:
 
 
 def paragraph_key(text: Column) -> Column:
-    return F.sha1(strip(F.regexp_replace(F.lower(collapse(text)), r"[^a-z0-9 ]", "")))
+    """Hash of a paragraph without case, punctuation and extra blanks; null if nothing is left."""
+    plain = F.regexp_replace(F.lower(collapse(text)), r"[^a-z0-9 ]", "")
+    return F.when(strip(plain) != "", F.sha1(plain))
 
 
 def area_key(text: Column) -> Column:
