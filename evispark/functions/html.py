@@ -44,6 +44,69 @@ def links(html: Column) -> Column:
     return F.zip_with(href, anchor, lambda h, a: F.struct(h.alias("href"), collapse(F.regexp_replace(a, r"<[^>]+>", " ")).alias("anchor")))
 
 
+#: Parts of an address and words of a page that mark a handbook or wiki.
+WIKI_PATHS = ["handbook", "wiki", "policy", "policies", "docs", "knowledge-base", "kb"]
+WIKI_WORDS = ["table of contents", "job families", "handbook"]
+WIKI_LEAST, DENSE_LEAST = 200, 400
+
+
+def wiki_text(html: Column) -> Column:
+    """Headings as '## ', items as '- ' and other text blocks, a line each, in page order."""
+    plain = without(html, "script", "style", "noscript", "nav", "footer", "aside", "form", "svg")
+    pattern = r"(?is)<(h[1-4]|p|li|th|td|pre|code)(?: [^>]*)?>(.*?)</\1>"
+    kinds, inside = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)), F.regexp_extract_all(plain, F.lit(pattern), F.lit(2))
+
+    def line(kind: Column, body: Column) -> Column:
+        text = collapse(F.regexp_replace(body, r"<[^>]+>", " "))
+        mark = F.when(F.lower(kind).rlike("^h"), "## ").when(F.lower(kind) == "li", "- ").otherwise("")
+        return F.when(text != "", F.concat(mark, text))
+
+    return F.array_join(F.filter(F.zip_with(kinds, inside, line), lambda x: x.isNotNull()), "\n")
+
+
+def dense_text(html: Column) -> Column:
+    """The text blocks that are mostly text: 25 characters, and less than half of them in links."""
+    plain = without(html, "script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg")
+    found = F.regexp_extract_all(plain, F.lit(r"(?is)<(?:p|pre|td|h1|h2|h3|li)(?: [^>]*)?>(.*?)</(?:p|pre|td|h1|h2|h3|li)>"), F.lit(1))
+
+    def parts(body: Column) -> Column:
+        text = collapse(F.regexp_replace(body, r"<[^>]+>", " "))
+        linked = collapse(F.regexp_replace(F.regexp_replace(body, r"(?is)<a [^>]*>(.*?)</a>", "\u0001$1\u0002"), r"(?s)(?:^|\x02)[^\x01]*(?:\x01|$)", " "))
+        return F.struct(text.alias("text"), F.length(linked).alias("linked"))
+
+    kept = F.filter(F.transform(found, parts), lambda b: (F.length(b["text"]) >= 25) & (2 * b["linked"] < F.length(b["text"])))
+    return F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
+
+
+def is_wiki(url: Column, html: Column, paths: list[str] = WIKI_PATHS, words: list[str] = WIKI_WORDS) -> Column:
+    return F.lower(path(url)).rlike("|".join(paths)) | F.lower(html).rlike("|".join(words))
+
+
+def extract_mode(wiki: Column, wiki_chars: Column, dense_chars: Column) -> Column:
+    """Which text of a page counts, by how long its forms are."""
+    return F.when(wiki & (wiki_chars >= WIKI_LEAST), "policy_wiki").when(dense_chars >= DENSE_LEAST, "readability").otherwise("fallback")
+
+
+def mean_line(text: Column) -> Column:
+    found = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
+    total = F.aggregate(found, F.lit(0), lambda n, s: n + F.length(F.trim(s)))
+    return F.when(F.size(found) == 0, 0.0).otherwise(total / F.size(found))
+
+
+def is_directory(text: Column, links: Column, line: Column) -> Column:
+    """A page of links: short, mostly links, or of short lines."""
+    return (F.length(text) < 800) | (links > 0.35) | (line < 55)
+
+
+def link_score(url: Column, anchor: Column, keywords: list[str], bonus: str, irrelevant: list[str], foreign: list[str]) -> Column:
+    """One for each keyword in address or anchor, one more for a ``bonus`` pattern, minus two for each
+    irrelevant part and each part of another country."""
+    seen, low = F.lower(F.concat_ws(" ", url, anchor)), F.lower(url)
+    hits = sum((F.contains(seen, F.lit(k)).cast("int") for k in keywords), F.lit(0))
+    bad = sum((F.contains(low, F.lit(k)).cast("int") for k in [*irrelevant, *foreign]), F.lit(0))
+    return hits + seen.rlike(bonus).cast("int") - 2 * bad
+
+
 def link_density(html: Column) -> Column:
     inside = F.aggregate(links(html), F.lit(0), lambda n, x: n + F.length(x["anchor"]))
     return F.round(inside / F.greatest(F.length(visible(html)), F.lit(1)), 6)

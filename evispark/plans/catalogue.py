@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-from evispark.plans import evidence_queries, function_queries, matching_queries, page_queries, rollup_queries, rubric_queries, snapshot_queries, stage_queries, text_queries  # noqa: F401
+from evispark.plans import evidence_queries, function_queries, matching_queries, page_queries, rollup_queries, rubric_queries, snapshot_queries, stage_queries, structure_queries, text_queries  # noqa: F401
 from evispark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
