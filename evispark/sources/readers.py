@@ -24,9 +24,20 @@ _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content of the supported files below ``path``."""
+    """path, length, content of the supported files below ``path``, or of the one file that it names.
+    A path that doesn't exist raises, and so does a single file of another kind."""
+    last = path.rstrip("/").rsplit("/", 1)[-1]
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.where(F.lower("path").rlike(r"\.(txt|md|pdf|docx|csv)$"))
+    if "." in last and not last.lower().endswith(SUFFIXES) and found.select("path").limit(2).count() == 1 and found.first()["path"].endswith(last):
+        raise ValueError(f"{last}: not one of {', '.join(SUFFIXES)}")
+    return found.where(F.lower("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in SUFFIXES) + ")$"))
+
+
+def parser_of(path: str, parsers: dict[str, Callable[[bytes], str]]) -> Callable[[bytes], str]:
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix not in parsers:
+        raise ValueError(f"{path}: no parser for .{suffix}")
+    return parsers[suffix]
 
 
 def csv_lines(header: Column, rows: Column) -> Column:
@@ -92,12 +103,32 @@ def read_files(spark: SparkSession, path: str, parsers: dict[str, Callable[[byte
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [parsers[p.rsplit(".", 1)[1].lower()](d) for p, d in zip(paths, data)]
+            texts = [parser_of(p, parsers)(d) for p, d in zip(paths, data)]
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["source", "text"])
 
     return files(spark, path).select("path", "content").mapInArrow(parse, "source string, text string")
 
 
+#: Sources that are looked at to part them into ranges for numbering.
+RANGES = 200
+
+
+def numbered(table: DataFrame, kind: str = "kind", key: str = "source", ranges: int = RANGES) -> DataFrame:
+    """Adds _n: place by (kind, key) over the whole table, from 1, without a sort in one task.
+
+    A bounded sample of keys parts the table into ranges; rows are numbered inside their range, after the
+    rows of all ranges before. Ranges are literals, so both passes deal rows alike."""
+    name = F.concat_ws("\u0000", F.col(kind).cast("string"), F.col(key))
+    few = table.select(name.alias("k")).distinct().orderBy(F.xxhash64("k")).limit(ranges).collect()
+    bounds = F.array(*[F.lit(r["k"]) for r in sorted(few, key=lambda r: r["k"].encode())]) if few else F.array().cast("array<string>")
+    dealt = table.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= name)))
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    base = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_base"))  # a row a range
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(kind, key))
+    return dealt.withColumn("_k", inside).join(F.broadcast(base), "_range").withColumn("_n", F.col("_base") + F.col("_k")).drop("_range", "_k", "_base")
+
+
 def documents(spark: SparkSession, path: str | None = None, pasted: list[str] | None = None, pages: DataFrame | None = None) -> DataFrame:
     """All sources as one table: files by path, then pasted texts, then pages by address (each final
     address once). Ids count through in that order; blank texts are dropped."""
@@ -108,18 +139,20 @@ def documents(spark: SparkSession, path: str | None = None, pasted: list[str] |
         rows = [(1, f"pasted-{i:06d}", "text", t) for i, t in enumerate(pasted, 1)]
         parts.append(spark.createDataFrame(rows, "kind int, source string, source_type string, text string"))
     if pages is not None:
-        once = W.partitionBy("url").orderBy("page_id")
-        first = pages.withColumn("_k", F.row_number().over(once)).where("_k = 1")
+        first = pages.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
         parts.append(first.select(F.lit(2).alias("kind"), F.col("url").alias("source"), F.lit("url").alias("source_type"), H.page_text("html").alias("text")))
     if not parts:
         raise ValueError("no source given")
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    found = found.withColumn("text", T.normalize(F.col("text"))).where("text <> ''")
-    numbered = found.withColumn("_n", F.row_number().over(W.orderBy("kind", "source")))
-    title = T.title_of(F.col("text"), F.regexp_replace(F.element_at(F.split("source", "/"), -1), r"\.[^.]*$", ""))
-    return numbered.select(
+    # A generator between the parsed text and its test: a plain filter would be pushed below it and parse twice.
+    once = F.explode(F.filter(F.array(T.normalize(F.col("text"))), lambda t: t != ""))
+    found = numbered(found.select("kind", "source", "source_type", once.alias("text")))
+    stem = F.regexp_replace(F.element_at(F.split("source", "/"), -1), r"\.[^.]*$", "")
+    is_file = F.col("source_type") == "file"
+    title = F.when(is_file, T.file_title(F.col("text"), stem, F.lower("source").endswith(".md"))).otherwise(T.title_of(F.col("text"), stem))
+    return found.select(
         F.concat(F.format_string("doc-%03d-", "_n"), T.slug(title)).alias("doc_id"), "source", "source_type", title.alias("title"), F.sha1("text").alias("content_hash"), "text"
     )
 
@@ -144,3 +177,37 @@ def crawl(pages: DataFrame, seeds: DataFrame, keywords: list[str], per_host: int
     order = W.partitionBy("host").orderBy(F.desc("score"), F.length("target"), "target")
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_host)
     return best.join(pages.withColumnRenamed("url", "target"), "target")
+
+
+def crawl_directories(
+    pages: DataFrame, seeds: DataFrame, keywords: list[str], bonus: str, irrelevant: list[str], foreign: list[str],
+    most_links: int = 25, per_host: int = 8, top: int = 8, budget: int = 60, sentences: int = 3,
+) -> DataFrame:
+    """root, url, role, score, place: every seed that was fetched, and of those that are directories the
+    best children by a preview of their text.
+
+    ``pages``: url, html. ``seeds``: url. A link counts with a score of 1 at least; ``per_host`` of a host
+    and ``most_links`` of a root are looked at, ``top`` of them kept, ``budget`` pages in all, roots first."""
+    text = T.normalize(F.coalesce(H.page_text(F.col("html")), F.lit("")))
+    known = pages.select("url", "html", text.alias("text"))
+    roots = known.join(seeds.select("url").distinct(), "url")
+    listing = H.is_directory(F.col("text"), H.link_density(F.col("html")), H.mean_line(F.col("text")))
+    links = roots.where(listing).select(F.col("url").alias("root"), F.explode(H.links(F.col("html"))).alias("l"))
+    link = H.absolute(F.col("l.href"), F.col("root"))
+    links = links.select("root", link.alias("url"), F.col("l.anchor").alias("anchor"))
+    links = links.where((H.host(F.col("url")) == H.host(F.col("root"))) & (F.col("url") != F.col("root")))
+    score = H.link_score(F.col("url"), F.col("anchor"), keywords, bonus, irrelevant, foreign)
+    links = links.groupBy("root", "url").agg(F.max(score).alias("priority")).where("priority >= 1")
+    order = W.partitionBy("root").orderBy(F.desc("priority"), F.length(H.path(F.col("url"))), "url")
+    links = links.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= min(most_links, per_host)).drop("_k")
+    seen = links.join(known, "url").withColumn("preview", T.first_sentences(F.col("text"), sentences))
+    told = sum((F.contains(F.lower("preview"), F.lit(k)).cast("int") for k in keywords), F.lit(0))
+    seen = seen.withColumn("score", H.link_score(F.col("url"), F.substring("preview", 1, 200), keywords, bonus, irrelevant, foreign) + told)
+    best = W.partitionBy("root").orderBy(F.desc("score"), "url")
+    kept = seen.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
+    first = roots.select(F.col("url").alias("root"), "url", F.lit("root").alias("role"), F.lit(0).alias("score"), F.lit(0).alias("place"))
+    both = first.unionByName(kept.select("root", "url", F.lit("child").alias("role"), "score", "place"))
+    # A page that several roots lead to is fetched once.
+    once = W.partitionBy("url").orderBy(F.col("role").desc(), "root")
+    both = both.withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k")
+    return both.orderBy(F.col("role").desc(), "place", "root", "url").limit(budget)

@@ -1,5 +1,5 @@
 """Streaming form of the per-document operators: chunking and matching keep no state, so they run
-unchanged on ``readStream``; rankings are re-aggregated per micro-batch by the caller's sink."""
+unchanged on ``readStream``; rankings are kept by a sink that merges each micro-batch with what it has."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from evispark.operators import chunking, match
 
 
+def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(path)
+
+
 def chunk_stream(documents: DataFrame, most: int = 5200) -> DataFrame:
     return chunking.chunks(documents, most)
 
@@ -20,15 +24,38 @@ def evidence_stream(documents: DataFrame, queries: DataFrame, text_key: str, que
     return match.runs(documents, text_key).join(match.runs(queries, query_key), "run")
 
 
+STATE = "item_id long, doc_id long, hits long, rank int"
+
+
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """Epochs that were written whole, in order."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")
+    listed = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found) or []
+    return sorted(int(f.getPath().getParent().getName().rsplit("=", 1)[1]) for f in listed)
+
+
+def top_k(spark: SparkSession, path: str) -> DataFrame:
+    """The ranking as of the last epoch."""
+    epochs = _epochs(spark, path)
+    return spark.read.schema(STATE).parquet(f"{path}/epoch={epochs[-1]:012d}") if epochs else spark.createDataFrame([], STATE)
+
+
 def top_k_sink(path: str, k: int) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that ranks each micro-batch's evidence and appends it."""
+    """A ``foreachBatch`` sink that keeps the ``k`` best documents per item of all batches so far.
+
+    An epoch's ranking is that of the epoch before merged with the batch: documents come whole in one
+    batch, so a pair's hits are final, and the best of the union are among both sides' best. It is written
+    under the epoch's own name, overwriting what an attempt that failed may have left, so an epoch that
+    is replayed gives the same table. ``k`` rows an item are kept, whatever has gone by."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        pairs = batch.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"))
-        match.ranked(pairs, "item_id", "doc_id", "hits", k).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        before = [e for e in _epochs(spark, path) if e < epoch]
+        pairs = batch.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
+        if before:
+            held = spark.read.schema(STATE).parquet(f"{path}/epoch={before[-1]:012d}").select("item_id", "doc_id", "hits")
+            pairs = pairs.unionByName(held).groupBy("item_id", "doc_id").agg(F.max("hits").alias("hits"))
+        best = match.ranked(pairs, "item_id", "doc_id", "hits", k)
+        best.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in STATE.split(", ")]).write.mode("overwrite").parquet(f"{path}/epoch={epoch:012d}")
 
     return write
-
-
-def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
