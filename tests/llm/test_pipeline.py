@@ -50,12 +50,13 @@ def test_exact_stage_keeps_one_row_of_each_text(spark, table):
 
 def test_near_stage_keeps_one_row_of_each_component(spark, table):
     got = [(r["doc_id"], r["n_chars"]) for r in corpus_pipeline.near(spark, table, "").collect()]
-    prints = [simhash.fingerprint(t) for _, t in ROWS]
+    near = corpus_pipeline.NEAR
+    prints = [simhash.fingerprint(t, near["shingle"]) for _, t in ROWS]
     root = list(range(len(ROWS)))
     for _ in ROWS:
         for a, p in enumerate(prints):
             for b, q in enumerate(prints):
-                if (p ^ q).bit_count() <= simhash.RADIUS:
+                if (p ^ q).bit_count() <= near["radius"]:
                     root[a] = root[b] = min(root[a], root[b])
     want = {r: min((i for (i, _), s in zip(ROWS, root) if s == r), key=order) for r in set(root)}
     assert Counter(root[k] for _, k in got) == Counter(set(root))
