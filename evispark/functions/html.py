@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from evispark import lexicon as L
 from evispark.functions.text import collapse
 
 _SKIP = frozenset("script style noscript nav header footer form aside svg".split())
@@ -98,12 +99,15 @@ def is_directory(text: Column, links: Column, line: Column) -> Column:
     return (F.length(text) < 800) | (links > 0.35) | (line < 55)
 
 
-def link_score(url: Column, anchor: Column, keywords: list[str], bonus: str, irrelevant: list[str], foreign: list[str]) -> Column:
+def link_score(
+    url: Column, anchor: Column, keywords: list[str] = L.LINK_KEYWORDS, bonus: str = L.LINK_BONUS,
+    irrelevant: list[str] = L.IRRELEVANT_URL, foreign: list[str] = L.FOREIGN_URL,
+) -> Column:
     """One for each keyword in address or anchor, one more for a ``bonus`` pattern, minus two for each
     irrelevant part and each part of another country."""
-    seen, low = F.lower(F.concat_ws(" ", url, anchor)), F.lower(url)
+    seen = F.lower(F.concat_ws(" ", url, anchor))
     hits = sum((F.contains(seen, F.lit(k)).cast("int") for k in keywords), F.lit(0))
-    bad = sum((F.contains(low, F.lit(k)).cast("int") for k in [*irrelevant, *foreign]), F.lit(0))
+    bad = sum((F.contains(seen, F.lit(k)).cast("int") for k in [*irrelevant, *foreign]), F.lit(0))
     return hits + seen.rlike(bonus).cast("int") - 2 * bad
 
 

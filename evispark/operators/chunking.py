@@ -1,6 +1,6 @@
 """Chunking: line modes, block runs, greedy packing of sentences and blocks.
 
-Line modes and runs are windows over exploded lines. Packing keeps a carry from chunk to chunk, which
+Line modes and runs are folds over each row's own lines. Packing keeps a carry from chunk to chunk, which
 no window expresses, so it is a fold per document in an Arrow UDF: parallel over documents and
 without a shuffle.
 """
@@ -33,18 +33,24 @@ def line_mode(line: Column) -> Column:
     )
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line, mode."""
-    found = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return found.withColumn("mode", line_mode(F.col("line")))
+def block_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, block, mode, n_lines, first_line, chars: consecutive lines of one mode; headings stand
+    alone; blank lines separate. A fold over each row's own lines: nothing is shuffled."""
+    found = docs.select("doc_id", F.split("text", "\n").alias("_l"))
+    found = found.withColumn("_m", F.transform("_l", line_mode))
+    fresh = F.filter(
+        F.sequence(F.lit(0), F.size("_m") - 1),
+        lambda i: (i == 0) | (F.get("_m", i) == "heading") | (F.get("_m", i) != F.get("_m", i - 1)),
+    )
+    found = found.withColumn("_s", fresh)
 
+    def block(at: Column, k: Column) -> Column:
+        n = F.coalesce(F.get("_s", k + 1), F.size("_m")) - at
+        chars = F.aggregate(F.slice("_l", at + 1, n), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+        return F.struct((k + 1).cast("long").alias("block"), F.get("_m", at).alias("mode"), n.cast("long").alias("n_lines"), at.cast("long").alias("first_line"), chars.alias("chars"))
 
-def block_runs(lines: DataFrame) -> DataFrame:
-    """Consecutive lines of one mode; headings stand alone; blank lines separate."""
-    order = W.partitionBy("doc_id").orderBy("pos")
-    fresh = (F.col("mode") != F.coalesce(F.lag("mode").over(order), F.lit(""))) | (F.col("mode") == "heading")
-    runs = lines.withColumn("block", F.sum(fresh.cast("int")).over(order)).where("mode <> 'blank'")
-    return runs.groupBy("doc_id", "block", "mode").agg(F.count(F.lit(1)).alias("n_lines"), F.min("pos").alias("first_line"), F.sum(F.length("line")).alias("chars"))
+    runs = F.filter(F.transform("_s", block), lambda b: b["mode"] != "blank")
+    return found.select("doc_id", F.explode(runs).alias("b")).select("doc_id", "b.*")
 
 
 def with_context(blocks: DataFrame, last_line: str = "last_line") -> DataFrame:

@@ -50,32 +50,11 @@ def needs_confirmation(status: Column) -> Column:
     return status.isin("ambiguous", "not_provided_in_sources", "not_assessed")
 
 
-def rubric_verdict(absent_rows: Column, retrieval: Column) -> Column:
-    """Null: present and explicit, no finding."""
-    return (
-        F.when((absent_rows > 0) & (retrieval == "MENTIONED_EXPLICIT"), "explicitly_missing")
-        .when(retrieval == "MENTIONED_EXPLICIT", None)
-        .when(retrieval == "NOT_RETRIEVED", "not_assessed")
-        .when(retrieval.isin("MENTIONED_IMPLICIT", "MENTIONED_AMBIGUOUS"), "ambiguous")
-        .otherwise("not_provided_in_sources")
-    )
-
-
 def adjusted_severity(severity: Column, retrieval: Column, compliance: Column) -> Column:
     lower = F.when(severity == "critical", "high").when(severity == "high", "medium").otherwise("low")
     return F.when((retrieval == "NOT_RETRIEVED") & ~compliance, lower).otherwise(severity)
 
 
-def owner(text: Column) -> Column:
-    low = F.lower(text)
-    return (
-        F.when(low.contains("people"), "People team")
-        .when(low.rlike(r"\bhr\b"), "HR")
-        .when(low.contains("finance"), "Finance")
-        .when(low.contains("ops") | low.contains("operations"), "Operations")
-    )
-
-
 def maturity(missing_high: Column, high: Column, unresolved_critical: Column, n: Column) -> Column:
     return (
         F.when(missing_high > 0, "Under-Developed")

@@ -32,8 +32,9 @@ def page_title_text(spark, sf):
 
 @query(f"SELECT page_id, count(*) AS n_links, sum(length(anchor)) AS anchor_chars, min(href) AS first_href FROM ({_LINKS}) GROUP BY page_id")
 def page_links(spark, sf):
-    found = table(spark, sf, "pages").select("page_id", F.explode(H.links(F.col("html"))).alias("l"))
-    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.length("l.anchor")).alias("anchor_chars"), F.min("l.href").alias("first_href"))
+    found = table(spark, sf, "pages").select("page_id", H.links(F.col("html")).alias("l")).where(F.size("l") > 0)
+    chars = F.aggregate("l", F.lit(0).cast("long"), lambda n, x: n + F.length(x["anchor"]))
+    return found.select("page_id", F.size("l").cast("long").alias("n_links"), chars.alias("anchor_chars"), F.array_min(F.transform("l", lambda x: x["href"])).alias("first_href"))
 
 
 @query(f"""

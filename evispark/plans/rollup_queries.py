@@ -52,11 +52,14 @@ ALIASES = [("a", "series the", 1), ("b", "the", 2), ("b", "of", 2), ("c", "les",
                 ON regexp_matches(lower(text), '(?:^|[^a-z0-9])' || alias || '(?:$|[^a-z0-9])') GROUP BY source, stage, ord)) WHERE k = 1
 """)
 def alias_score_argmax(spark, sf):
-    aliases = F.broadcast(values(spark, ALIASES, "stage string, alias string, ord int"))  # a handful of rows
+    # The aliases are literals: one scan finds the rows of each, and no pattern varies by row.
     low = F.lower("text")
-    hit = low.contains(F.col("alias")) & F.regexp_like(low, F.concat(F.lit("(?:^|[^a-z0-9])"), F.col("alias"), F.lit("(?:$|[^a-z0-9])")))
-    boost = F.when(F.col("alias").startswith("series "), 1.4).otherwise(1.0)
-    found = table(spark, sf, "documents").join(aliases, hit).groupBy("source", "stage", "ord").agg(F.round(F.sum(boost), 4).alias("score"))
+    hits = [
+        F.when(low.rlike(f"(?:^|[^a-z0-9]){alias}(?:$|[^a-z0-9])"), F.struct(F.lit(stage).alias("stage"), F.lit(ord_).alias("ord"), F.lit(1.4 if alias.startswith("series ") else 1.0).alias("boost")))
+        for stage, alias, ord_ in ALIASES
+    ]
+    found = table(spark, sf, "documents").select("source", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+    found = found.groupBy("source", "h.stage", "h.ord").agg(F.round(F.sum("h.boost"), 4).alias("score"))
     best = found.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), "ord"))).where("k = 1")
     return best.select("source", "stage", "score", F.least(F.lit(0.9), F.round(0.56 + 0.08 * F.col("score"), 3)).alias("confidence"))
 

@@ -92,9 +92,9 @@ def chunk_summary(spark, sf):
 # -- pages ------------------------------------------------------------------------------------------
 
 _KEYWORDS, _FOREIGN, _BONUS = ["the", "en", "tion", "er"], ["/fr/", "-uk", "canada"], "guide|index"
-_SCORE = "(" + " + ".join(f"contains(seen, '{k}')::INT" for k in _KEYWORDS) + f" + regexp_matches(seen, '{_BONUS}')::INT - 2 * (" + " + ".join(f"contains(low, '{k}')::INT" for k in [*L.IRRELEVANT_URL, *_FOREIGN]) + "))"
+_SCORE = "(" + " + ".join(f"contains(seen, '{k}')::INT" for k in _KEYWORDS) + f" + regexp_matches(seen, '{_BONUS}')::INT - 2 * (" + " + ".join(f"contains(seen, '{k}')::INT" for k in [*L.IRRELEVANT_URL, *_FOREIGN]) + "))"
 _SCORED = f"""
-    SELECT page_id, url, target, max({_SCORE}) AS score FROM (SELECT page_id, url, target, lower(target || ' ' || anchor) AS seen, lower(target) AS low FROM (
+    SELECT page_id, url, target, max({_SCORE}) AS score FROM (SELECT page_id, url, target, lower(target || ' ' || anchor) AS seen FROM (
         SELECT page_id, url, anchor, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || href
             WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/])/[^/]*$', '\\1/') || href END AS target FROM ({P._LINKS})))
     WHERE target IS NOT NULL GROUP BY page_id, url, target

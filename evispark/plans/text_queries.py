@@ -38,8 +38,9 @@ def normalize_nfkc(spark, sf):
 
 @query(f"SELECT doc_id, count(*) AS n, sum(length(sentence)) AS chars, min(sentence) AS first_sorted FROM ({SENTENCES}) GROUP BY doc_id")
 def sentences(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("chars"), F.min("sentence").alias("first_sorted"))
+    found = table(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    chars = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return found.select("doc_id", F.size("s").cast("long").alias("n"), chars.alias("chars"), F.array_min("s").alias("first_sorted"))
 
 
 @query(r"""
@@ -126,7 +127,7 @@ _MODES = r"""
     ) WHERE mode <> 'blank' GROUP BY doc_id, block, mode
 """)
 def line_blocks(spark, sf):
-    return C.block_runs(C.document_lines(table(spark, sf, "documents"))).withColumn("first_line", F.col("first_line").cast("long"))
+    return C.block_runs(table(spark, sf, "documents"))
 
 
 @query()

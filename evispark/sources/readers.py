@@ -40,19 +40,6 @@ def parser_of(path: str, parsers: dict[str, Callable[[bytes], str]]) -> Callable
     return parsers[suffix]
 
 
-def csv_lines(header: Column, rows: Column) -> Column:
-    """Header line and 'name: value | name: value' lines of split CSV rows (array of arrays)."""
-    names = F.transform(header, lambda h, i: F.when(F.trim(h) == "", F.concat(F.lit("column_"), i + 1)).otherwise(F.trim(h)))
-
-    def line(row: Column) -> Column:
-        pairs = F.arrays_zip(names.alias("h"), row.alias("v"))
-        kept = F.filter(pairs, lambda p: F.trim(p["v"]) != "")
-        return F.array_join(F.transform(kept, lambda p: F.concat(p["h"], F.lit(": "), F.trim(p["v"]))), " | ")
-
-    body = F.filter(F.transform(rows, line), lambda s: s != "")
-    return F.array_join(F.concat(F.array(F.concat(F.lit("CSV headers: "), F.array_join(names, " | "))), body), "\n")
-
-
 def linearized(table: DataFrame) -> DataFrame:
     """Each row of a table as 'name: value | name: value', blanks dropped."""
     cells = [F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.trim(F.col(c).cast("string")))) for c in table.columns]

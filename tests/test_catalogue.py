@@ -20,4 +20,8 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE_SQL.keys()))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    found = QUERIES[name](spark, SF)
+    if name == "directory_crawl":  # no page of the tables links to another: see crawl_atlas
+        assert found.count() == 0 and found.columns == ["host", "target", "score", "rank", "page_id"]
+    else:
+        assert found.count() > 0
