@@ -90,39 +90,60 @@ def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None)
     phrase, by two neighbouring core tokens, or by a paragraph or sentence with two of its core terms."""
     signals = signals or Signals()
     dim = rubric(items, signals)
-    terms = dim.select("item_id", F.explode("queries").alias("x")).select("item_id", F.col("x.q").alias("q"), F.explode("x.core").alias("term")).distinct()
+    queries = dim.select("item_id", F.explode("queries").alias("x")).select("item_id", "x.*")
+    queries = queries.withColumn("terms", F.array_distinct("core"))
+    terms = queries.select("item_id", "q", F.posexplode("terms").alias("i", "term"))
     kept = chunks.where(searchable(F.col("text"), signals)).select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
     tokens = kept.select("chunk_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("token"))
-    hits = tokens.join(token_terms(tokens, terms), "token").join(terms, "term")
-    hits = hits.groupBy("chunk_id", "item_id").agg(F.collect_set(F.struct("q", "term", "token")).alias("hits"))
+    meant = token_terms(tokens, terms).join(terms, "term")
+    # A query needs two of its terms, unless it has one only, or one twice in a row; which of its terms a
+    # chunk has is one number, so this is a hash aggregate. Only what passes is looked at.
+    bit = F.expr("shiftleft(1L, cast(i % 62 as int))")
+    seen = tokens.join(meant, "token").groupBy("chunk_id", "item_id", "q").agg(F.bit_or(bit).alias("mask"))
+    some = F.array_sort(F.collect_list(F.struct("i", "token")))
+    spelled = meant.groupBy("item_id", "q").agg(some.alias("spelled"))
+    easy = (F.size("terms") < 2) | (F.size("terms") < F.size("core")) | (F.size("terms") > 62)
+    each = queries.join(spelled, ["item_id", "q"]).select(
+        "item_id", "q", "phrase", "pairs", "terms", easy.alias("easy"),
+        F.transform("terms", lambda t, i: F.transform(F.filter("spelled", lambda x: x["i"] == i), lambda x: x["token"])).alias("tokens"),
+    )
+    hits = seen.join(each, ["item_id", "q"]).where("bit_count(mask) >= 2 OR easy").drop("easy")
     low = F.lower("text")
+    # A text of one paragraph is a window itself: whatever two terms it has, it has in that.
+    paragraphs, none = F.split("text", r"\n\s*\n"), F.array().cast("array<array<string>>")
+    parts = F.when(F.size(F.filter(paragraphs, lambda p: T.strip(p) != "")) > 1, F.transform(F.concat(paragraphs, F.split("text", T.SENTENCE_BREAK)), words_of)).otherwise(none)
     facts = kept.select(
         "chunk_id",
         joined(words_of(F.col("text"))).alias("flat"),
-        F.transform(T.windows(F.col("text")), words_of).alias("windows"),
+        parts.alias("windows"),
         (0.25 * pattern_count(low, signals.domain) - 0.14 * pattern_count(low, signals.legal) - 0.18 * F.greatest(F.lit(0.0), T.nav_balance(F.col("text")))).alias("base"),
         (pattern_count(low, signals.process) > 0).alias("process"),
     )
-    met = hits.join(facts, "chunk_id").join(dim, "item_id")
-
-    def judged(query: Column) -> Column:
-        mine = F.filter("hits", lambda h: h["q"] == query["q"])
-        phrase = F.contains("flat", query["phrase"]) | F.exists(query["pairs"], lambda p: F.contains("flat", p))
-        window = F.exists("windows", lambda w: F.size(F.array_distinct(F.transform(F.filter(mine, lambda h: F.array_contains(w, h["token"])), lambda h: h["term"]))) >= 2)
-        return F.struct(phrase.alias("phrase"), (phrase | window).alias("fits"), F.array_distinct(F.transform(mine, lambda h: h["term"])).alias("terms"))
-
-    met = met.withColumn("judged", F.filter(F.transform("queries", judged), lambda j: j["fits"]))
-    met = met.withColumn("terms", F.array_sort(F.array_distinct(F.flatten(F.transform("judged", lambda j: j["terms"])))))
-    met = met.where(F.size("terms") > 0)
-    met = met.withColumns(
-        {
-            "n_phrases": F.size(F.filter("judged", lambda j: j["phrase"])),
-            "n_anchors": F.size(F.filter("anchors", lambda a: F.contains("flat", F.concat(F.lit(" "), a, F.lit(" "))))),
-        }
-    )
+    met = hits.join(facts, "chunk_id").join(dim.select("item_id", "anchors"), "item_id")
+    phrase = F.contains("flat", F.col("phrase")) | F.exists("pairs", lambda p: F.contains("flat", p))
+
+    def has_two(window: Column) -> Column:
+        return F.size(F.filter("tokens", lambda t: F.arrays_overlap(window, t))) >= 2
+
+    by_mask = F.filter("terms", lambda t, i: F.getbit(F.col("mask"), i) == 1)
+    by_token = F.filter("terms", lambda t, i: F.arrays_overlap(F.split("flat", " "), F.get("tokens", i)))
+    found_terms = F.when(F.size("terms") <= 62, by_mask).otherwise(by_token)
+    met = met.withColumn("found", found_terms)
+    met = met.withColumn("told", phrase).where(F.col("told") | ((F.size("found") >= 2) & ((F.size("windows") == 0) | F.exists("windows", has_two))))
+    there = F.size(F.filter("anchors", lambda a: F.contains("flat", F.concat(F.lit(" "), a, F.lit(" ")))))
+    met = met.select("chunk_id", "item_id", F.col("found").alias("terms"), "told", "base", "process", there.alias("n_anchors"))
+    found = met.where(F.size("terms") > 0).groupBy("chunk_id", "item_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"),
+        F.count_if("told").cast("int").alias("n_phrases"), F.max("base").alias("base"), F.max("process").alias("process"), F.max("n_anchors").alias("n_anchors"),
+    )
+    # Queries of words that don't count have a phrase only, and count only beside others.
+    plain = queries.where(F.size("core") == 0).select("item_id", F.col("phrase").alias("plain"))
+    more = found.select("chunk_id", "item_id").join(plain, "item_id").join(facts.select("chunk_id", "flat"), "chunk_id")
+    more = more.where(F.contains("flat", F.col("plain"))).groupBy("chunk_id", "item_id").agg(F.count(F.lit(1)).cast("int").alias("n_plain"))
+    found = found.join(more, ["chunk_id", "item_id"], "left").withColumn("n_phrases", F.col("n_phrases") + F.coalesce("n_plain", F.lit(0)))
     bonus = F.when(F.col("process") & (F.col("n_anchors") > 0), 1.35 + 0.22 * F.least("n_anchors", F.lit(3))).otherwise(0.0)
     score = F.round(2.1 * F.size("terms") + 0.72 * F.col("n_phrases") + F.col("base") + bonus, 4)
-    return met.select("chunk_id", "item_id", score.alias("score"), "terms", "n_phrases", "n_anchors")
+    return found.select("chunk_id", "item_id", score.alias("score"), "terms", "n_phrases", "n_anchors")
 
 
 def best(found: DataFrame, key: list[str], k: int, order: list[Column], same: list[str]) -> DataFrame:

@@ -97,19 +97,20 @@ def page_relevance_whole(spark, sf):
     def hits(column, words):
         return sum((column.contains(w).cast("int") for w in words), F.lit(0))
 
-    pages, url, html = table(spark, sf, "pages"), F.col("url"), F.col("html")
-    text = H.visible(html)
-    preview = F.substring(F.lower(T.collapse(text)), 1, PREVIEW)
+    pages = table(spark, sf, "pages")
+    seed = F.col("requested_url").eqNullSafe(F.col("url")) if "requested_url" in pages.columns else F.lit(False)
+    # Texts are columns of their own before they are asked for many words: one pass over the page each.
+    texts = pages.select("page_id", F.lower("url").alias("url"), F.lower(H.path(F.col("url"))).alias("path"), F.lower(H.title(F.col("html"))).alias("title"), H.visible(F.col("html")).alias("text"), seed.alias("seed"))
+    texts = texts.withColumn("preview", F.explode(F.array(F.substring(F.lower("text"), 1, PREVIEW))))
     score = (
-        F.least(F.lit(5), 2 * hits(F.lower(H.path(url)), ("en", "page", "fr")))
-        + F.least(F.lit(3), hits(F.lower(H.title(html)), _WORDS))
-        + F.least(F.lit(6), hits(preview, L.CONTENT_TERMS))
-        + F.when(preview.rlike(L.STAGE_SIGNAL), 3).otherwise(0)
-        - F.least(F.lit(6), 2 * hits(F.lower(url), L.IRRELEVANT_URL))
-        - F.when(F.length(text) < 220, 1).otherwise(0)
+        F.least(F.lit(5), 2 * hits(F.col("path"), ("en", "page", "fr")))
+        + F.least(F.lit(3), hits(F.col("title"), _WORDS))
+        + F.least(F.lit(6), hits(F.col("preview"), L.CONTENT_TERMS))
+        + F.when(F.col("preview").rlike(L.STAGE_SIGNAL), 3).otherwise(0)
+        - F.least(F.lit(6), 2 * hits(F.col("url"), L.IRRELEVANT_URL))
+        - F.when(F.length("text") < 220, 1).otherwise(0)
     )
-    seed = F.col("requested_url").eqNullSafe(url) if "requested_url" in pages.columns else F.lit(False)
-    return pages.select("page_id", score.alias("score"), seed.alias("seed")).where("score >= 2 OR seed")
+    return texts.select("page_id", score.alias("score"), "seed").where("score >= 2 OR seed")
 
 
 _PARAS = rf"""
