@@ -89,7 +89,12 @@ def page_relevance(spark, sf):
 PREVIEW = 3500
 
 
-@query()
+@query(f"""
+    SELECT page_id, score, FALSE AS seed FROM (SELECT page_id, least(5, 2 * ({" + ".join(f"contains(path, '{t}')::INT" for t in ("en", "page", "fr"))})) + least(3, {" + ".join(f"contains(title, '{t}')::INT" for t in _WORDS)})
+        + least(6, {" + ".join(f"contains(preview, '{t}')::INT" for t in L.CONTENT_TERMS)}) + CASE WHEN regexp_matches(preview, '{L.STAGE_SIGNAL}') THEN 3 ELSE 0 END
+        - least(6, 2 * ({" + ".join(f"contains(url, '{t}')::INT" for t in L.IRRELEVANT_URL)})) - CASE WHEN length(text) < 220 THEN 1 ELSE 0 END AS score
+        FROM (SELECT *, substr(lower(text), 1, {PREVIEW}) AS preview FROM (SELECT page_id, lower(url) AS url, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1)) AS path, lower({_TITLE}) AS title, {_VISIBLE} AS text FROM pages))) WHERE score >= 2
+""")
 def page_relevance_whole(spark, sf):
     """page_relevance with its content and stage terms, and seeds whatever their score. A page is a
     seed if it was fetched from the address it was asked for (``requested_url``, if the table has it)."""
@@ -137,7 +142,11 @@ def boilerplate_removal(spark, sf):
 COMMON_SHARE = 0.3
 
 
-@query()
+@query(f"""
+    WITH p AS ({_PARAS}), n AS (SELECT greatest(2, floor({COMMON_SHARE} * count(*))::BIGINT + 1) AS least FROM pages),
+    common AS (SELECT key FROM p WHERE length(p) >= 40 GROUP BY key HAVING count(DISTINCT page_id) >= (SELECT least FROM n))
+    SELECT page_id, count(*) AS kept, sum(length(p)) AS chars FROM p WHERE key NOT IN (SELECT key FROM common) GROUP BY page_id
+""")
 def boilerplate_share(spark, sf):
     """boilerplate_removal with the threshold that grows with the count of pages: a paragraph goes if
     it is on max(2, floor(COMMON_SHARE * pages) + 1) pages or more."""

@@ -91,7 +91,9 @@ def slug_and_clip(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.slug(F.substring(text, 1, 80)).alias("slug"), T.clip(text, 60).alias("clipped"))
 
 
-@query()
+@query("""
+    SELECT doc_id, coalesce(nullif(regexp_replace(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '-', 'g')), '^-+|-+$', '', 'g'), ''), 'document') AS slug FROM documents
+""")
 def slug_whole(spark, sf):
     """slug_and_clip's slug, of whole values."""
     return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
