@@ -154,7 +154,7 @@ def chunk_pairs(df: DataFrame, key: list[str], salt: Column, most: int) -> DataF
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a, b long): rows (node, root), root the least node.
+    """Connected components of ``edges`` (a, b of one type that has an order): rows (node, root), root the least node.
 
     Alternates large-star and small-star steps. Each step is a partial-aggregated minimum and an
     equi-join, which the adaptive planner may split, so a hub with very many links is no single

@@ -11,6 +11,13 @@ choice of b - r blocks; b rises with the count of fingerprints so that shards st
 trees reach the tasks by a shuffle, not by a broadcast from the driver, since nothing bounds them.
 Shards of over ``SHARD`` fingerprints are cut further and their parts meet pairwise in tasks.
 
+Near copies by similarity need more than 64 bits: texts of shingle similarity 0.8 differ in 10 of 64
+bits on average, give or take 3, so a radius that holds them holds others too. ``words`` asks for
+fingerprints of that many 64-bit words, whose distance says more. Their radius is too wide for
+pigeonhole, so the shards of wide fingerprints are named by ``keys_for`` many keys of some of their
+bytes: two fingerprints as far apart as texts of similarity ``ALIKE`` are on average share a key with
+a chance of ``FOUND``, closer ones with a higher one, and every pair that shares a key is compared.
+
 Equal fingerprints are one node (partial aggregation first), and a shard returns a spanning forest of
 its links, at most one edge a node: groups of any size stay linear.
 
@@ -22,6 +29,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import chunk_pairs, components, prepare, release, rows_that_stay, written
 
@@ -36,13 +46,25 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 SHARD = 2048
+#: Wide fingerprints: the similarity that keys are made for, and the chance that they find such a pair.
+ALIKE = 0.8
+FOUND = 0.9
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = (np.arange(8) * 256)[None, :]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit k is set if it is in over half of the shingles' XXH64 values."""
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Another hash of each shingle, made of its XXH64 value (SplitMix64's steps)."""
+    z = h + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, n_words: int = 1) -> int:
+    """Bit k is set if it is in over half of the shingles' XXH64 values; bits from 64 on are those of
+    further hashes, 64 bits a word."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
@@ -54,24 +76,55 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         joined = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(s, SEED) for s in joined], "<u8")
-    lanes = np.bincount((h.view("u1").reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
-    ones = (lanes @ _BITS).ravel()
-    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    found = b""
+    for word in range(n_words):
+        bits = _mixed(h, word) if word else h
+        lanes = np.bincount((bits.view("u1").reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
+        found += np.packbits(2 * (lanes @ _BITS).ravel() > len(h), bitorder="little").tobytes()
+    return int.from_bytes(found, "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: Column) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) and ``more`` of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, *more: Column) -> DataFrame:
+    """doc_id, fp and ``more`` of every row. fp is the 64 bits as a signed long, or a struct of
+    ``words`` such longs if there are several."""
     prepare(docs.sparkSession)
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
+        for batch in batches:
+            yield pa.array([fingerprint(t, shingle, words).to_bytes(8 * words, "big") for t in batch.to_pylist()], pa.binary())
+        release()
+
+    @F.arrow_udf("long")
+    def of_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         release()
         for batch in batches:
             got = np.fromiter((fingerprint(t, shingle) for t in batch.to_pylist()), np.uint64, len(batch))
             yield pa.array(got.view(np.int64), pa.int64())
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text").cast("string")).alias("fp"), *more)
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")
+    if words == 1:
+        return docs.select(doc_id, of_one(text).alias("fp"), *more)
+    whole = docs.select(doc_id, of(text).alias("fp"), *more)
+    return whole.withColumn("fp", F.struct(*(_long("fp", 8 * (words - 1 - w)).alias(f"w{w}") for w in range(words))))
+
+
+def _long(name: str, at: int) -> Column:
+    """Bytes ``at`` to ``at + 8`` of a binary column as a signed long."""
+    halves = [F.conv(F.hex(F.substring(name, at + 1 + 4 * k, 4)), 16, 10).cast("long") for k in (0, 1)]
+    return F.shiftleft(halves[0], 32).bitwiseOR(halves[1])
+
+
+def _words(points: DataFrame) -> list[Column]:
+    """The longs of ``fp``, lowest bits first."""
+    kind = points.schema["fp"].dataType
+    return [F.col(f"fp.{f}") for f in kind.names] if isinstance(kind, StructType) else [F.col("fp")]
+
+
+def _far(fps: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ fp).sum(1, dtype=np.int64)
 
 
 class Tree:
@@ -87,7 +140,7 @@ class Tree:
         self.at, self.edges = int(at[0]), {}
         rest = at[1:]
         if len(rest):
-            far = np.bitwise_count(fps[rest] ^ fps[self.at])
+            far = _far(fps[rest], fps[self.at])
             order = np.argsort(far, kind="stable")
             far, rest = far[order], rest[order]
             cuts = np.nonzero(np.diff(far))[0] + 1
@@ -100,7 +153,7 @@ class Tree:
         stack = [(self, at)]
         while stack:
             node, ask = stack.pop()
-            far = np.bitwise_count(queries[ask] ^ fps[node.at]).astype(np.int64)
+            far = _far(queries[ask], fps[node.at])
             near = ask[far <= radius]
             if len(near):
                 join(near, node.at)
@@ -111,8 +164,8 @@ class Tree:
 
 
 def forest(fps: np.ndarray, part: np.ndarray, lo: int, hi: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges (member, root) of the links between part ``lo`` and part ``hi``."""
-    fps = fps.view(np.uint64)
+    """Spanning edges (member, root) of the links between part ``lo`` and part ``hi`` of ``fps`` (rows of words)."""
+    fps = np.ascontiguousarray(fps).view(np.uint64)
     mine, theirs = np.nonzero(part == lo)[0], np.nonzero(part == hi)[0]
     if not len(mine) or not len(theirs):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -140,32 +193,72 @@ def scheme(n: int, radius: int) -> tuple[int, int]:
     return blocks, agree
 
 
-def links(points: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Spanning edges (a, b) of the links among distinct ``fp`` values at most ``radius`` bits apart."""
+def keys_for(n: int, words: int) -> list[list[int]]:
+    """The bytes of each key that names a shard of ``n`` wide fingerprints.
+
+    A key has two bytes up to 2^27 fingerprints and one more for each 2^8 times as many, so that
+    shards stay small. The bytes of two texts of similarity j agree in a bit with the chance
+    1 - acos(2j / (1 + j)) / pi; there are as many keys as find a pair of similarity ``ALIKE`` with
+    the chance ``FOUND``, whatever ``n``: 31 of two bytes, 119 of three. They are runs of
+    shuffled orders of all bytes, the same ones at every call.
+    """
+    size, width = max(2, math.ceil((math.log2(max(2, n)) - 11) / 8)), 8 * words
+    same = (1 - math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi) ** (8 * size)
+    count = math.ceil(math.log(1 - FOUND) / math.log(1 - same))
+    order, deal, keys = list(range(width)), random.Random(SEED), []
+    while len(keys) < count:
+        runs = [sorted(order[i : i + size]) for i in range(0, width - size + 1, size)]
+        keys += [run for run in runs if run not in keys]
+        deal.shuffle(order)
+    return keys[:count]
+
+
+def _pigeonhole(n: int, radius: int) -> list[Column]:
+    """The key of every choice of blocks that must agree."""
     blocks, agree = scheme(n, radius)
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     keys = []
-    for k, choice in enumerate(combinations(range(blocks), agree)):
+    for choice in combinations(range(blocks), agree):
         mask = sum(((1 << edges[b + 1]) - 1) ^ ((1 << edges[b]) - 1) for b in choice)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed)).alias("value")))
+        keys.append(F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+    return keys
+
+
+def _runs(n: int, words: list[Column]) -> list[Column]:
+    def byte(at: int) -> Column:
+        return F.shiftrightunsigned(words[at // 8], 8 * (at % 8)).bitwiseAND(F.lit(255))
+
+    return [sum((F.shiftleft(byte(at), 8 * k) for k, at in enumerate(run)), F.lit(0).cast("long")) for run in keys_for(n, len(words))]
+
+
+def links(points: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """Spanning edges (a, b) of the links among distinct ``fp`` values at most ``radius`` bits apart:
+    all of them for 64 bits, those of pairs that share a key for wide fingerprints."""
+    words = _words(points)
+    keys = _pigeonhole(n, radius) if len(words) == 1 else _runs(n, words)
+    keys = [F.struct(F.lit(k).alias("choice"), key.alias("value")) for k, key in enumerate(keys)]
     dealt = points.select("fp", F.explode(F.array(*keys)).alias("_k")).select("fp", "_k.choice", "_k.value")
     dealt = chunk_pairs(dealt, ["choice", "value"], F.xxhash64("fp"), shard)
-    task = ["choice", "value", "lo", "hi"]
+    task, names = ["choice", "value", "lo", "hi"], [f"w{w}" for w in range(len(words))]
+    ends = [f"{end}{w}" for end in "ab" for w in range(len(words))]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, fps, part in _groups(batches):
+        for keys, part, fps in _groups(batches):
             member, root = forest(fps, part, int(keys[2]), int(keys[3]), radius)
             if len(member):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[member]), pa.array(fps[root])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*fps[member].T, *fps[root].T]], ends)
         release()
 
-    placed = dealt.select(*task, "fp", "part").repartition(*task).sortWithinPartitions(*task)
-    return placed.mapInArrow(search, "a long, b long")
+    flat = dealt.select(*task, "part", *(w.alias(name) for w, name in zip(words, names)))
+    placed = flat.repartition(*task).sortWithinPartitions(*task)
+    found = placed.mapInArrow(search, ", ".join(f"{e} long" for e in ends))
+    if len(words) == 1:
+        return found.toDF("a", "b")
+    return found.select(*(F.struct(*(F.col(f"{end}{w}").alias(f"w{w}") for w in range(len(words)))).alias(end) for end in "ab"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]):
-    """(key, fp, part) of each run of equal keys with two rows or more; runs may span batches."""
+    """(key, part, fps) of each run of equal keys with two rows or more; runs may span batches."""
     held: list[np.ndarray] = []
     for batch in batches:
         columns = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
@@ -189,7 +282,7 @@ def _cut(columns: np.ndarray):
     bounds = np.concatenate([[0], change, [columns.shape[1]]])
     for k in np.nonzero(np.diff(bounds) > 1)[0]:
         a, b = bounds[k], bounds[k + 1]
-        yield columns[:4, a], columns[4, a:b], columns[5, a:b]
+        yield columns[:4, a], columns[4, a:b], columns[5:, a:b].T
 
 
 def _placed(prints: DataFrame, key: list[str], radius: int, shard: int) -> DataFrame:
@@ -204,21 +297,18 @@ def _placed(prints: DataFrame, key: list[str], radius: int, shard: int) -> DataF
     return prints.join(placed, "fp")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD, words: int = 1) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (least doc_id reachable by links), one row per row."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    return _placed(prints, [], radius, shard).select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.col("first.doc_id").alias("component_id"),
-    )
+    prints = written(fingerprints(docs, shingle, words), "fingerprints")
+    digits = [F.lower(F.lpad(F.hex(w), 16, "0")) for w in reversed(_words(prints))]
+    return _placed(prints, [], radius, shard).select("doc_id", F.concat(*digits).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD, words: int = 1) -> DataFrame:
     """The rows of ``docs`` of which each component keeps one: the row with the least doc_id (nulls
     last) and, of several texts with that id, the one whose hash is least."""
     text_key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    prints = written(fingerprints(docs, shingle, text_key.alias("text_key")), "fingerprints")
+    prints = written(fingerprints(docs, shingle, words, text_key.alias("text_key")), "fingerprints")
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     got = _placed(prints, ["text_key"], radius, shard).select("doc_id", "text_key", first.alias("kept"))
     return rows_that_stay(docs, text_key, got)

@@ -265,6 +265,78 @@ def test_simhash_planted(spark):
             assert a == b or roots[a] == roots[b]
 
 
+def plain_wide(text, shingle, words):
+    """The further words bit by bit, in Python's integers."""
+    import xxhash
+
+    tokens = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    if not tokens:
+        return 0
+    found, full = 0, 2**64 - 1
+    for word in range(words):
+        hashes = []
+        for i in range(max(1, len(tokens) - shingle + 1)):
+            z = xxhash.xxh64(" ".join(tokens[i : i + shingle]), seed=42).intdigest()
+            if word:
+                z = (z + word * 0x9E3779B97F4A7C15) & full
+                z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & full
+                z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & full
+                z ^= z >> 31
+            hashes.append(z)
+        found |= sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << (64 * word)
+    return found
+
+
+def altered(text, rng, similarity):
+    """``text`` with words replaced until the Jaccard similarity of its five-word shingles is as given."""
+    words = text.split()
+    whole = set(zip(*(words[i:] for i in range(5))))
+    for at in rng.permutation(len(words)):
+        words[at] = f"x{rng.integers(1 << 30)}"
+        now = set(zip(*(words[i:] for i in range(5))))
+        if len(whole & now) / len(whole | now) <= similarity:
+            break
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("shard", [2048, 3])
+def test_wide_simhash(spark, docs, shard):
+    """Components, by brute force, of the pairs that share a key and are near; and their recall."""
+    rng, words, radius = np.random.default_rng(11), 4, 42
+    texts = [r[0] for r in docs.where("length(text) between 600 and 4000").select("text").orderBy("doc_id").distinct().limit(60).collect()]
+    rows = [(i, t) for i, t in enumerate(texts + [altered(t, rng, 0.9) for t in texts])] + [(500, None), (501, " "), (None, ""), (502, texts[0]), (None, "one two"), (None, None)]
+    table = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, fp int, w0 int")
+    got = simhash.near_duplicates(table, 5, radius, shard, words).collect()
+    assert len(got) == len(rows) and {len(r[1]) for r in got} == {16 * words}
+    prints = {i: int(f, 16) for i, f, _ in got if i is not None}
+    texts_of = dict(rows)
+    for i in (0, 1, 60, 500):
+        assert prints[i] == plain_wide(texts_of[i], 5, words) == simhash.fingerprint(texts_of[i], 5, words)
+    keys = simhash.keys_for(len(set(prints.values())), words)
+    ids = sorted(prints)
+    up = {i: i for i in ids}
+    for _ in ids:
+        for i in ids:
+            for j in ids:
+                x = prints[i] ^ prints[j]
+                if x.bit_count() <= radius and (not x or any(all(not x >> (8 * b) & 255 for b in run) for run in keys)):
+                    up[i] = up[j] = min(up[i], up[j])
+    assert {i: c for i, _, c in got if i is not None} == up
+    assert np.mean([up[60 + i] == up[i] for i in range(60)]) >= 0.9 and up[501] == 500 and up[502] == 0
+    kept = simhash.representatives(table, 5, radius, shard, words)
+    assert kept.columns == table.columns and kept.count() == len({f if i is None else up[i] for i, f, _ in got} - {"0" * 64})
+    assert simhash.representatives(table.limit(0), 5, radius, shard, words).count() == 0
+
+
+def test_keys_for_find_as_many_at_every_size():
+    for n in (10, 1 << 27, 1 << 30, 1 << 37):
+        keys = simhash.keys_for(n, 4)
+        size = len(keys[0])
+        same = (1 - np.arccos(1.6 / 1.8) / np.pi) ** (8 * size)
+        assert 1 - (1 - same) ** len(keys) >= 0.9 and len({frozenset(k) for k in keys}) == len(keys)
+        assert all(len(set(k)) == size and max(k) < 32 for k in keys) and n / 256**size <= 2**11
+
+
 def test_simhash_odd(odd):
     got = simhash.near_duplicates(odd)
     zero = got.where("doc_id in (1, 2, 3)").collect()

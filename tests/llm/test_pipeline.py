@@ -51,7 +51,7 @@ def test_exact_stage_keeps_one_row_of_each_text(spark, table):
 def test_near_stage_keeps_one_row_of_each_component(spark, table):
     got = [(r["doc_id"], r["n_chars"]) for r in corpus_pipeline.near(spark, table, "").collect()]
     near = corpus_pipeline.NEAR
-    prints = [simhash.fingerprint(t, near["shingle"]) for _, t in ROWS]
+    prints = [simhash.fingerprint(t, near["shingle"], near.get("words", 1)) for _, t in ROWS]
     root = list(range(len(ROWS)))
     for _ in ROWS:
         for a, p in enumerate(prints):
