@@ -150,16 +150,16 @@ def citation_audit(spark, sf):
 
 @query(r"""
     SELECT doc_id, length(c) AS chars, sha256(c) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-        substr(text, 1, 2000), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 'https?://\S+', ' ', 'g'), '[#*_`>|]+', ' ', 'g'), '[^\x20-\x7E]+', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM documents)
+        text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 'https?://\S+', ' ', 'g'), '[#*_`>|]+', ' ', 'g'), '[^\x20-\x7E]+', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM documents)
 """)
 def citation_sanitize(spark, sf):
-    clean = T.unlinked(F.substring("text", 1, 2000))
+    clean = T.unlinked(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.length(clean).cast("long").alias("chars"), F.sha2(clean, 256).alias("digest"))
 
 
 @query()
 def citation_snippet(spark, sf):
-    """citation_sanitize over whole texts, with the sentence that a citation shows."""
+    """citation_sanitize with the sentence that a citation shows."""
     clean = T.unlinked(F.col("text"))
     found = citation.snippet(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.length(clean).cast("long").alias("chars"), F.sha2(clean, 256).alias("digest"), found.alias("snippet"))

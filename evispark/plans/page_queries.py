@@ -65,26 +65,6 @@ def link_priority_topk(spark, sf):
     return best.withColumn("rank", F.row_number().over(order)).where("rank <= 8")
 
 
-@query(f"""
-    SELECT * FROM (SELECT page_id, least(5, 2 * ({" + ".join(f"contains(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1)), '{t}')::INT" for t in ("en", "page", "fr"))}))
-        + least(3, {" + ".join(f"contains(lower({_TITLE}), '{t}')::INT" for t in _WORDS)})
-        - least(6, 2 * ({" + ".join(f"contains(lower(url), '{t}')::INT" for t in L.IRRELEVANT_URL)}))
-        - CASE WHEN length({_VISIBLE}) < 220 THEN 1 ELSE 0 END AS score FROM pages) WHERE score >= 2
-""")
-def page_relevance(spark, sf):
-    def hits(column, words):
-        return sum((column.contains(w).cast("int") for w in words), F.lit(0))
-
-    url, html = F.col("url"), F.col("html")
-    score = (
-        F.least(F.lit(5), 2 * hits(F.lower(H.path(url)), ("en", "page", "fr")))
-        + F.least(F.lit(3), hits(F.lower(H.title(html)), _WORDS))
-        - F.least(F.lit(6), 2 * hits(F.lower(url), L.IRRELEVANT_URL))
-        - F.when(F.length(H.visible(html)) < 220, 1).otherwise(0)
-    )
-    return table(spark, sf, "pages").select("page_id", score.alias("score")).where("score >= 2")
-
-
 #: Characters of a page's text that its content score reads, as in the survey's HTM-11.
 PREVIEW = 3500
 
@@ -95,8 +75,8 @@ PREVIEW = 3500
         - least(6, 2 * ({" + ".join(f"contains(url, '{t}')::INT" for t in L.IRRELEVANT_URL)})) - CASE WHEN length(text) < 220 THEN 1 ELSE 0 END AS score
         FROM (SELECT *, substr(lower(text), 1, {PREVIEW}) AS preview FROM (SELECT page_id, lower(url) AS url, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1)) AS path, lower({_TITLE}) AS title, {_VISIBLE} AS text FROM pages))) WHERE score >= 2
 """)
-def page_relevance_whole(spark, sf):
-    """page_relevance with its content and stage terms, and seeds whatever their score. A page is a
+def page_relevance(spark, sf):
+    """Pages whose address, title and text score 2 or more, and seeds whatever their score. A page is a
     seed if it was fetched from the address it was asked for (``requested_url``, if the table has it)."""
 
     def hits(column, words):
@@ -125,19 +105,6 @@ _PARAS = rf"""
 """
 
 
-@query(f"""
-    WITH p AS ({_PARAS}), n AS (SELECT count(*) AS n FROM pages),
-    common AS (SELECT key FROM p WHERE length(p) >= 40 GROUP BY key HAVING count(DISTINCT page_id) >= 3)
-    SELECT page_id, count(*) AS kept, sum(length(p)) AS chars FROM p WHERE key NOT IN (SELECT key FROM common) GROUP BY page_id
-""")
-def boilerplate_removal(spark, sf):
-    found = table(spark, sf, "pages").select("page_id", F.explode(H.blocks(F.col("html"), "p|li|h1|div")).alias("p"))
-    found = found.withColumn("key", F.sha2(F.regexp_replace(F.lower("p"), "[^a-z0-9 ]", ""), 256))
-    common = found.where(F.length("p") >= 40).select("key", "page_id").distinct().groupBy("key").count().where("count >= 3")
-    left = found.join(common.select("key"), "key", "left_anti")
-    return left.groupBy("page_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("p")).alias("chars"))
-
-
 #: A paragraph on more than this share of the pages is boilerplate.
 COMMON_SHARE = 0.3
 
@@ -147,9 +114,9 @@ COMMON_SHARE = 0.3
     common AS (SELECT key FROM p WHERE length(p) >= 40 GROUP BY key HAVING count(DISTINCT page_id) >= (SELECT least FROM n))
     SELECT page_id, count(*) AS kept, sum(length(p)) AS chars FROM p WHERE key NOT IN (SELECT key FROM common) GROUP BY page_id
 """)
-def boilerplate_share(spark, sf):
-    """boilerplate_removal with the threshold that grows with the count of pages: a paragraph goes if
-    it is on max(2, floor(COMMON_SHARE * pages) + 1) pages or more."""
+def boilerplate_removal(spark, sf):
+    """Paragraphs left on each page: one goes if it is on max(2,
+    floor(COMMON_SHARE * pages) + 1) pages or more."""
     pages = table(spark, sf, "pages")
     found = pages.select("page_id", F.explode(H.blocks(F.col("html"), "p|li|h1|div")).alias("p"))
     found = found.withColumn("key", F.sha2(F.regexp_replace(F.lower("p"), "[^a-z0-9 ]", ""), 256))

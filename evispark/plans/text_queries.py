@@ -83,20 +83,12 @@ def line_statistics(spark, sf):
 @query(r"""
     SELECT doc_id, slug, CASE WHEN length(flat) <= 60 THEN flat ELSE rtrim(substr(flat, 1, 60), ' ') || '...' END AS clipped
     FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS flat,
-        coalesce(nullif(regexp_replace(lower(regexp_replace(substr(text, 1, 80), '[^a-zA-Z0-9]+', '-', 'g')), '^-+|-+$', '', 'g'), ''), 'document') AS slug
+        coalesce(nullif(regexp_replace(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '-', 'g')), '^-+|-+$', '', 'g'), ''), 'document') AS slug
         FROM documents)
 """)
 def slug_and_clip(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", T.slug(F.substring(text, 1, 80)).alias("slug"), T.clip(text, 60).alias("clipped"))
-
-
-@query("""
-    SELECT doc_id, coalesce(nullif(regexp_replace(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '-', 'g')), '^-+|-+$', '', 'g'), ''), 'document') AS slug FROM documents
-""")
-def slug_whole(spark, sf):
-    """slug_and_clip's slug, of whole values."""
-    return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", T.slug(text).alias("slug"), T.clip(text, 60).alias("clipped"))
 
 
 @query(rf"""

@@ -30,9 +30,9 @@ def test_citation_snippet(spark, folder):
     assert len(whole) > 2000 and got[1]["chars"] == len(whole) and got[1]["digest"] == hashlib.sha256(whole.encode()).hexdigest()
 
 
-def test_slug_whole(spark, folder):
+def test_slug_and_clip(spark, folder):
     path, rows = folder
-    got = {r["doc_id"]: r["slug"] for r in QUERIES["slug_whole"](spark, path).collect()}
+    got = {r["doc_id"]: r["slug"] for r in QUERIES["slug_and_clip"](spark, path).collect()}
     assert got == {i: re.sub("[^a-z0-9]+", "-", (t or "").lower()).strip("-") or "document" for i, t in rows}
 
 
@@ -48,17 +48,17 @@ def pages_at(spark, path, rows, kind):
 
 
 @pytest.mark.parametrize("n", [1, 2, 10, 40])
-def test_boilerplate_share(spark, tmp_path, n):
+def test_boilerplate_removal(spark, tmp_path, n):
     shared = [f"Passage number {k} that stands on several pages of this corpus." for k in range(n + 1)]
     texts = {i: [p for k, p in enumerate(shared) if i < k] + [f"Only page {i} has this paragraph, no other page does."] for i in range(n)}
     rows = [(i, "http://x.co/", "".join(f"<p>{p}</p>" for p in ps)) for i, ps in texts.items()]
-    got = {r["page_id"]: r["kept"] for r in QUERIES["boilerplate_share"](spark, pages_at(spark, tmp_path, rows, "page_id long, url string, html string")).collect()}
+    got = {r["page_id"]: r["kept"] for r in QUERIES["boilerplate_removal"](spark, pages_at(spark, tmp_path, rows, "page_id long, url string, html string")).collect()}
     least = max(2, int(n * 0.3) + 1)
     on = {p: sum(p in ps for ps in texts.values()) for p in shared}
     assert got == {i: sum(on.get(p, 1) < least for p in ps) for i, ps in texts.items()}
 
 
-def test_page_relevance_whole(spark, tmp_path):
+def test_page_relevance(spark, tmp_path):
     body = "Our leave policy and overtime rules. " + "Filler words stand here. " * 20
     plain = "Filler words stand here. " * 20
     rows = [
@@ -67,5 +67,5 @@ def test_page_relevance_whole(spark, tmp_path):
         (5, "http://x.co/a", None, f"<title>Q</title><p>{plain}</p>"),
     ]
     path = pages_at(spark, tmp_path, rows, "page_id long, url string, requested_url string, html string")
-    got = {r["page_id"]: (r["score"], r["seed"]) for r in QUERIES["page_relevance_whole"](spark, path).collect()}
+    got = {r["page_id"]: (r["score"], r["seed"]) for r in QUERIES["page_relevance"](spark, path).collect()}
     assert got == {1: (2, False), 3: (3, False), 4: (0, True)}
