@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, pii, sharding, simhash, token_files, toxicity, vectors
+from . import exact_dedup, langid, licenses, mixing, negatives, packing, pii, sharding, simhash, token_files, toxicity, vector_codes, vectors
 from .common import id_part
 
 
@@ -68,15 +68,71 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.summary(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_personal_data, op3_mixing, op4_packing, op5_language,
         op6_exact_dedup, op7_toxicity, op8_vector_dedup, op9_simhash, op10_sharding,
+        op11_licenses, op12_vector_codes, op13_hard_negatives,
     )
 }
 
+_INTEGERS = """SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor({scale} * x)) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""
+
+
+def _rounds(n: int) -> str:
+    """n rounds of assignment and new entries, and the last assignment."""
+    steps = []
+    for k in range(n + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+            SELECT vec_id, p, v, e, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) AS o FROM (
+                SELECT vec_id, p, v, e, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS d FROM parts JOIN r{k} USING (p)
+            )) WHERE o = 1
+        )""")
+        if k < n:
+            steps.append(f"""r{k + 1} AS MATERIALIZED (
+            SELECT p, e, coalesce(m, c) AS c FROM r{k} LEFT JOIN (
+                SELECT p, e, list(mean ORDER BY i) AS m FROM (SELECT p, e, i, floor(sum(v[i]) / count(*)) AS mean FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e
+            ) USING (p, e)
+        )""")
+    return ", ".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": f"""
+        WITH w AS MATERIALIZED ({_INTEGERS.format(scale=1024)}),
+        parts AS MATERIALIZED (SELECT vec_id, p, q[len(q) // 4 * p + 1 : len(q) // 4 * (p + 1)] AS v FROM w, (VALUES (0), (1), (2), (3)) AS t(p)),
+        r0 AS MATERIALIZED (SELECT p, e - 1 AS e, v AS c FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS e FROM parts) WHERE e <= 256),
+        {_rounds(4)},
+        books AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS x, unnest(range(len(c))) AS i FROM r4)),
+        coded AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN w USING (vec_id), books
+    """,
+    "op13_hard_negatives": f"""
+        WITH w AS MATERIALIZED (SELECT vec_id, q, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ({_INTEGERS.format(scale=256)}) WHERE label IS NOT NULL),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ),
+        positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS o FROM s WHERE same) WHERE o <= 5)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM (
+            SELECT p.*, s.vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS rank
+            FROM positives p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        ) WHERE rank <= 5
+    """,
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t,
