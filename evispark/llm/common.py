@@ -7,7 +7,6 @@ names in ``spark.checkpoint.dir``, so any executor can be lost and any other can
 from __future__ import annotations
 
 import atexit
-import math
 import os
 import shutil
 import tempfile
@@ -104,15 +103,25 @@ def id_part(column: Column, parts: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % parts
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    return [quoted(c) for c in docs.columns]
+
+
 #: Names that no table of documents has.
-_ID, _TEXT, _SIZE = "__stay_id__", "__stay_text__", "__stay_size__"
+_ID, _TEXT, _SIZE, _ROW = "__stay_id__", "__stay_text__", "__stay_size__", "__stay_row__"
 
 
 def rows_that_stay(docs: DataFrame, text_key: Column, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decided`` (doc_id, text_key, kept: one row per row of ``docs``) keeps.
 
     Rows are told apart by doc_id, where null equals null, and ``text_key``. ``decided`` keeps at
-    most one row of each such pair; of rows that share a kept one, a row with the longest text stays.
+    most one row of each such pair; of rows that share a kept one, one with the longest text stays, and of
+    these the one whose columns as JSON have the least hash.
     """
     each = decided.groupBy(F.col("doc_id").alias(_ID), F.col("text_key").alias(_TEXT))
     each = written(each.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "kept")
@@ -121,12 +130,13 @@ def rows_that_stay(docs: DataFrame, text_key: Column, decided: DataFrame) -> Dat
     left = marked.join(each.where("NOT stays").select(_ID, _TEXT), same, "left_anti")
     again = each.where("stays AND n > 1").select(_ID, _TEXT)
     if again.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(again, same, "left_anti").select(*docs.columns)
-    size = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rest = left.join(again, same, "left_semi").select(*docs.columns, F.col(_TEXT + "2"), size.alias(_SIZE))
-    rest = rest.groupBy(F.col("doc_id").alias(_ID), _TEXT + "2").agg(F.max_by(F.struct(*docs.columns), _SIZE).alias("row"))
-    return once.unionByName(rest.select("row.*"))
+        return left.select(*columns_of(docs))
+    once = left.join(again, same, "left_anti").select(*columns_of(docs))
+    whole = F.struct(*columns_of(docs))
+    first = F.struct(F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))), -F.xxhash64(F.to_json(whole)).cast("decimal(20,0)"))
+    rest = left.join(again, same, "left_semi").select("doc_id", F.col(_TEXT + "2"), whole.alias(_ROW), first.alias(_SIZE))
+    rest = rest.groupBy(F.col("doc_id").alias(_ID), _TEXT + "2").agg(F.max_by(_ROW, _SIZE).alias(_ROW))
+    return once.unionByName(rest.select(f"{_ROW}.*"))
 
 
 def in_id_order(df: DataFrame, *ties: Column) -> DataFrame:
@@ -204,5 +214,3 @@ def least_roots(n: int, left, right):
     return [find(x) for x in range(n)]
 
 
-def bits_for(n: int) -> int:
-    return max(1, math.ceil(math.log2(max(2, n))))

@@ -334,21 +334,19 @@ def sample(docs: DataFrame, learn_from: Column, per_lang: int, train_chars: int)
     return [(r[0], r[1]) for r in fit.join(ids, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").select("lang", "text").collect()]
 
 
-#: A name that no table of documents has.
-_GOT = "__language__"
-
-
 def identify(
     docs: DataFrame,
     learn_from: Column,
     per_lang: int = PER_LANG,
     train_chars: int = TRAIN_CHARS,
+    into: str = "language",
 ) -> DataFrame:
-    """``docs`` plus lang_pred, score, switches (label changes between neighbouring words), certainty
-    (mean of each word's largest posterior; null if a text with letters meets a model that knows no
-    language) and unlearned (the row has a label, and the model doesn't know that language).
+    """``docs`` plus a struct ``into`` (a name that ``docs`` doesn't have) of lang_pred, score, switches
+    (label changes between neighbouring words), certainty (mean of each word's largest posterior; null if
+    a text with letters meets a model that knows no language) and unlearned (the row has a label, and
+    the model doesn't know that language).
 
-    Learns from rows where ``learn_from`` is true."""
+    Learns from rows where ``learn_from`` is true. Columns of ``docs`` are unchanged, whatever their names."""
     spark = docs.sparkSession
     prepare(spark)
     base = docs.select(
@@ -371,11 +369,10 @@ def identify(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["lang_pred", "score", "words", "switches", "certainty"]
             )
 
-    got = docs.withColumn(_GOT, guess(F.col("text").cast("string")))
-    fields = {x: F.col(f"{_GOT}.{x}") for x in ("lang_pred", "score", "switches", "certainty")}
     label = F.col("lang").cast("string")
     known = label.isin(model.langs) if model.langs else F.lit(False)
-    return got.withColumns(fields | {"unlearned": label.isNotNull() & ~known}).drop(_GOT)
+    got = docs.withColumn(into, guess(F.col("text").cast("string")))
+    return got.withColumn(into, F.col(into).withField("unlearned", label.isNotNull() & ~known))
 
 
 def _predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, int, int, float | None]]:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, hash_share, written
+from .common import SPACES, columns_of, hash_share, written
 
 BUCKETS = 4096
 PER_DOMAIN = 2_000
@@ -252,7 +252,7 @@ def mix(
     other = counts.where(F.col(_COPIES) != 1).dropDuplicates([_KEY])
     seen = docs.withColumn(_KEY, key).join(other, _KEY, "left")
     times = F.array_repeat(F.lit(1), F.coalesce(_COPIES, F.lit(1)).cast("int"))
-    return seen.withColumn(_EACH, F.explode(times)).select(*docs.columns)
+    return seen.withColumn(_EACH, F.explode(times)).select(*columns_of(docs))
 
 
 #: The dealt mix: every source is a domain and its targets are level.

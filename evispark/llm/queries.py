@@ -42,7 +42,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = id_part(F.col("doc_id"), 4)
     held_out = F.coalesce(part == 2, F.lit(False))
     got = langid.identify(table(spark, sf_dir, "documents"), part != 2)
-    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "switches")
+    return got.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.switches")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ the driver. A record's place in its shard is its slot's base (prefix sums over s
 inside the slot, so no task sorts a whole shard. Slots are ranked in ``SPREAD`` parts each, dealt by
 row, so that one id that repeats in a third of the rows is no single task.
 
+Records hash by id, text and occurrence: rows that agree in id and text are numbered (in parts of
+``PART`` rows or less, so that no task ranks all of them), the first keeps the record's own slot and the others get slots of their own. So a
+row that repeats very often doesn't fill one slot, and the law holds for any rows that are small beside a shard.
+
 Defined results: a null text has size 8 and checksum 0; a null doc_id hashes like an id of its own;
 rows that repeat have places of their own; an empty table gives no rows and an even map; other
 columns are ignored.
@@ -27,14 +31,17 @@ from .common import new_folder, prepare, written
 SLOTS = 8192
 SHARDS = 24
 SPREAD = 16
+#: Rows that agree in id and text and are numbered by one task.
+PART = 10_000
 OVERHEAD = 8
 
 MAP = "version int, slot int, shard int, bytes long"
 
 
-def slot_of(slots: int = SLOTS) -> Column:
-    """Records hash by id and text, so that an id that repeats doesn't fill one slot."""
-    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))), F.lit(slots)).cast("int")
+def slot_of(slots: int, again: Column) -> Column:
+    """The slot of doc_id, text_crc32 and ``again``, which numbers rows that agree in the others from 0."""
+    key = F.when(again == 0, F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", again))
+    return F.pmod(key, F.lit(slots)).cast("int")
 
 
 def first_map(slots: int = SLOTS, shards: int = SHARDS) -> list[int]:
@@ -100,18 +107,33 @@ def rebalance(spark: SparkSession, folder: str, sizes: dict[int, int], shards: i
     return version
 
 
-def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual slot and the part of the slot that ranks the row."""
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32 and a number of each row."""
     plain = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(plain) + OVERHEAD).cast("long").alias("size"),
         F.crc32(plain).alias("text_crc32"),
-        slot_of(slots).alias("virtual_slot"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int").alias("part"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
+def slotted(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, virtual slot and the part of the slot that ranks the row."""
+    # By size too: texts of one checksum and another size aren't the same row again.
+    same, part = ["doc_id", "text_crc32", "size"], F.pmod("row", F.lit(SPREAD)).cast("int").alias("part")
+    often = written(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    if often.isEmpty():
+        return rows.select(*same, slot_of(slots, F.lit(0)).alias("virtual_slot"), part)
+    often = often.select(*(F.col(c).alias(f"_{c}") for c in same), F.ceil(F.col("n") / PART).alias("parts"))
+    match = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size"))
+    met = rows.join(often, match, "left").withColumn("deal", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))))
+    many = met.where("parts IS NOT NULL").withColumn("again", (F.row_number().over(W.partitionBy(*same, "deal").orderBy("row")) - 1) * F.col("parts") + F.col("deal"))
+    one = met.where("parts IS NULL").withColumn("again", F.lit(0).cast("long"))
+    whole = one.select(*same, "again", "row").unionByName(many.select(*same, "again", "row"))
+    return whole.select(*same, slot_of(slots, F.col("again")).alias("virtual_slot"), part)
+
+
 def slot_bytes(rows: DataFrame) -> dict[int, int]:
     """Bytes of each slot: SLOTS rows at most."""
     return {r[0]: r[1] for r in rows.groupBy("virtual_slot").agg(F.sum("size")).collect()}
@@ -134,7 +156,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str
     spark = docs.sparkSession
     prepare(spark)
     folder = folder or new_folder(spark, "slot-map")
-    rows = written(sized(docs, slots), "sized")
+    rows = written(slotted(written(sized(docs), "sized"), slots), "slotted")
     version = rebalance(spark, folder, slot_bytes(rows), shards, slots)
     return place(rows, load_map(spark, folder, version)).select(
         "doc_id",

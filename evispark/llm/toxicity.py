@@ -165,7 +165,7 @@ def score(
     per_class: int = PER_CLASS,
     train_chars: int = TRAIN_CHARS,
 ) -> DataFrame:
-    """``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5)."""
+    """doc_id, ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5), one row per row of ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -178,5 +178,5 @@ def score(
         for batch in batches:
             yield pa.array(scorer.scores(batch.to_pylist()), pa.float64())
 
-    got = docs.withColumn("score", guess(F.col("text").cast("string")))
+    got = docs.select("doc_id", guess(F.col("text").cast("string")).alias("score"))
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -47,7 +47,9 @@ BLOCK = 1024
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Their largest magnitude is divided out first, as squares of very large or very small ones leave the doubles."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -142,7 +142,7 @@ def test_best_cuts_are_optimal():
 
 def test_language_held_out(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = langid.identify(table, id_part(F.col("doc_id"), 4) != 2, per_lang=40).where(id_part(F.col("doc_id"), 4) == 2)
+    got = langid.identify(table, id_part(F.col("doc_id"), 4) != 2, per_lang=40).select("*", "language.*").where(id_part(F.col("doc_id"), 4) == 2)
     right, n = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count(F.lit(1))).first()
     assert n > 200 and right > 0.97
 
@@ -150,7 +150,7 @@ def test_language_held_out(spark):
 def test_language_letters_long_words_and_names(spark):
     rows = [(1, "① ② ½ ٣", "en"), (2, "the cat " * 50, "en"), (3, "le chat " * 50, "fr"), (4, "xx" * 15 + "lechatlechat" * 400, None), (5, "ª", None)]
     table = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in langid.identify(table.withColumns({"_lid": F.lit(7), "score": F.lit("x")}), F.lit(True)).collect()}
+    got = {r["doc_id"]: r for r in langid.identify(table.withColumns({"_lid": F.lit(7), "a.b": F.lit("x"), "score": F.lit("own")}), F.lit(True)).select("doc_id", "_lid", "`a.b`", "language.*").collect()}
     assert got[1]["lang_pred"] == langid.UND and got[1]["_lid"] == 7 and isinstance(got[1]["score"], float)
     assert got[2]["lang_pred"] == "en" and got[3]["lang_pred"] == "fr" and got[5]["lang_pred"] != langid.UND
     cut = langid.pieces(rows[3][1] + " é" + "ü" * 30)
@@ -169,10 +169,10 @@ def test_language_messages_cross_chain_borders(spark):
 
 
 def test_language_odd(odd):
-    got = {(r["doc_id"], r["text"]): r for r in langid.identify(odd, F.lit(True)).collect()}
+    got = {(r["doc_id"], r["text"]): r for r in langid.identify(odd, F.lit(True)).select("*", "language.*").collect()}
     assert got[(1, None)]["lang_pred"] == langid.UND and got[(3, "   \t\n")]["score"] == 0
     assert all(0 <= r["score"] <= 1 for r in got.values())
-    assert {r["lang_pred"] for r in langid.identify(odd, F.lit(False)).collect()} == {langid.UND}
+    assert {r["lang_pred"] for r in langid.identify(odd, F.lit(False)).select("language.lang_pred").collect()} == {langid.UND}
 
 
 def test_forward_backward_matches_enumeration():
@@ -386,6 +386,12 @@ def test_vectors_common_and_useless(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in [*range(100, 160), 300, 301]) and len(got) == len(rows)
 
 
+def test_vectors_of_any_magnitude(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1.0001e200]), (2, [1e-200, 1e-200]), (3, [1.0, 0.001]), (4, [5e-324, 0.0]), (5, [1e308, -1e308]), (6, [-1.7e308, 1.7e308])]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6)}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -498,6 +504,19 @@ def test_sharding(request, odd, which):
         assert sorted(g.slot) == list(range(len(g)))
 
 
+@pytest.mark.parametrize("part", [10_000, 7])
+def test_rows_that_repeat_are_dealt_out(spark, monkeypatch, part):
+    monkeypatch.setattr(sharding, "PART", part)
+    rows = [(1, "same " * 200)] * 2000 + [(None, "none")] * 300 + [(i, f"text {i}") for i in range(500)] + [(7, "text 7")] * 3
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and len(sizes) == 24 and sizes.max() - sizes.min() <= 2 * 1008
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    once = sharding.shard(spark.createDataFrame(rows[2300:2800], "doc_id long, text string")).toPandas().set_index("doc_id").virtual_slot
+    for doc_id, g in got[got["size"] < 20].groupby("doc_id"):
+        assert once[doc_id] in set(g.virtual_slot)
+
+
 def test_shards_are_near_equal_and_edits_are_versions(spark, tmp_path):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sharding.shard(table, folder=str(tmp_path)).groupBy("shard").agg(F.sum("size").alias("bytes")).toPandas()

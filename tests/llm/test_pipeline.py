@@ -98,3 +98,14 @@ def test_mixing_meets_the_targets_of_every_source(spark):
     assert now["hot"] < 0.9 * got.tokens[got.source == "hot"].sum()
     mixed = corpus_pipeline.mix(spark, table, "").groupBy("doc_id").count().collect()
     assert {r[0]: r[1] for r in mixed} == {r.doc_id: r.copies for r in got.itertuples() if r.copies}
+
+
+def test_stages_keep_columns_of_any_name(spark, table):
+    """Columns that the operators have themselves, dotted names and whole rows that repeat come through unchanged."""
+    own = {"score": F.lit("own"), "certainty": F.lit(7), "lang_pred": F.lit("x"), "a.b": F.col("n_chars"), "kept": F.lit("k"), "fp": F.lit(1.5), "copies": F.lit(0), "back`tick": F.lit("q"), "a map": F.create_map(F.lit("k"), F.lit(1))}
+    docs = table.withColumns(own)
+    for stage in (corpus_pipeline.language, corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mix):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, stage.__name__
+        rows = got.collect()
+        assert rows and all((r["score"], r["certainty"], r["kept"], r["fp"], r["copies"], r["back`tick"], r["a map"]) == ("own", 7, "k", 1.5, 0, "q", {"k": 1}) and r["a.b"] == r["n_chars"] for r in rows)
