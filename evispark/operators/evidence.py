@@ -1,10 +1,11 @@
 """Evidence of rubric items in chunks: which chunk mentions which item, how strongly, in which words.
 
-Nothing here is a regular-expression join. Texts become token sequences; the distinct tokens of all
-chunks are matched once to the rubric's terms (an equi-join on the term, or on its stem), and from then
-on a chunk meets an item only through a token that it has. A phrase is found as a substring of the
-chunk's tokens joined by blanks, and a window is an array of tokens, so the score needs no pattern that
-varies by row. Every join is an equi-join that the planner may broadcast, by size, or split, by skew.
+Nothing here is a regular-expression join. An index of the chunks' tokens is written once; its distinct
+tokens are matched to the rubric's terms (an equi-join on the term, or on its stem), and from then on a
+chunk meets a query only through a token that it has, and not through the query's commonest one. A phrase is
+found as a substring of the chunk's tokens joined by blanks, and a window is an array of tokens, so the
+score needs no pattern that varies by row; patterns that don't vary are tried on candidate chunks only.
+Every join is an equi-join that the planner may broadcast, by size, or split, by skew.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from evispark import lexicon as L
 from evispark.functions import text as T
+from evispark.storage import stored
 
 WORD = r"[\p{L}\p{N}]+"
 STEM_LEAST, STEM_TAIL = 5, 6
@@ -83,64 +85,104 @@ def token_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return equal.unionByName(longer).distinct()
 
 
-def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None) -> DataFrame:
-    """chunk_id, item_id, score, terms, n_phrases, n_anchors of every chunk that qualifies for an item.
+@dataclass
+class Index:
+    """Which tokens occur in which chunks. ``postings``: chunk_id, token, each pair once; ``tokens``: token, n chunks."""
 
-    ``chunks``: chunk_id, text. ``items``: item_id, q, query (one row per query). A query qualifies by its
-    phrase, by two neighbouring core tokens, or by a paragraph or sentence with two of its core terms."""
-    signals = signals or Signals()
-    dim = rubric(items, signals)
-    queries = dim.select("item_id", F.explode("queries").alias("x")).select("item_id", "x.*")
-    queries = queries.withColumn("terms", F.array_distinct("core"))
+    postings: DataFrame
+    tokens: DataFrame
+
+
+def token_index(chunks: DataFrame) -> Index:
+    """The index of ``chunks`` (chunk_id, text), written once. Postings stay where their chunks are, sorted by
+    token, so a token that most chunks have is in as many files as they are."""
+    each = chunks.select("chunk_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("token"))
+    postings = stored(each.sortWithinPartitions("token"), "postings")
+    return Index(postings, stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "tokens"))
+
+
+def meanings(items: DataFrame, index: Index, signals: Signals) -> tuple[DataFrame, DataFrame]:
+    """(queries, meant) of ``items`` against an index.
+
+    queries: item_id, q, phrase, pairs, terms, often, easy. ``often`` is the place of the term that most
+    chunks have. A query needs two of its terms in a chunk, unless it has one only or one that is
+    repeated (``easy``): so a chunk that qualifies has a term beside the commonest, and only the rarer ones
+    need be looked up. meant: token, term, n of all tokens that mean a term."""
+    queries = rubric(items, signals).select("item_id", F.explode("queries").alias("x")).select("item_id", "x.*")
+    queries = queries.where(F.size("core") > 0).withColumn("terms", F.array_distinct("core"))
     terms = queries.select("item_id", "q", F.posexplode("terms").alias("i", "term"))
-    kept = chunks.where(searchable(F.col("text"), signals)).select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
-    tokens = kept.select("chunk_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("token"))
-    meant = token_terms(tokens, terms).join(terms, "term")
-    # A query needs two of its terms, unless it has one only, or one twice in a row; which of its terms a
-    # chunk has is one number, so this is a hash aggregate. Only what passes is looked at.
-    bit = F.expr("shiftleft(1L, cast(i % 62 as int))")
-    seen = tokens.join(meant, "token").groupBy("chunk_id", "item_id", "q").agg(F.bit_or(bit).alias("mask"))
-    some = F.array_sort(F.collect_list(F.struct("i", "token")))
-    spelled = meant.groupBy("item_id", "q").agg(some.alias("spelled"))
-    easy = (F.size("terms") < 2) | (F.size("terms") < F.size("core")) | (F.size("terms") > 62)
-    each = queries.join(spelled, ["item_id", "q"]).select(
-        "item_id", "q", "phrase", "pairs", "terms", easy.alias("easy"),
-        F.transform("terms", lambda t, i: F.transform(F.filter("spelled", lambda x: x["i"] == i), lambda x: x["token"])).alias("tokens"),
-    )
-    hits = seen.join(each, ["item_id", "q"]).where("bit_count(mask) >= 2 OR easy").drop("easy")
+    meant = stored(token_terms(index.tokens, terms).join(index.tokens, "token"), "meant")
+    sizes = meant.groupBy("term").agg(F.sum("n").alias("n"))
+    often = terms.join(sizes, "term").groupBy("item_id", "q").agg(F.max_by("i", F.struct("n", -F.col("i"))).alias("often"))
+    easy = (F.size("terms") < 2) | (F.size("terms") < F.size("core"))
+    queries = queries.join(often, ["item_id", "q"]).select("item_id", "q", "phrase", "pairs", "terms", "often", easy.alias("easy"))
+    return stored(queries, "queries"), meant
+
+
+def candidates(index: Index, queries: DataFrame, meant: DataFrame) -> DataFrame:
+    """chunk_id, item_id, q, found: the query's terms that the chunk has, two or more unless the query is easy."""
+    have = index.postings.join(meant.select("token", "term"), "token").groupBy("chunk_id").agg(F.collect_set("term").alias("have"))
+    have = stored(have, "chunk_terms")
+    asked = queries.select("item_id", "q", "easy", "often", F.posexplode("terms").alias("i", "term")).where("easy OR i <> often")
+    hits = have.select("chunk_id", F.explode("have").alias("term")).join(asked.select("item_id", "q", "term"), "term")
+    hits = hits.groupBy("chunk_id", "item_id", "q").agg(F.collect_set("term").alias("rare"))
+    hits = hits.join(queries.select("item_id", "q", "terms", "often", "easy"), ["item_id", "q"]).join(have, "chunk_id")
+    common = F.get("terms", "often")
+    found = F.filter("terms", lambda t: F.array_contains("rare", t) | ((t == common) & F.array_contains("have", t)))
+    two = (F.size("rare") >= 2) | F.array_contains("have", common)
+    return stored(hits.where(F.col("easy") | two).select("chunk_id", "item_id", "q", found.alias("found")), "candidates")
+
+
+def facts_of(chunks: DataFrame, meant: DataFrame, signals: Signals) -> DataFrame:
+    """chunk_id, flat, windows, base, process of the searchable ``chunks``. ``windows`` are the terms of the
+    paragraphs and sentences that have two; null for a text of one paragraph, which is a window itself."""
     low = F.lower("text")
-    # A text of one paragraph is a window itself: whatever two terms it has, it has in that.
-    paragraphs, none = F.split("text", r"\n\s*\n"), F.array().cast("array<array<string>>")
-    parts = F.when(F.size(F.filter(paragraphs, lambda p: T.strip(p) != "")) > 1, F.transform(F.concat(paragraphs, F.split("text", T.SENTENCE_BREAK)), words_of)).otherwise(none)
-    facts = kept.select(
+    paragraphs = F.split("text", r"\n\s*\n")
+    kept = chunks.where(searchable(F.col("text"), signals)).select(
         "chunk_id",
         joined(words_of(F.col("text"))).alias("flat"),
-        parts.alias("windows"),
+        F.when(F.size(F.filter(paragraphs, lambda p: T.strip(p) != "")) > 1, F.concat(paragraphs, F.split("text", T.SENTENCE_BREAK))).alias("parts"),
         (0.25 * pattern_count(low, signals.domain) - 0.14 * pattern_count(low, signals.legal) - 0.18 * F.greatest(F.lit(0.0), T.nav_balance(F.col("text")))).alias("base"),
         (pattern_count(low, signals.process) > 0).alias("process"),
     )
-    met = hits.join(facts, "chunk_id").join(dim.select("item_id", "anchors"), "item_id")
-    phrase = F.contains("flat", F.col("phrase")) | F.exists("pairs", lambda p: F.contains("flat", p))
+    kept = stored(kept, "facts")
+    parts = kept.where("parts IS NOT NULL").select("chunk_id", F.posexplode("parts").alias("w", "part"))
+    words = parts.select("chunk_id", "w", F.explode(F.array_distinct(words_of(F.col("part")))).alias("token")).join(meant.select("token", "term"), "token")
+    windows = words.groupBy("chunk_id", "w").agg(F.collect_set("term").alias("terms")).where(F.size("terms") >= 2)
+    windows = windows.groupBy("chunk_id").agg(F.collect_set("terms").alias("windows"))
+    none = F.array().cast("array<array<string>>")
+    facts = kept.join(windows, "chunk_id", "left")
+    return facts.select("chunk_id", "flat", F.when(F.col("parts").isNotNull(), F.coalesce("windows", none)).alias("windows"), "base", "process")
+
 
-    def has_two(window: Column) -> Column:
-        return F.size(F.filter("tokens", lambda t: F.arrays_overlap(window, t))) >= 2
+def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None, index: Index | None = None) -> DataFrame:
+    """chunk_id, item_id, score, terms, n_phrases, n_anchors of every chunk that qualifies for an item.
+
+    ``chunks``: chunk_id, text. ``items``: item_id, q, query (one row per query). A query qualifies by its
+    phrase, by two neighbouring core tokens, or by a paragraph or sentence with two of its core terms.
 
-    by_mask = F.filter("terms", lambda t, i: F.getbit(F.col("mask"), i) == 1)
-    by_token = F.filter("terms", lambda t, i: F.arrays_overlap(F.split("flat", " "), F.get("tokens", i)))
-    found_terms = F.when(F.size("terms") <= 62, by_mask).otherwise(by_token)
-    met = met.withColumn("found", found_terms)
-    met = met.withColumn("told", phrase).where(F.col("told") | ((F.size("found") >= 2) & ((F.size("windows") == 0) | F.exists("windows", has_two))))
+    ``chunks`` is read once for the index (not at all if ``index`` is given) and once for what is scored,
+    of candidate chunks only."""
+    signals = signals or Signals()
+    index = index or token_index(chunks)
+    queries, meant = meanings(items, index, signals)
+    hits = candidates(index, queries, meant)
+    facts = facts_of(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"), meant, signals)
+    met = hits.join(facts, "chunk_id").join(queries.select("item_id", "q", "phrase", "pairs"), ["item_id", "q"])
+    phrase = F.contains("flat", F.col("phrase")) | F.exists("pairs", lambda p: F.contains("flat", p))
+    window = F.col("windows").isNull() | F.exists("windows", lambda w: F.size(F.array_intersect(w, F.col("found"))) >= 2)
+    met = met.withColumn("told", phrase).where(F.col("told") | ((F.size("found") >= 2) & window))
+    # Queries of words that don't count have a phrase only, and count only beside others.
+    dim = rubric(items, signals)
+    plain = F.transform(F.filter("queries", lambda x: F.size(x["core"]) == 0), lambda x: x["phrase"])
+    met = met.where(F.size("found") > 0).join(dim.select("item_id", "anchors", plain.alias("plain")), "item_id")
     there = F.size(F.filter("anchors", lambda a: F.contains("flat", F.concat(F.lit(" "), a, F.lit(" ")))))
-    met = met.select("chunk_id", "item_id", F.col("found").alias("terms"), "told", "base", "process", there.alias("n_anchors"))
-    found = met.where(F.size("terms") > 0).groupBy("chunk_id", "item_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"),
-        F.count_if("told").cast("int").alias("n_phrases"), F.max("base").alias("base"), F.max("process").alias("process"), F.max("n_anchors").alias("n_anchors"),
+    n_plain = F.size(F.filter("plain", lambda p: F.contains("flat", p)))
+    found = met.select("chunk_id", "item_id", F.col("found").alias("terms"), "told", "base", "process", there.alias("n_anchors"), n_plain.alias("n_plain"))
+    found = found.groupBy("chunk_id", "item_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"), (F.count_if("told") + F.max("n_plain")).cast("int").alias("n_phrases"),
+        F.max("base").alias("base"), F.max("process").alias("process"), F.max("n_anchors").alias("n_anchors"),
     )
-    # Queries of words that don't count have a phrase only, and count only beside others.
-    plain = queries.where(F.size("core") == 0).select("item_id", F.col("phrase").alias("plain"))
-    more = found.select("chunk_id", "item_id").join(plain, "item_id").join(facts.select("chunk_id", "flat"), "chunk_id")
-    more = more.where(F.contains("flat", F.col("plain"))).groupBy("chunk_id", "item_id").agg(F.count(F.lit(1)).cast("int").alias("n_plain"))
-    found = found.join(more, ["chunk_id", "item_id"], "left").withColumn("n_phrases", F.col("n_phrases") + F.coalesce("n_plain", F.lit(0)))
     bonus = F.when(F.col("process") & (F.col("n_anchors") > 0), 1.35 + 0.22 * F.least("n_anchors", F.lit(3))).otherwise(0.0)
     score = F.round(2.1 * F.size("terms") + 0.72 * F.col("n_phrases") + F.col("base") + bonus, 4)
     return found.select("chunk_id", "item_id", score.alias("score"), "terms", "n_phrases", "n_anchors")

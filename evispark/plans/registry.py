@@ -3,23 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evispark.storage import ship, stored
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+_WRITTEN: dict[tuple, DataFrame] = {}
+
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            _WRITTEN.clear()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
-        return f
+        return run
 
     return register
 
 
+def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``f``'s table, written once for each run of a query, however many parts of the query use it."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = f.__module__, f.__name__, sf_dir
+        if key not in _WRITTEN:
+            _WRITTEN[key] = stored(f(spark, sf_dir), f.__name__)
+        return _WRITTEN[key]
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from evispark.functions import snippet as S
+from evispark.functions import passage as P
 from evispark.operators import evidence as E
 
 CHUNKS = [
@@ -70,14 +70,85 @@ def test_best_rows_are_told_apart_by_what_they_show(spark):
     assert [(r["chunk"], r["score"], r["rank"]) for r in got] == [("a", 3.0, 1), ("b", 3.0, 2)]
 
 
-def test_passages():
+def test_passages(spark):
     doc = "Intro line.\n\nThe leave policy was revised in March by the team. It now covers part-time staff as well, from the first day on.\n\nEnd."
     whole = "The leave policy was revised in March by the team. It now covers part-time staff as well, from the first day on."
-    assert S.best_snippet("x", doc, 13, 60, ["leave"]) == whole
-    assert S.sentence_at("One. Two! Three", 6) == (4, 9) and S.paragraph_at("a\n\nbc\n\nd", 4) == (3, 5)
-    assert S.best_snippet("Short one.", None, None, None, ["one"]) == "Short one." and S.best_snippet(None, None, None, None, None) == ""
-    long = "word " * 400
-    assert S.best_snippet(long, None, None, None, [], 50) == "word " * 9 + "word..." and not S.reads_like_a_sentence("and so it is with us all")
     lead = "Heading:\n\nThis sentence names overtime in a long enough line of plain words for the reader to follow, " + "and more " * 6
-    assert S.best_snippet(lead, None, None, None, ["overtime"]).startswith("This sentence names overtime")
-    assert S.with_next("One two three four five six. Seven eight nine.", 0, 28, 900) == "One two three four five six. Seven eight nine."
+    far = "x " * 700 + "\n\n" + whole + "\n\n" + "y " * 700
+    cases = [
+        ("x", doc, 13, 60, ["leave"], whole), ("Short one.", None, None, None, ["one"], "Short one."), (None, None, None, None, None, ""),
+        (lead, None, None, None, ["overtime"], " ".join(lead.split()[1:])), (far[1300:1500], far, 1300, 1500, ["nothing", "LEAVE".lower()], whole),
+        ("word " * 400, None, None, None, [], ("word " * 180).rstrip() + "..."), ("é leave", "é leave", 0, 7, ["leave"], "é leave"),
+        # the paragraph is too short, so the sentence goes on over the line
+        ("Leave is due.", "Leave is due to every one of us\n\nfrom the day on which all of the papers were signed by both sides.", 0, 13, ["leave"], "Leave is due."),
+    ]
+    rows = spark.createDataFrame([(k, *c[:5]) for k, c in enumerate(cases)], "k int, text string, document string, start int, end int, terms array<string>")
+    got = {r["k"]: r["snippet"] for r in P.best(rows).collect()}
+    assert [got[k] for k in range(len(cases))] == [c[5] for c in cases]
+    at = spark.createDataFrame([("One. Two! Three", 6), ("a\n\nbc\n\nd", 4), ("line\nnext", 5), ("end\n", 4)], "t string, at int")
+    assert [tuple(r) for r in at.select(P.sentence_at(F.col("t"), F.col("at")), P.paragraph_at(F.col("t"), F.col("at"))).collect()] == [(" Two!", "One. Two! Three"), ("bc\n", "bc"), ("next", "line\nnext"), ("", "end\n")]
+    like = spark.createDataFrame([("and so it is with us all",), ("One two three four five six.",), ("One two three four five six:",), ("One two three",)], "t string")
+    assert [r[0] for r in like.select(P.reads_like_a_sentence(F.col("t"))).collect()] == [False, True, False, False]
+
+
+def plain_snippet(text, doc, start, end, terms, most=900):
+    """The rules in plain Python."""
+    flat = lambda s: " ".join(s.split())
+    clip = lambda s: s if len(s) <= most else s[:most].rstrip() + "..."
+    words = lambda s: re.findall("[a-z0-9']+", s.lower())
+    context = lambda s: len(s) >= 80 and (len(re.findall(r"[.!?](?:\s|$)", s)) >= 2 or len(words(s)) >= 22)
+
+    def like(s):
+        w = words(s)
+        return len(w) >= 6 and not (w[0] in ("and", "or", "but", "to", "with", "without") and len(w) < 14) and not s.endswith(":") and (s[-1] in ".!?" or len(w) >= 12)
+
+    def bounds(s, at):
+        ends = [i for c in ".!?\n" if (i := s.find(c, at)) >= 0]
+        return max(s.rfind(c, 0, at) for c in ".!?\n") + 1, min(ends) + 1 if ends else len(s)
+
+    begin = max(0, start - 900)
+    near = doc[begin : end + 900]
+    if near.strip():
+        at = next((m.start() for t in terms if (m := re.search(rf"\b{t}\b", near, re.I))), min(len(near) - 1, start - begin))
+        a = near.rfind("\n\n", 0, at)
+        b = near.find("\n\n", at)
+        paragraph = flat(near[a + 2 if a >= 0 else 0 : b if b >= 0 else len(near)])
+        if context(paragraph):
+            return clip(paragraph)
+        a, b = bounds(near, at)
+        own, after = flat(near[a:b]), flat(near[slice(*bounds(near, min(len(near) - 1, b)))])
+        both = f"{own} {after}"
+        sentence = both if own and after and after != own and len(both) <= most and like(both) else own
+        if context(sentence):
+            return clip(sentence)
+    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()] or [flat(text)]
+    for own, after in zip(paragraphs, [*paragraphs[1:], None]):
+        if not terms or any(re.search(rf"\b{t}\b", own, re.I) for t in terms):
+            for p in (flat(own), flat(f"{own} {after}") if after is not None else ""):
+                if context(p):
+                    return clip(p)
+    sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+    for own, after in zip(sentences, [*sentences[1:], None]):
+        if like(flat(own)):
+            both = flat(f"{own} {after}") if after is not None else ""
+            p = both if both and len(both) <= most and like(both) else flat(own)
+            if context(p):
+                return clip(p)
+    return clip(flat(" ".join(paragraphs[:2]) if text.strip() else ""))
+
+
+def test_passages_like_plain_rules(spark):
+    """Random texts of short words, marks and breaks; chunks anywhere in them."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        words = [rng.choice(["leave", "team", "and", "to", "Policy", "x1", "day", "é"]) + rng.choice(["", "", "", "", ".", "!", ":", "\n", "\n\n", "\n \n"]) for _ in range(rng.choice([3, 30, 200, 900]))]
+        doc = " ".join(words)
+        start = rng.randrange(len(doc))
+        end = min(len(doc), start + rng.choice([20, 200, 1500]))
+        rows.append((k, doc[start:end], doc, start, end, rng.choice([["leave"], ["zzz", "policy"], ["zzz"], []])))
+    got = {r["k"]: r["snippet"] for r in P.best(spark.createDataFrame(rows, "k int, text string, document string, start int, end int, terms array<string>")).collect()}
+    for k, *case in rows:
+        assert got[k] == plain_snippet(*case), case
