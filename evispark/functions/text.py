@@ -27,7 +27,7 @@ def nfkc(texts: pa.Array) -> pa.Array:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapse(text: Column) -> Column:
@@ -74,12 +74,6 @@ def short_source(text: Column, most: int = 96) -> Column:
     return F.when(plain == "", "unknown").when(F.length(plain) <= most, plain).otherwise(cut)
 
 
-def document_title(title: Column, doc_id: Column) -> Column:
-    """A document's title, else its id without the last part, in words."""
-    stem = strip(F.regexp_replace(F.regexp_replace(doc_id, "-[^-]*$", ""), "[_-]", " "))
-    return F.coalesce(F.nullif(strip(F.coalesce(title, F.lit(""))), F.lit("")), F.nullif(stem, F.lit("")), doc_id)
-
-
 def compact_goal(text: Column, default: str, most: int = 220) -> Column:
     """A goal without its prohibitions, cut at a word."""
     kept = collapse(F.regexp_replace(collapse(F.coalesce(text, F.lit(""))), r"(?i)\b(avoid|do not|don't|never)\b[^.]*[.]?", ""))
@@ -226,11 +220,14 @@ def nav_score(text: Column, short: int = 40) -> Column:
 
 def nav_balance(text: Column) -> Column:
     """Share of lines of at most four words less share of lines with punctuation; 0 without lines."""
-    found = lines(text)
-    n = F.size(found)
-    brief = F.size(F.filter(found, lambda s: F.size(F.split(s, r"\s+")) <= 4))
-    marked = F.size(F.filter(found, lambda s: s.rlike("[.:;!?]")))
-    return F.when(n == 0, 0.0).otherwise(F.bround(brief / n - marked / n, 3))
+
+    def balance(found: Column) -> Column:
+        n = F.size(found)
+        brief = F.size(F.filter(found, lambda s: ~s.rlike(r"(?:\s+\S+){4}")))
+        marked = F.size(F.filter(found, lambda s: s.rlike("[.:;!?]")))
+        return F.when(n == 0, 0.0).otherwise(F.bround(brief / n - marked / n, 3))
+
+    return F.get(F.transform(F.array(lines(text)), balance), F.lit(0))  # the lines are split once
 
 
 def is_list(text: Column) -> Column:

@@ -63,8 +63,8 @@ def rubric(items: DataFrame, signals: Signals) -> DataFrame:
     """One row per item: its queries as (q, phrase, core tokens, core pairs), and its anchor words."""
     core = T.core_tokens(F.col("query"), signals.noise)
     each = items.select("item_id", "q", T.tokens(F.col("query")).alias("_t"), core.alias("core")).where(F.size("_t") > 0)
-    pairs = F.when(F.size("core") >= 2, F.transform(F.sequence(F.lit(1), F.size("core") - 1), lambda i: joined(F.slice("core", i, 2))))
-    pairs = F.coalesce(pairs, F.array().cast("array<string>"))
+    pairs = F.when(F.size("core") >= 2, F.transform(F.sequence(F.lit(1), F.size("core") - 1), lambda i: F.slice("core", i, 2)))
+    pairs = F.coalesce(pairs, F.array().cast("array<array<string>>"))
     each = each.select("item_id", F.struct("q", joined(F.col("_t")).alias("phrase"), "core", pairs.alias("pairs")).alias("query"))
     found = each.groupBy("item_id").agg(F.array_sort(F.collect_list("query")).alias("queries"))
     words = F.array_distinct(F.flatten(F.transform("queries", lambda x: x["core"])))
@@ -94,10 +94,10 @@ class Index:
 
 
 def token_index(chunks: DataFrame) -> Index:
-    """The index of ``chunks`` (chunk_id, text), written once. Postings stay where their chunks are, sorted by
-    token, so a token that most chunks have is in as many files as they are."""
+    """The index of ``chunks`` (chunk_id, text), written once. Postings stay where their chunks are: nothing is
+    shuffled, and a token that most chunks have is in as many files as they are."""
     each = chunks.select("chunk_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("token"))
-    postings = stored(each.sortWithinPartitions("token"), "postings")
+    postings = stored(each, "postings")
     return Index(postings, stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "tokens"))
 
 
@@ -119,10 +119,15 @@ def meanings(items: DataFrame, index: Index, signals: Signals) -> tuple[DataFram
     return stored(queries, "queries"), meant
 
 
-def candidates(index: Index, queries: DataFrame, meant: DataFrame) -> DataFrame:
-    """chunk_id, item_id, q, found: the query's terms that the chunk has, two or more unless the query is easy."""
-    have = index.postings.join(meant.select("token", "term"), "token").groupBy("chunk_id").agg(F.collect_set("term").alias("have"))
-    have = stored(have, "chunk_terms")
+def chunk_terms(index: Index, meant: DataFrame) -> DataFrame:
+    """chunk_id, have, exact: the terms that a chunk's tokens mean, and those that they are."""
+    got = index.postings.join(meant.select("token", "term"), "token").groupBy("chunk_id")
+    return stored(got.agg(F.collect_set("term").alias("have"), F.collect_set(F.when(F.col("token") == F.col("term"), F.col("term"))).alias("exact")), "chunk_terms")
+
+
+def candidates(have: DataFrame, queries: DataFrame) -> DataFrame:
+    """chunk_id, item_id, q, found, same: the query's terms that the chunk has, two or more unless the query
+    is easy, and those it has as they are."""
     asked = queries.select("item_id", "q", "easy", "often", F.posexplode("terms").alias("i", "term")).where("easy OR i <> often")
     hits = have.select("chunk_id", F.explode("have").alias("term")).join(asked.select("item_id", "q", "term"), "term")
     hits = hits.groupBy("chunk_id", "item_id", "q").agg(F.collect_set("term").alias("rare"))
@@ -130,7 +135,8 @@ def candidates(index: Index, queries: DataFrame, meant: DataFrame) -> DataFrame:
     common = F.get("terms", "often")
     found = F.filter("terms", lambda t: F.array_contains("rare", t) | ((t == common) & F.array_contains("have", t)))
     two = (F.size("rare") >= 2) | F.array_contains("have", common)
-    return stored(hits.where(F.col("easy") | two).select("chunk_id", "item_id", "q", found.alias("found")), "candidates")
+    hits = hits.where(F.col("easy") | two).select("chunk_id", "item_id", "q", found.alias("found"), "exact")
+    return stored(hits.select("chunk_id", "item_id", "q", "found", F.filter("found", lambda t: F.array_contains("exact", t)).alias("same")), "candidates")
 
 
 def facts_of(chunks: DataFrame, meant: DataFrame, signals: Signals) -> DataFrame:
@@ -166,17 +172,21 @@ def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None,
     signals = signals or Signals()
     index = index or token_index(chunks)
     queries, meant = meanings(items, index, signals)
-    hits = candidates(index, queries, meant)
+    have = chunk_terms(index, meant)
+    hits = candidates(have, queries)
     facts = facts_of(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"), meant, signals)
-    met = hits.join(facts, "chunk_id").join(queries.select("item_id", "q", "phrase", "pairs"), ["item_id", "q"])
-    phrase = F.contains("flat", F.col("phrase")) | F.exists("pairs", lambda p: F.contains("flat", p))
+    facts = facts.join(have.select("chunk_id", "exact"), "chunk_id")
+    met = hits.join(facts, "chunk_id").join(queries.select("item_id", "q", "phrase", "pairs", "terms"), ["item_id", "q"])
+    # The text is looked into only for words that are all there.
+    whole = (F.size("same") == F.size("terms")) & F.contains("flat", F.col("phrase"))
+    phrase = whole | F.exists("pairs", lambda p: F.forall(p, lambda t: F.array_contains("same", t)) & F.contains("flat", joined(p)))
     window = F.col("windows").isNull() | F.exists("windows", lambda w: F.size(F.array_intersect(w, F.col("found"))) >= 2)
     met = met.withColumn("told", phrase).where(F.col("told") | ((F.size("found") >= 2) & window))
     # Queries of words that don't count have a phrase only, and count only beside others.
     dim = rubric(items, signals)
     plain = F.transform(F.filter("queries", lambda x: F.size(x["core"]) == 0), lambda x: x["phrase"])
     met = met.where(F.size("found") > 0).join(dim.select("item_id", "anchors", plain.alias("plain")), "item_id")
-    there = F.size(F.filter("anchors", lambda a: F.contains("flat", F.concat(F.lit(" "), a, F.lit(" ")))))
+    there = F.size(F.filter("anchors", lambda a: F.array_contains("exact", a)))
     n_plain = F.size(F.filter("plain", lambda p: F.contains("flat", p)))
     found = met.select("chunk_id", "item_id", F.col("found").alias("terms"), "told", "base", "process", there.alias("n_anchors"), n_plain.alias("n_plain"))
     found = found.groupBy("chunk_id", "item_id").agg(

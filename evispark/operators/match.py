@@ -1,38 +1,10 @@
-"""Phrase matching as an index join, and ranked evidence.
-
-A regular-expression join has no key, so it compares every text with every pattern. Here both sides
-become token runs first: an equi-join on the run finds the pairs, with partial aggregation and, for
-common runs, skew splitting; only surviving pairs are scored.
-"""
+"""Rules by pattern over texts: one scan for all rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evispark.functions import text as T
-
-RUN = 3
-
-
-def runs(table: DataFrame, key: str, text: str = "text", size: int = RUN) -> DataFrame:
-    """key, run: the distinct runs of ``size`` tokens of each row."""
-    found = table.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_tokens"))
-    return found.select(key, F.explode(T.shingles(F.col("_tokens"), size)).alias("run"))
-
-
-def phrase_join(texts: DataFrame, queries: DataFrame, text_key: str, query_key: str, size: int = RUN) -> DataFrame:
-    """text_key, query_key, hits: runs shared by each pair that shares any."""
-    left, right = runs(texts, text_key, size=size), runs(queries, query_key, size=size)
-    return left.join(right, "run").groupBy(text_key, query_key).agg(F.count(F.lit(1)).alias("hits"))
-
-
-def ranked(pairs: DataFrame, query_key: str, text_key: str, score: str, k: int) -> DataFrame:
-    """The ``k`` best texts per query; ties by text key."""
-    order = W.partitionBy(query_key).orderBy(F.desc(score), F.asc(text_key))
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
 
 def pattern_hits(texts: DataFrame, patterns: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """Rows of ``texts`` by rule: one scan with an alternation as a pre-filter, then a row per rule

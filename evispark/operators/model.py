@@ -31,10 +31,6 @@ def batch_budget(total: int, n_batches: int) -> int:
     return math.ceil(total / max(1, n_batches)) + 1
 
 
-def compact_json(*columns: str) -> Column:
-    return F.to_json(F.struct(*columns))
-
-
 def error_kind(error: str) -> str:
     low = error.lower()
     return "too_long" if any(x in low for x in TOO_LONG) else "connection" if any(x in low for x in CONNECTION) else "other"

@@ -44,16 +44,6 @@ def limitations(unknown: DataFrame, not_retrieved: Column, not_found: Column) ->
     return both.unionByName(none)
 
 
-def signal_label(signal: Column) -> Column:
-    return (
-        F.when(signal == "explicit_headcount", "Explicit headcount statement")
-        .when(signal == "headcount_range", "Headcount range statement")
-        .when(signal == "funding_round", "Explicit funding-round signal")
-        .when(signal == "primary_locations", "Primary location coverage")
-        .otherwise(F.replace(signal, F.lit("_"), F.lit(" ")))
-    )
-
-
 def cell(text: Column) -> Column:
     """A text inside a markdown table."""
     return F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("|"), F.lit("/"))

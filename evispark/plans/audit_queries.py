@@ -122,12 +122,11 @@ _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)
 
 @query(f"""
     SELECT field, item_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, item_id, chunk_id) AS rank FROM (
-        SELECT * FROM (SELECT e.* EXCLUDE (rank), f.field FROM ({RQ._EVIDENCE}) e JOIN (VALUES {sql_values(EQ.FIELDS)}) AS f(m, field) ON e.item_id % 3 = f.m) QUALIFY row_number() OVER (PARTITION BY field, chunk_id, snippet ORDER BY score DESC, item_id, chunk_id) = 1)) WHERE rank <= 6
+        SELECT * FROM (SELECT e.* EXCLUDE (rank), f.field FROM ({RQ._EVIDENCE}) e JOIN ({EQ._ITEM_FIELDS}) f USING (item_id)) QUALIFY row_number() OVER (PARTITION BY field, chunk_id, snippet ORDER BY score DESC, item_id, chunk_id) = 1)) WHERE rank <= 6
 """)
 def field_topk(spark, sf):
     """The six best rows of each field over all its items, equal passages once."""
-    fields = F.broadcast(values(spark, EQ.FIELDS, "m int, field string"))  # three rows
-    rows = RQ.evidence(spark, sf).drop("rank").join(fields, F.col("item_id") % 3 == F.col("m"))
+    rows = RQ.evidence(spark, sf).drop("rank").join(EQ.item_fields(spark, sf), "item_id")
     order = [F.desc("score"), F.asc("item_id"), F.asc("chunk_id")]
     return E.best(rows, ["field"], 6, order, ["chunk_id", "snippet"]).select("field", "item_id", "chunk_id", "score", "rank")
 

@@ -9,68 +9,76 @@ from evispark import lexicon as L
 from evispark.functions import citation
 from evispark.functions import text as T
 from evispark.operators import decide as D
+from evispark.operators import evidence as E
 from evispark.operators import match as M
-from evispark.plans.registry import query, sql_values, table, values
+from evispark.plans import matching_queries as MQ
+from evispark.plans.registry import once, query, sql_values, table, values
 
-#: Shared runs from which a mention is explicit.
-EXPLICIT = 8
 TOP = 6
-FIELDS = [(0, "policies"), (1, "hiring"), (2, "benefits")]
-
-_RUNS = """
-    SELECT DISTINCT {key}, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS run
-    FROM (SELECT {key}, t, unnest(range(1, len(t) - 1)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM {table}) WHERE len(t) >= 3)
-"""
-_PAIRS = f"""
-    SELECT doc_id, item_id, count(*) AS hits FROM ({_RUNS.format(key="doc_id", table="documents")}) a
-    JOIN ({_RUNS.format(key="item_id", table="benchmark")}) b USING (run) GROUP BY doc_id, item_id
-"""
-_SCORED = f"""
-    SELECT item_id, doc_id, hits, round(2.1 * hits + CASE WHEN hits >= {EXPLICIT} THEN 0.72 ELSE 0 END, 4) AS score,
-        CASE WHEN hits >= {EXPLICIT} THEN 'explicit' ELSE 'implicit' END AS kind FROM ({_PAIRS})
+#: Characters of a document's beginning that a row shows.
+SNIPPET = 300
+POSITIVE, NEGATIVE = [" the ", " des "], [" no ", " not ", " nicht ", " pas "]
+FIELDS = ["policies", "hiring", "benefits"]
+
+_PAIRS = f"SELECT doc_id, item_id, n_phrases AS hits FROM ({MQ.MATCH}) WHERE n_phrases > 0"
+_FLAT = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_CLIP = f"CASE WHEN length(f) <= {SNIPPET} THEN f ELSE rtrim(substr(f, 1, {SNIPPET})) || '...' END"
+_KIND = f"CASE WHEN {' OR '.join(f'contains(lower(snippet), {p!r})' for p in NEGATIVE)} THEN 'explicit_absence' WHEN {' OR '.join(f'contains(lower(snippet), {p!r})' for p in POSITIVE)} THEN 'explicit' ELSE 'implicit' END"
+_TOP = f"""
+    SELECT item_id, doc_id, n_terms, n_phrases, score, rank, snippet, {_KIND} AS kind FROM (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ({MQ.MATCH})) WHERE rank <= {TOP}
+    ) JOIN (SELECT doc_id, {_CLIP} AS snippet FROM (SELECT doc_id, {_FLAT} AS f FROM documents)) USING (doc_id)
 """
-_TOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ({_SCORED})) WHERE rank <= {TOP}"
+_SEARCHED = f"SELECT count(*) FROM documents WHERE NOT ({MQ.UNSEARCHABLE})"
 _STATUS = f"""
-    SELECT b.item_id, CASE WHEN kind = 'explicit' THEN 'MENTIONED_EXPLICIT' WHEN kind = 'implicit' THEN 'MENTIONED_IMPLICIT' ELSE 'NOT_FOUND_IN_RETRIEVED' END AS status,
+    SELECT b.item_id, CASE WHEN kind IN ('explicit', 'explicit_absence') THEN 'MENTIONED_EXPLICIT' WHEN kind = 'implicit' THEN 'MENTIONED_IMPLICIT' WHEN ({_SEARCHED}) > 0 THEN 'NOT_FOUND_IN_RETRIEVED' ELSE 'NOT_RETRIEVED' END AS status,
         coalesce(n, 0) AS n_rows
-    FROM benchmark b LEFT JOIN (SELECT item_id, max(kind) FILTER (rank = 1) AS kind, count(*) AS n FROM ({_TOP}) GROUP BY item_id) USING (item_id)
+    FROM ({MQ.RUBRIC}) b LEFT JOIN (SELECT item_id, max(kind) FILTER (rank = 1) AS kind, count(*) AS n FROM ({_TOP}) GROUP BY item_id) USING (item_id)
 """
+#: One field or two that an item speaks of.
+_ITEM_FIELDS = f"SELECT item_id, unnest(fields) AS field FROM (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN [a, b] ELSE [a] END AS fields FROM (SELECT item_id, ['{"', '".join(FIELDS)}'][item_id % 3 + 1] AS a, ['{"', '".join(FIELDS)}'][(item_id + 1) % 3 + 1] AS b FROM ({MQ.RUBRIC})))"
 
 
-def pairs(spark, sf):
-    return M.phrase_join(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id")
-
-
-def scored(spark, sf):
-    found = pairs(spark, sf)
-    explicit = F.col("hits") >= EXPLICIT
-    score = F.round(2.1 * F.col("hits") + F.when(explicit, 0.72).otherwise(0.0), 4)
-    return found.withColumns({"score": score, "kind": F.when(explicit, "explicit").otherwise("implicit")})
+def item_fields(spark, sf):
+    """item_id, field: a row for each field of an item."""
+    names, key = F.array(*map(F.lit, FIELDS)), F.col("item_id")
+    a, b = (F.get(names, ((key + k) % 3).cast("int")) for k in (0, 1))
+    return MQ.rubric(spark, sf).select("item_id", F.explode(F.when(key % 4 == 0, F.array(a, b)).otherwise(F.array(a))).alias("field"))
 
 
+@once
 def top(spark, sf):
-    return M.ranked(scored(spark, sf), "item_id", "doc_id", "score", TOP)
+    """The best documents of each item by the full score, with what a row shows and says."""
+    found = MQ.matched(spark, sf).withColumns({"n_terms": F.size("terms").cast("long"), "n_phrases": F.col("n_phrases").cast("long")})
+    best = E.best(found, ["item_id"], TOP, [F.desc("score"), F.asc("chunk_id")], ["chunk_id"]).withColumnRenamed("chunk_id", "doc_id")
+    shown = table(spark, sf, "documents").select("doc_id", T.clip(F.col("text"), SNIPPET).alias("snippet"))
+    kind = D.evidence_kind(F.col("snippet"), F.size("terms") > 0, POSITIVE, NEGATIVE)
+    return best.join(shown, "doc_id").select("item_id", "doc_id", "n_terms", "n_phrases", "score", "rank", "snippet", kind.alias("kind"))
 
 
 def status(spark, sf):
+    """item_id, status, n_rows: items without rows are told apart by whether there was anything to search."""
     first = top(spark, sf).groupBy("item_id").agg(F.max(F.when(F.col("rank") == 1, F.col("kind"))).alias("kind"), F.count(F.lit(1)).alias("n"))
-    found = table(spark, sf, "benchmark").select("item_id").join(first, "item_id", "left")
-    return found.select("item_id", D.retrieval_status(F.col("kind"), F.lit(1)).alias("status"), F.coalesce("n", F.lit(0)).alias("n_rows"))
+    searched = table(spark, sf, "documents").where(E.searchable(F.col("text"), MQ.SIGNALS)).agg(F.count(F.lit(1)).alias("searched"))
+    found = MQ.rubric(spark, sf).select("item_id").join(first, "item_id", "left").crossJoin(searched)  # one row
+    return found.select("item_id", D.retrieval_status(F.col("kind"), F.col("searched")).alias("status"), F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 @query(_PAIRS)
 def phrase_match(spark, sf):
-    return pairs(spark, sf)
+    """Documents that have a phrase of an item, and how many of its queries have one there."""
+    return MQ.matched(spark, sf).where("n_phrases > 0").select(F.col("chunk_id").alias("doc_id"), "item_id", F.col("n_phrases").cast("long").alias("hits"))
 
 
-@query(_SCORED)
+@query(f"SELECT item_id, doc_id, n_terms, n_phrases, score FROM ({MQ.MATCH})")
 def evidence_score(spark, sf):
-    return scored(spark, sf)
+    found = MQ.matched(spark, sf)
+    return found.select("item_id", F.col("chunk_id").alias("doc_id"), F.size("terms").cast("long").alias("n_terms"), F.col("n_phrases").cast("long").alias("n_phrases"), "score")
 
 
-@query(_TOP)
+@query(f"SELECT item_id, doc_id, n_terms, n_phrases, score, kind, rank FROM ({_TOP})")
 def evidence_topk(spark, sf):
-    return top(spark, sf)
+    return top(spark, sf).select("item_id", "doc_id", "n_terms", "n_phrases", "score", "kind", "rank")
 
 
 @query(_STATUS)
@@ -83,12 +91,10 @@ _RANKS = sql_values(list(L.RETRIEVAL_RANK.items()))
 
 @query(f"""
     SELECT field, arg_max(status, r) AS status, max(r) AS rank, count(*) AS n_items FROM ({_STATUS}) s
-    JOIN (VALUES {_RANKS}) AS k(status, r) USING (status) JOIN (VALUES {sql_values(FIELDS)}) AS f(m, field) ON s.item_id % 3 = f.m GROUP BY field
+    JOIN (VALUES {_RANKS}) AS k(status, r) USING (status) JOIN ({_ITEM_FIELDS}) USING (item_id) GROUP BY field
 """)
 def field_rollup(spark, sf):
-    fields = F.broadcast(values(spark, FIELDS, "m int, field string"))
-    found = status(spark, sf).withColumn("r", D.rank_of(F.col("status"), L.RETRIEVAL_RANK))
-    found = found.join(fields, F.col("item_id") % 3 == F.col("m"))
+    found = status(spark, sf).withColumn("r", D.rank_of(F.col("status"), L.RETRIEVAL_RANK)).join(item_fields(spark, sf), "item_id")
     return found.groupBy("field").agg(F.max_by("status", "r").alias("status"), F.max("r").alias("rank"), F.count(F.lit(1)).alias("n_items"))
 
 

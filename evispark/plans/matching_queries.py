@@ -25,9 +25,14 @@ def _count(patterns: list[str]) -> str:
     return "(" + " + ".join(f"contains(low, '{p}')::INT" for p in patterns) + ")"
 
 
+#: A rubric's texts: passages, and names that no document has.
+NAMES = 100_000
+RUBRIC = f"SELECT item_id, text FROM benchmark UNION ALL SELECT {NAMES} + n_nationkey, n_name FROM nation"
+UNSEARCHABLE = "{irrelevant} > 0 OR ({legal} >= 2 AND {domain} = 0)".format(**{k: _count(getattr(SIGNALS, k)).replace("low,", "lower(text),") for k in ("irrelevant", "legal", "domain")})
+
 _ROWS = rf"""
     WITH rub AS (
-        SELECT item_id, q, array_to_string(t[4 * q + 1 : 4 * q + 4], ' ') AS query FROM (SELECT *, unnest(range((len(t) + 3) // 4)) AS q FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark))
+        SELECT item_id, q, array_to_string(t[4 * q + 1 : 4 * q + 4], ' ') AS query FROM (SELECT *, unnest(range((len(t) + 3) // 4)) AS q FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM ({RUBRIC})))
     ), rq AS (
         SELECT *, list_filter(toks, lambda x: length(x) >= 3 AND x NOT IN ({L.sql_list(SIGNALS.noise)})) AS core FROM (SELECT *, regexp_extract_all(query, '[a-z0-9]+') AS toks FROM rub) WHERE len(toks) > 0
     ), terms AS (SELECT DISTINCT item_id, q, unnest(core) AS term FROM rq),
@@ -78,9 +83,15 @@ def _matches(chunks: str) -> str:
 MATCH = f"SELECT * EXCLUDE (terms) FROM ({_matches('documents')})"
 
 
+def rubric(spark, sf):
+    """item_id, text: the benchmark's passages, and the nations' names."""
+    names = table(spark, sf, "nation").select((F.lit(NAMES) + F.col("n_nationkey")).cast("long").alias("item_id"), F.col("n_name").alias("text"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text").unionByName(names)
+
+
 def items(spark, sf):
     """Queries of four tokens each, over an item's whole text."""
-    tokens = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    tokens = rubric(spark, sf).select("item_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     tokens = tokens.select("item_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 4).cast("int"))).alias("q"))
     return tokens.select("item_id", "q", F.array_join(F.slice("t", 4 * F.col("q") + 1, 4), " ").alias("query"))
 

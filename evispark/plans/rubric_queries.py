@@ -5,33 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evispark import lexicon as L
-from evispark.functions import text as T
 from evispark.operators import decide as D
 from evispark.operators import rubric as R
 from evispark.plans import evidence_queries as EQ
+from evispark.plans import matching_queries as MQ
 from evispark.plans import snapshot_queries as SQ
 from evispark.plans import stage_queries as ST
-from evispark.plans.registry import query, sql_values, table, values
+from evispark.plans.registry import once, query, sql_values, values
 
-SNIPPET = 300
-POSITIVE, NEGATIVE = [" the ", " des "], [" no ", " not ", " nicht ", " pas "]
 AREAS = ["strategy", "Compensation & Equity", "DEIB", "people_ops|hr-sops", "performance management", "onboarding", "data privacy controls"]
 SEVERITIES = ["critical", "high", "medium", "low"]
 
-_FLAT = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
-_CLIP = f"CASE WHEN length(f) <= {SNIPPET} THEN f ELSE rtrim(substr(f, 1, {SNIPPET})) || '...' END"
-_KIND = f"CASE WHEN {' OR '.join(f'contains(lower(snippet), {p!r})' for p in NEGATIVE)} THEN 'explicit_absence' WHEN {' OR '.join(f'contains(lower(snippet), {p!r})' for p in POSITIVE)} THEN 'explicit' ELSE 'implicit' END"
-_EVIDENCE = f"""
-    SELECT item_id, doc_id AS chunk_id, snippet, {_KIND} AS kind, score, rank FROM (SELECT t.*, snippet FROM ({EQ._TOP}) t JOIN (SELECT doc_id, {_CLIP} AS snippet FROM (SELECT doc_id, {_FLAT} AS f FROM documents)) USING (doc_id))
-"""
+_EVIDENCE = f"SELECT item_id, doc_id AS chunk_id, snippet, kind, score, rank FROM ({EQ._TOP})"
 _STATUS = f"""
     SELECT b.item_id, CASE WHEN kind IN ('explicit', 'explicit_absence') THEN 'MENTIONED_EXPLICIT' WHEN kind = 'implicit' THEN 'MENTIONED_IMPLICIT' WHEN b.item_id % 2 = 0 THEN 'NOT_RETRIEVED' ELSE 'NOT_FOUND_IN_RETRIEVED' END AS retrieval
-    FROM benchmark b LEFT JOIN (SELECT item_id, kind FROM ({_EVIDENCE}) WHERE rank = 1) USING (item_id)
+    FROM ({MQ.RUBRIC}) b LEFT JOIN (SELECT item_id, kind FROM ({_EVIDENCE}) WHERE rank = 1) USING (item_id)
 """
 _ITEMS = f"""
     SELECT item_id, CASE item_id % {len(AREAS)} {" ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(AREAS))} END AS area, 'Item ' || item_id || '.' AS claim,
         CASE (item_id // 2) % 4 {" ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SEVERITIES))} END AS severity, item_id % 5 = 0 AS compliance, CASE WHEN item_id % 3 = 0 THEN 'Is item ' || item_id || ' there?' ELSE '' END AS question,
-        list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: length(x) >= 4 AND x NOT IN ({L.sql_list(L.RELEVANCE_STOP)})) AS words FROM benchmark
+        list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: length(x) >= 4 AND x NOT IN ({L.sql_list(L.RELEVANCE_STOP)})) AS words FROM ({MQ.RUBRIC})
 """
 
 
@@ -42,25 +35,23 @@ def items(spark, sf):
     for i, s in enumerate(SEVERITIES):
         severity = F.when(F.floor(key / 2) % 4 == i, s).otherwise(severity)
     name = key.cast("string")
-    return table(spark, sf, "benchmark").select(
+    return MQ.rubric(spark, sf).select(
         "item_id", area.alias("area"), F.concat(F.lit("Item "), name, F.lit(".")).alias("claim"), severity.alias("severity"), (key % 5 == 0).alias("compliance"),
         F.when(key % 3 == 0, F.concat(F.lit("Is item "), name, F.lit(" there?"))).otherwise("").alias("question"), R.relevance_tokens(F.col("text")).alias("words"),
     )
 
 
 def evidence(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.clip(F.col("text"), SNIPPET).alias("snippet"))
-    found = EQ.top(spark, sf).join(docs, "doc_id")
-    kind = D.evidence_kind(F.col("snippet"), F.lit(True), POSITIVE, NEGATIVE)
-    return found.select("item_id", F.col("doc_id").alias("chunk_id"), "snippet", kind.alias("kind"), "score", "rank")
+    return EQ.top(spark, sf).select("item_id", F.col("doc_id").alias("chunk_id"), "snippet", "kind", "score", "rank")
 
 
 def statuses(spark, sf, rows):
     first = rows.where("rank = 1").select("item_id", "kind")
-    found = table(spark, sf, "benchmark").select("item_id").join(first, "item_id", "left")
+    found = MQ.rubric(spark, sf).select("item_id").join(first, "item_id", "left")
     return found.select("item_id", D.retrieval_status(F.col("kind"), F.col("item_id") % 2).alias("retrieval"))
 
 
+@once
 def findings(spark, sf):
     rows = evidence(spark, sf)
     return R.evaluate(items(spark, sf), rows, statuses(spark, sf, rows))

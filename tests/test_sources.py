@@ -7,7 +7,8 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from evispark.operators import match, model, report
+from evispark.operators import evidence as E
+from evispark.operators import model, report
 from evispark.plans.catalogue import QUERIES
 from evispark.sources import profile, readers, web
 from evispark.streaming import stream
@@ -146,23 +147,39 @@ def test_reader_retries_halves_and_gives_up():
 
 
 def test_stream_keeps_the_best_of_all_batches(spark, tmp_path):
-    queries = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two three")], "item_id long, text string")
-    docs = [(k, "alpha beta gamma delta" if k % 4 == 0 else "alpha beta gamma" if k % 4 == 1 else "one two three x") for k in range(24)]
+    items = spark.createDataFrame([(1, 0, "alpha beta gamma delta"), (2, 0, "one two three"), (2, 1, "three four")], "item_id long, q int, query string")
+    texts = ["alpha beta gamma delta", "alpha beta. Gamma", "one two three x", "three four. One, two three"]
+    docs = [(k, texts[k % 4] + f" n{k}" * (k % 3)) for k in range(24)]
     for i in range(3):
-        spark.createDataFrame(docs[8 * i : 8 * i + 8], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    state, sink = str(tmp_path / "state"), None
-    sink = stream.top_k_sink(state, 3)
-    source = stream.read_documents(spark, str(tmp_path / "in/*"), "doc_id long, text string")
-    evidence = stream.evidence_stream(source, queries, "doc_id", "item_id")
-    evidence.writeStream.option("maxFilesPerTrigger", 1).foreachBatch(sink).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    whole = match.ranked(match.phrase_join(spark.createDataFrame(docs, "doc_id long, text string"), queries, "doc_id", "item_id"), "item_id", "doc_id", "hits", 3)
-    want = {(r["item_id"], r["rank"]): (r["doc_id"], r["hits"]) for r in whole.collect()}
-    assert {(r["item_id"], r["rank"]): (r["doc_id"], r["hits"]) for r in stream.top_k(spark, state).collect()} == want
-    # An epoch that is replayed gives the same table.
-    pairs = match.runs(spark.createDataFrame(docs[16:], "doc_id long, text string"), "doc_id").join(match.runs(queries, "item_id"), "run")
+        spark.createDataFrame(docs[8 * i : 8 * i + 8], "chunk_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    state = str(tmp_path / "state")
+    sink = stream.top_k_sink(state, items, 3)
+    source = stream.read_documents(spark, str(tmp_path / "in/*"), "chunk_id long, text string")
+
+    def run():
+        source.writeStream.option("maxFilesPerTrigger", 1).foreachBatch(sink).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    def state_now():
+        return {(r["item_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in stream.top_k(spark, state).collect()}
+
+    def whole(rows):
+        found = E.matches(spark.createDataFrame(rows, "chunk_id long, text string"), items)
+        best = E.best(found, ["item_id"], 3, [F.desc("score"), F.asc("chunk_id")], ["chunk_id"])
+        return {(r["item_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in best.collect()}
+
+    run()
+    assert state_now() == whole(docs) and len(state_now()) == 6
+    # An epoch that is replayed gives the same table, and so do chunks that come late once more.
     last = stream._epochs(spark, state)[-1]
-    for _ in range(2):
-        sink(pairs, last + 1)
-    assert {(r["item_id"], r["rank"]): (r["doc_id"], r["hits"]) for r in stream.top_k(spark, state).collect()} == want
+    for epoch in (last + 1, last + 1):
+        sink(spark.createDataFrame(docs[16:], "chunk_id long, text string"), epoch)
+        assert state_now() == whole(docs)
+    # A query that is started again goes on from its checkpoint, with what has come since.
+    more = [(100, "alpha beta gamma delta alpha"), (-1, "one two three four")]
+    spark.createDataFrame(more, "chunk_id long, text string").coalesce(1).write.parquet(str(tmp_path / "in/3"))
+    sink = stream.top_k_sink(state, items, 3)
+    source = stream.read_documents(spark, str(tmp_path / "in/*"), "chunk_id long, text string")
+    run()
+    assert state_now() == whole(docs + more)
     assert stream.top_k(spark, str(tmp_path / "none")).count() == 0
-    assert stream.chunk_stream(source).isStreaming and F.col("x") is not None
+    assert stream.chunk_stream(source.withColumnRenamed("chunk_id", "doc_id")).isStreaming
