@@ -145,10 +145,15 @@ def neighbour_sentences(spark, sf):
     return found.select("doc_id", F.size("s").cast("long").alias("n"), size.alias("chars"))
 
 
-@query(f"SELECT word FROM (SELECT unnest([{L.sql_list(L.NOISE_TOKENS)}]) AS word UNION SELECT unnest([{L.sql_list(L.RELEVANCE_STOP)}]))")
+@query(f"""
+    SELECT word, count(*) AS n_docs FROM (SELECT unnest([{L.sql_list(L.NOISE_TOKENS)}]) AS word UNION SELECT unnest([{L.sql_list(L.RELEVANCE_STOP)}]))
+    JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) USING (word) GROUP BY word
+""")
 def stop_words(spark, sf):
+    """How many documents have each word of either list."""
     both = F.array_union(F.array(*map(F.lit, L.NOISE_TOKENS)), F.array(*map(F.lit, L.RELEVANCE_STOP)))
-    return spark.range(1).select(F.explode(both).alias("word"))
+    words = table(spark, sf, "documents").select(F.explode(F.array_intersect(T.tokens(F.col("text")), both)).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 @query("""SELECT (SELECT count(*) FROM (SELECT source FROM documents EXCEPT ALL SELECT source FROM documents WHERE doc_id % 10 <> 3)) AS lost, (SELECT count(*) FROM (SELECT source FROM documents WHERE doc_id % 10 <> 3 EXCEPT ALL SELECT source FROM documents)) AS added,

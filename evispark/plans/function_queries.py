@@ -105,59 +105,77 @@ def area_keys(spark, sf):
     return values(spark, [(a,) for a in AREAS], "area string").select("area", R.area_of(area, L.AREA_LABELS, L.AREA_ALIASES).alias("key"), title.alias("title"))
 
 
-REPORTS = [
-    (1, "# Title\n\n- `doc-001-a-c001` said so\n## Part\n`doc-001-a-c001` and doc_2-c12345.", "# Title\n## Part\nSee doc_2-c12345, doc-001-a-c001."),
-    (2, "```markdown\n# One\ntext x-c001\n```", "# One\n# Two"),
-    (3, "no heading", "no heading"),
-    (4, "   ## Deep  \n####### seven", "## Deep"),
-    (5, "", "a-c001"),
-]
 _IDS = r"list_distinct(regexp_extract_all({}, '\b([A-Za-z0-9_-]+-c\d{{3,5}})\b', 1))"
 _SIGN = r"list_transform(list_filter(string_split_regex({}, '\r?\n'), lambda s: regexp_matches(s, '^\s{{0,3}}#{{1,6}}\s+\S')), lambda s: length(regexp_extract(s, '^\s*(#+)', 1)) || ' ' || regexp_replace(regexp_extract(s, '^\s*#+\s+(.*)$', 1), '\s+$', ''))"
+#: A report of each document: fenced or not, and its revision with the same references, another heading, an id less or its ids in another order.
+_REPORTS = """SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '```markdown' || chr(10) || r || chr(10) || '```' ELSE r END AS a,
+        CASE doc_id % 4 WHEN 0 THEN r WHEN 1 THEN replace(r, '## Part', '## Other part') WHEN 2 THEN replace(r, '-c001', '') ELSE replace(replace(replace(r, '-c001', '-cxxx'), '-c0002', '-c001'), '-cxxx', '-c0002') END AS b
+        FROM (SELECT doc_id, '# ' || coalesce(lang, 'none') || chr(10) || text || ' doc-' || doc_id || '-c001' || chr(10) || '## Part' || chr(10) || 'doc-' || doc_id || '-c0002' AS r FROM documents WHERE text IS NOT NULL)"""
+
+
+def _reports(spark, sf):
+    key, line = F.col("doc_id"), F.lit("\n")
+    ids = [F.concat(F.lit("doc-"), key.cast("string"), F.lit(f"-c{n}")) for n in ("001", "0002")]
+    r = F.concat(F.lit("# "), F.coalesce("lang", F.lit("none")), line, "text", F.lit(" "), ids[0], line, F.lit("## Part"), line, ids[1])
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", r.alias("r"))
+    swap = lambda t, a, b: F.replace(t, F.lit(a), F.lit(b))
+    turned = swap(swap(swap(F.col("r"), "-c001", "-cxxx"), "-c0002", "-c001"), "-cxxx", "-c0002")
+    b = F.when(key % 4 == 0, F.col("r")).when(key % 4 == 1, swap(F.col("r"), "## Part", "## Other part")).when(key % 4 == 2, swap(F.col("r"), "-c001", "")).otherwise(turned)
+    a = F.when(key % 3 == 0, F.concat(F.lit("```markdown\n"), "r", F.lit("\n```"))).otherwise(F.col("r"))
+    return rows.select(key.alias("id"), a.alias("a"), b.alias("b"))
+
 
 
 @query(f"""
     SELECT id, len({_IDS.format("a")}) AS n_ids, array_to_string({_SIGN.format("a")}, '; ') AS headings, array_to_string({_SIGN.format("a")}, '; ') = array_to_string({_SIGN.format("b")}, '; ') AND list_sort({_IDS.format("a")}) = list_sort({_IDS.format("b")}) AS accepted
-    FROM (SELECT id, CASE WHEN regexp_matches(a, '(?is)^\\s*```(?:markdown|md)?\\s*.*?\\s*```\\s*$') THEN regexp_extract(a, '(?is)^\\s*```(?:markdown|md)?\\s*(.*?)\\s*```\\s*$', 1) ELSE a END AS a, b FROM (VALUES {sql_values(REPORTS)}) AS v(id, a, b))
+    FROM (SELECT id, CASE WHEN regexp_matches(a, '(?is)^\\s*```(?:markdown|md)?\\s*.*?\\s*```\\s*$') THEN regexp_extract(a, '(?is)^\\s*```(?:markdown|md)?\\s*(.*?)\\s*```\\s*$', 1) ELSE a END AS a, b FROM ({_REPORTS}))
 """)
 def revision_check(spark, sf):
     """A revised text is taken only if it keeps headings and cited ids."""
-    found = values(spark, REPORTS, "id int, a string, b string").withColumn("a", T.unfenced(F.col("a")))
+    found = _reports(spark, sf).withColumn("a", T.unfenced(F.col("a")))
     return found.select("id", F.size(T.cited_ids(F.col("a"))).cast("long").alias("n_ids"), F.array_join(T.heading_signature(F.col("a")), "; ").alias("headings"), T.same_references(F.col("a"), F.col("b")).alias("accepted"))
 
 
-TITLES = [
-    (1, "# My  Title\ntext", "a_file", True), (2, "intro\n# Late but fine\n", "b-c", True), (3, "this line has words\n# Too late", "my-notes_v2", True), (4, "# Title", "plain", False),
-    (5, "", "--", True), (6, "#NoBlank\n\n# Yes", "x", True), (7, "# ", "only_mark", True),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, 'My Title'), (2, 'Late but fine'), (3, 'my notes v2'), (4, 'plain'), (5, 'Untitled'), (6, 'Yes'), (7, 'only mark')) AS v(id, title)""")
+@query(rf"""
+    SELECT id, CASE WHEN markdown AND regexp_extract(told, '^#\s+(.+)$', 1) <> '' THEN regexp_extract(told, '^#\s+(.+)$', 1) WHEN stem = '' THEN 'Untitled' ELSE stem END AS title FROM (
+        SELECT id, markdown, trim(regexp_replace(stem, '[_-]', ' ', 'g')) AS stem, coalesce(list_filter(list_transform(string_split(t, chr(10)), lambda x: {_FLAT.format("x")}), lambda x: x <> '' AND (regexp_matches(x, '^#\s+\S') OR len(string_split(x, ' ')) >= 4))[1], '') AS told
+        FROM (SELECT doc_id AS id, doc_id % 2 = 0 AS markdown, CASE WHEN doc_id % 7 = 0 THEN '--' ELSE coalesce(source, '') || '_' || doc_id END AS stem,
+            CASE doc_id % 5 WHEN 0 THEN '#  Title  ' || doc_id || chr(10) || text WHEN 1 THEN 'intro' || chr(10) || chr(10) || '# Late but fine' || chr(10) || text WHEN 2 THEN text || chr(10) || '# Too late' ELSE text END AS t FROM documents WHERE text IS NOT NULL))
+""")
 def file_titles(spark, sf):
-    found = values(spark, TITLES, "id int, text string, stem string, markdown boolean")
-    return found.select("id", T.file_title(F.col("text"), F.col("stem"), F.col("markdown")).alias("title"))
-
-
-QUESTIONS = ["Can you confirm the leave policy?", "Do you have a leave policy", "the LEAVE   policy!", "???", "a leave policy", "Can you confirm:"]
+    """Titles of documents as files: some with a heading at once, some after a short line, some after whole lines."""
+    key = F.col("doc_id")
+    text = (
+        F.when(key % 5 == 0, F.concat(F.lit("#  Title  "), key.cast("string"), F.lit("\n"), "text")).when(key % 5 == 1, F.concat(F.lit("intro\n\n# Late but fine\n"), "text"))
+        .when(key % 5 == 2, F.concat("text", F.lit("\n# Too late"))).otherwise(F.col("text"))
+    )
+    stem = F.when(key % 7 == 0, "--").otherwise(F.concat(F.coalesce("source", F.lit("")), F.lit("_"), key.cast("string")))
+    return table(spark, sf, "documents").where("text IS NOT NULL").select(key.alias("id"), T.file_title(text, stem, key % 2 == 0).alias("title"))
 
 
 @query(f"""
-    SELECT key, count(*) AS n FROM (SELECT trim(replace(replace({_FLAT.format("regexp_replace(lower(q), '[^a-z0-9\\s]', ' ', 'g')")}, 'can you confirm', ''), 'do you have', '')) AS key FROM (VALUES {sql_values([(q,) for q in QUESTIONS])}) AS v(q)) GROUP BY key
+    SELECT key, count(*) AS n FROM (SELECT trim(replace(replace({_FLAT.format("regexp_replace(lower(q), '[^a-z0-9\\s]', ' ', 'g')")}, 'can you confirm', ''), 'do you have', '')) AS key FROM (
+        SELECT CASE conv_id % 3 WHEN 0 THEN 'Can you confirm: ' WHEN 1 THEN 'Do you have ' ELSE '' END || text || '?' AS q FROM conversations WHERE text IS NOT NULL)) GROUP BY key
 """)
 def question_keys(spark, sf):
-    return values(spark, [(q,) for q in QUESTIONS], "q string").groupBy(T.question_key(F.col("q")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    """Turns of conversations as questions, asked in three ways."""
+    key = F.col("conv_id")
+    asked = F.concat(F.when(key % 3 == 0, "Can you confirm: ").when(key % 3 == 1, "Do you have ").otherwise(""), "text", F.lit("?"))
+    return table(spark, sf, "conversations").where("text IS NOT NULL").groupBy(T.question_key(asked).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-GOALS = ["Assess HR. Avoid long lists. Keep it short.", "", None, "never do this", "word " * 60, "Do not guess; cite, " + "source " * 40]
 _DROP = r"regexp_replace({}, '(?i)\b(avoid|do not|don''t|never)\b[^.]*[.]?', '', 'g')"
 
 
 @query(f"""
-    SELECT id, CASE WHEN k = '' THEN 'default' WHEN length(k) <= 60 THEN k ELSE rtrim(regexp_replace(rtrim(substr(k, 1, 60)), ' [^ ]*$', ''), ' ,;:') END AS goal
-    FROM (SELECT id, {_FLAT.format(_DROP.format(_FLAT.format("coalesce(g, '')")))} AS k FROM (VALUES {sql_values(list(enumerate(GOALS)))}) AS v(id, g))
+    SELECT id, CASE WHEN k = '' THEN 'default' WHEN length(k) <= 220 THEN k ELSE rtrim(regexp_replace(rtrim(substr(k, 1, 220)), ' [^ ]*$', ''), ' ,;:') END AS goal
+    FROM (SELECT id, {_FLAT.format(_DROP.format(_FLAT.format("coalesce(g, '')")))} AS k FROM (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Avoid long lists. ' || text WHEN 1 THEN 'Never do this' WHEN 2 THEN 'Assess; do not guess, cite. ' || text ELSE text END AS g FROM documents))
 """)
 def compact_goals(spark, sf):
-    return values(spark, list(enumerate(GOALS)), "id int, g string").select("id", T.compact_goal(F.col("g"), "default", 60).alias("goal"))
+    """Documents as goals, some with prohibitions in front."""
+    key = F.col("doc_id")
+    goal = F.when(key % 4 == 0, F.concat(F.lit("Avoid long lists. "), "text")).when(key % 4 == 1, "Never do this").when(key % 4 == 2, F.concat(F.lit("Assess; do not guess, cite. "), "text")).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select(key.alias("id"), T.compact_goal(goal, "default").alias("goal"))
 
 
 @query(f"""SELECT doc_id, n_legal, n_domain, NOT (n_irrelevant > 0) AND NOT (n_legal >= 2 AND n_domain = 0) AS searchable FROM (SELECT doc_id, contains(t, 'license')::INT + contains(t, 'token =')::INT + contains(t, '@')::INT AS n_legal,
