@@ -81,11 +81,22 @@ def evidence_violations(spark, sf):
     return found.withColumn("violation", A.violation(F.col("status"), F.col("n"), F.col("t"))).where("violation IS NOT NULL")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < doc_id THEN 'end before start' WHEN doc_id < 0 THEN 'negative start' END AS violation FROM documents WHERE n_chars < doc_id OR doc_id < 0")
+#: Citations of 200 characters at a place that some documents don't reach, cut at the text's end, and bands from parts' sizes and prices.
+_EXTENTS = "SELECT 'citation' AS kind, doc_id AS id, doc_id * 37 % 900 - 5 AS low, least(doc_id * 37 % 900 + 195, n_chars) AS high FROM documents"
+_BANDS = "SELECT 'band', p_partkey, p_size, trunc(p_retailprice)::BIGINT % 50 FROM part"
+
+
+@query(f"""
+    SELECT kind, id, CASE kind WHEN 'band' THEN 'maximum below minimum' ELSE CASE WHEN high < low THEN 'end before start' ELSE 'negative start' END END AS violation
+    FROM (SELECT * FROM ({_EXTENTS}) UNION ALL SELECT * FROM ({_BANDS})) WHERE high < low OR (kind = 'citation' AND low < 0)
+""")
 def bounds_violations(spark, sf):
-    """Documents whose size is below their id, as extents that end before they start."""
-    found = table(spark, sf, "documents").select("doc_id", A.bounds_violation(F.col("doc_id"), F.col("n_chars")).alias("violation"))
-    return found.where("violation IS NOT NULL")
+    """Extents that end before they start or start before the text, and bands whose maximum is below their minimum."""
+    at = F.col("doc_id") * 37 % 900
+    cited = table(spark, sf, "documents").select(F.lit("citation").alias("kind"), F.col("doc_id").alias("id"), A.bounds_violation(at - 5, F.least(at + 195, F.col("n_chars"))).alias("violation"))
+    band = F.when(F.col("p_retailprice").cast("long") % 50 < F.col("p_size"), "maximum below minimum")
+    bands = table(spark, sf, "part").select(F.lit("band").alias("kind"), F.col("p_partkey").alias("id"), band.alias("violation"))
+    return cited.unionByName(bands).where("violation IS NOT NULL")
 
 
 # -- preselection ------------------------------------------------------------------------------------
