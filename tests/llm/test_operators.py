@@ -598,3 +598,11 @@ def test_components(spark):
             seen[a] = seen[b] = min(seen[a], seen[b])
     assert got == {n: r for n, r in seen.items() if any(n in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_columns_of_the_result_may_be_there_already(spark, odd):
+    """Columns that clash with those of the result, and dotted names, change nothing."""
+    labels = spark.createDataFrame([(4, 1), (9, 0), (10, 0)], "doc_id long, toxic int")
+    for of, names in ((pii.detect, ["spans", "n_email", "base_sha256"]), (lambda t: toxicity.score(t, labels, F.lit(True)), ["score", "predicted", "toxic"])):
+        clash = odd.withColumns({name: F.lit("own") for name in [*names, "a.b"]})
+        assert sorted(map(repr, of(clash).collect())) == sorted(map(repr, of(odd).collect()))
