@@ -44,15 +44,17 @@ def sanitized(citations: DataFrame, clean: Column) -> DataFrame:
 
 
 def counters(citations: DataFrame, clean: Column, known: DataFrame) -> DataFrame:
-    """One row: citations scanned, cleaned, dropped and recovered, distinct unknown chunk ids."""
-    rows = citations.withColumn("_clean", clean)
-    none = F.coalesce(F.col("_clean"), F.lit("")) == ""
-    changed = ~none & (F.col("_clean") != F.trim("snippet"))
-    empty = F.trim(F.coalesce("snippet", F.lit(""))) == ""
-    joined = rows.join(known.select("chunk_id", F.lit(True).alias("_known")), "chunk_id", "left")
-    return joined.agg(
-        F.count(F.lit(1)).alias("scanned"), F.count_if(changed).alias("cleaned"), F.count_if(none).alias("dropped"), F.count_if(changed & empty).alias("recovered"),
-        F.countDistinct(F.when(F.col("_known").isNull(), F.col("chunk_id"))).alias("unknown"),
+    """One row: citations scanned, cleaned, dropped and recovered, distinct unknown chunk ids.
+
+    ``clean`` is the rewritten snippet; where nothing is left of it the chunk's own text stands in, if that has any
+    (``known``: chunk_id, has_text). A citation is cleaned if it is shown in other words, recovered if it had none."""
+    rows = citations.withColumn("_clean", F.coalesce(clean, F.lit("")))
+    rows = rows.join(known.select("chunk_id", F.coalesce("has_text", F.lit(False)).alias("_text")), "chunk_id", "left")
+    own, empty = F.col("_clean") != "", F.trim(F.coalesce("snippet", F.lit(""))) == ""
+    borrowed = ~own & F.coalesce("_text", F.lit(False))
+    return rows.agg(
+        F.count(F.lit(1)).alias("scanned"), F.count_if((own & (F.col("_clean") != F.trim("snippet"))) | borrowed).alias("cleaned"), F.count_if(~own & ~borrowed).alias("dropped"),
+        F.count_if(borrowed & empty).alias("recovered"), F.countDistinct(F.when(F.col("_text").isNull(), F.col("chunk_id"))).alias("unknown"),
     )
 
 

@@ -43,11 +43,11 @@ _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_re
 
 
 @query(f"""
-    SELECT count(*) AS scanned, count(*) FILTER (c <> '' AND c <> trim(snippet)) AS cleaned, count(*) FILTER (c = '') AS dropped, 0::BIGINT AS recovered, count(DISTINCT chunk_id) FILTER (doc_id IS NULL) AS unknown
-    FROM (SELECT *, {_CLEAN} AS c FROM ({_CITED})) LEFT JOIN documents ON chunk_id = doc_id
+    SELECT count(*) AS scanned, count(*) FILTER (c <> '' AND c <> trim(snippet) OR c = '' AND told) AS cleaned, count(*) FILTER (c = '' AND NOT told) AS dropped, count(*) FILTER (c = '' AND told AND trim(snippet) = '') AS recovered, count(DISTINCT chunk_id) FILTER (doc_id IS NULL) AS unknown
+    FROM (SELECT x.*, doc_id, coalesce({_CLEAN.replace("snippet", "text")} <> '', FALSE) AS told FROM (SELECT *, {_CLEAN} AS c FROM ({_CITED})) x LEFT JOIN documents ON chunk_id = doc_id)
 """)
 def citation_counters(spark, sf):
-    known = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"))
+    known = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), (T.unlinked(F.col("text")) != "").alias("has_text"))
     return A.counters(cited(spark, sf), T.unlinked(F.col("snippet")), known)
 
 
