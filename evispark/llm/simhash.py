@@ -13,10 +13,14 @@ Shards of over ``SHARD`` fingerprints are cut further and their parts meet pairw
 
 Near copies by similarity need more than 64 bits: texts of shingle similarity 0.8 differ in 10 of 64
 bits on average, give or take 3, so a radius that holds them holds others too. ``words`` asks for
-fingerprints of that many 64-bit words, whose distance says more. Their radius is too wide for
-pigeonhole, so the shards of wide fingerprints are named by ``keys_for`` many keys of some of their
-bytes: two fingerprints as far apart as texts of similarity ``ALIKE`` are on average share a key with
-a chance of ``FOUND``, closer ones with a higher one, and every pair that shares a key is compared.
+fingerprints of that many 64-bit words, whose distance says more. Their radius is too wide for shards
+by pigeonhole, so they are dealt into parts of ``PART`` and every two parts meet in one task. There
+two fingerprints at most r apart agree on some 16-bit block but for floor(r / blocks) bits or fewer
+(``allowances``), so each looks up, block by block, all values that near its own: no pair within the
+radius is left out. The work grows with the square of the fingerprints, at some hundredth of comparing
+all of them; a task holds two parts. Fingerprints that share one of ``keys_for`` many keys of some of
+their bytes are linked first, so that a large group of near copies is one component by then and its
+pairs are passed over.
 
 Equal fingerprints are one node (partial aggregation first), and a shard returns a spanning forest of
 its links, at most one edge a node: groups of any size stay linear.
@@ -46,6 +50,8 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 SHARD = 2048
+#: Wide fingerprints: most of a part, most pairs compared at once, parts so small that all pairs are compared.
+PART, PAIRS, FEW = 1 << 16, 1 << 20, 2048
 #: Wide fingerprints: the similarity that keys are made for, and the chance that they find such a pair.
 ALIKE = 0.8
 FOUND = 0.9
@@ -182,6 +188,98 @@ def forest(fps: np.ndarray, part: np.ndarray, lo: int, hi: int, radius: int) ->
     return member, root[member]
 
 
+def allowances(radius: int, blocks: int) -> list[int]:
+    """Bits in which each of ``blocks`` may differ so that two fingerprints at most ``radius`` apart stay within
+    it in some block: were all beyond, they would differ in ``radius`` + 1 bits at least."""
+    least, more = divmod(radius + 1, blocks)
+    return [least - (i >= more) for i in range(blocks)]
+
+
+class Joined:
+    """Components of rows 0..n-1 as links come in: ``root`` is the least row of each row's component."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            one, other = self.root[a], self.root[b]
+            apart = one != other
+            a, b, one, other = a[apart], b[apart], one[apart], other[apart]
+            np.minimum.at(self.root, np.maximum(one, other), np.minimum(one, other))
+            while len(a) and (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def wide_forest(fps: np.ndarray, part: np.ndarray, lo: int, hi: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """``forest`` of wide fingerprints: all links between the two parts, and some inside them, none beyond ``radius``."""
+    fps = np.ascontiguousarray(fps).view(np.uint64)
+    mine, theirs = np.nonzero(part == lo)[0], np.nonzero(part == hi)[0]
+    joined = Joined(len(fps))
+
+    if min(len(mine), len(theirs)) <= FEW:
+        if len(mine) > len(theirs):
+            mine, theirs = theirs, mine
+        for at in mine:
+            near = theirs[_far(fps[theirs], fps[at]) <= radius]
+            joined.link(near, np.full(len(near), at))
+    else:
+        whole = fps.view("u1").reshape(len(fps), -1).astype(np.int64)
+        for run in keys_for(len(fps), fps.shape[1]):  # most of a large group; the rest follows
+            key = sum(whole[:, at] << (8 * k) for k, at in enumerate(run))
+            order = np.argsort(key, kind="stable")
+            a, b = order[:-1], order[1:]
+            near = (key[a] == key[b]) & (np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= radius)
+            joined.link(a[near], b[near])
+        for block, most in enumerate(allowances(radius, 4 * fps.shape[1])):
+            _meet(fps, block, mine, theirs, most, radius, joined)
+    member = np.nonzero(joined.root != np.arange(len(fps)))[0]
+    return member, joined.root[member]
+
+
+def _meet(fps: np.ndarray, block: int, mine: np.ndarray, theirs: np.ndarray, most: int, radius: int, joined: Joined) -> None:
+    """Link every two rows of ``mine`` and ``theirs`` at most ``radius`` apart whose 16-bit block differs in
+    ``most`` bits or fewer."""
+    values, root, n = fps.view("u2")[:, block].astype(np.int64), joined.root, len(fps)
+    mine, theirs = mine[np.lexsort((root[mine], values[mine]))], theirs[np.argsort(values[theirs], kind="stable")]
+    begin = np.searchsorted(values[mine], np.arange((1 << 16) + 1))
+    held, asked = np.diff(begin), values[theirs]
+    known = values[mine] * n + root[mine] if held.max() > 16 else None  # runs of one value and component
+    order = sorted(range(fps.shape[1]), key=lambda w: w == block // 4)  # the block's own word tells least
+    left, right = [[np.ascontiguousarray(fps[rows, w]) for w in order] for rows in (mine, theirs)]
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        far = np.zeros(len(a), np.int16)
+        for x, y in zip(left, right):
+            far += np.bitwise_count(x[a] ^ y[b])
+            keep = np.nonzero(far <= radius)[0]
+            if len(keep) < len(a) // 2:
+                a, b, far = a[keep], b[keep], far[keep]
+        near = far <= radius
+        joined.link(mine[a[near]], theirs[b[near]])
+
+    for flips in (f for bits in range(most + 1) for f in combinations(range(16), bits)):
+        value = asked ^ sum(1 << f for f in flips)
+        count = held[value]
+        at = np.nonzero(count)[0]
+        value, count = value[at], count[at]
+        start = begin[value]
+        if known is not None and (many := count > 16).any():  # leave out those of the own component
+            run = value[many] * n + root[theirs[at[many]]]
+            a, b = np.searchsorted(known, run), np.searchsorted(known, run, "right")
+            count = np.concatenate([count[~many], a - start[many], start[many] + count[many] - b])
+            start, at = np.concatenate([start[~many], start[many], b]), np.concatenate([at[~many], at[many], at[many]])
+            start, at, count = start[count > 0], at[count > 0], count[count > 0]
+        total, first = np.cumsum(count), 0
+        while first < len(at):
+            done = total[first] - count[first]
+            last = max(first + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+            size = count[first:last]
+            ends = total[first:last] - done
+            compare(np.repeat(start[first:last] - (ends - size), size) + np.arange(ends[-1]), np.repeat(at[first:last], size))
+            first = last
+
+
 def scheme(n: int, radius: int) -> tuple[int, int]:
     """(blocks, blocks that must agree): the fewest blocks whose keys tell ``n`` apart, two agreeing
     at least (one block of 64 // (radius + 1) bits is too coarse from some 100,000 fingerprints on).
@@ -194,13 +292,12 @@ def scheme(n: int, radius: int) -> tuple[int, int]:
 
 
 def keys_for(n: int, words: int) -> list[list[int]]:
-    """The bytes of each key that names a shard of ``n`` wide fingerprints.
+    """The bytes of each key by which near ones of ``n`` wide fingerprints are linked first.
 
-    A key has two bytes up to 2^27 fingerprints and one more for each 2^8 times as many, so that
-    shards stay small. The bytes of two texts of similarity j agree in a bit with the chance
-    1 - acos(2j / (1 + j)) / pi; there are as many keys as find a pair of similarity ``ALIKE`` with
-    the chance ``FOUND``, whatever ``n``: 31 of two bytes, 119 of three. They are runs of
-    shuffled orders of all bytes, the same ones at every call.
+    A key has two bytes up to 2^27 fingerprints and one more for each 2^8 times as many. The bytes of
+    two texts of similarity j agree in a bit with the chance 1 - acos(2j / (1 + j)) / pi; there are as
+    many keys as find a pair of similarity ``ALIKE`` with the chance ``FOUND``, whatever ``n``: 31 of
+    two bytes, 119 of three. They are runs of shuffled orders of all bytes, the same ones at every call.
     """
     size, width = max(2, math.ceil((math.log2(max(2, n)) - 11) / 8)), 8 * words
     same = (1 - math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi) ** (8 * size)
@@ -224,33 +321,32 @@ def _pigeonhole(n: int, radius: int) -> list[Column]:
     return keys
 
 
-def _runs(n: int, words: list[Column]) -> list[Column]:
-    def byte(at: int) -> Column:
-        return F.shiftrightunsigned(words[at // 8], 8 * (at % 8)).bitwiseAND(F.lit(255))
-
-    return [sum((F.shiftleft(byte(at), 8 * k) for k, at in enumerate(run)), F.lit(0).cast("long")) for run in keys_for(n, len(words))]
-
-
-def links(points: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Spanning edges (a, b) of the links among distinct ``fp`` values at most ``radius`` bits apart:
-    all of them for 64 bits, those of pairs that share a key for wide fingerprints."""
+def links(points: DataFrame, n: int, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
+    """Spanning edges (a, b) of all links among distinct ``fp`` values at most ``radius`` bits apart."""
     words = _words(points)
-    keys = _pigeonhole(n, radius) if len(words) == 1 else _runs(n, words)
-    keys = [F.struct(F.lit(k).alias("choice"), key.alias("value")) for k, key in enumerate(keys)]
-    dealt = points.select("fp", F.explode(F.array(*keys)).alias("_k")).select("fp", "_k.choice", "_k.value")
-    dealt = chunk_pairs(dealt, ["choice", "value"], F.xxhash64("fp"), shard)
     task, names = ["choice", "value", "lo", "hi"], [f"w{w}" for w in range(len(words))]
     ends = [f"{end}{w}" for end in "ab" for w in range(len(words))]
+    if len(words) == 1:
+        keys = [F.struct(F.lit(k).alias("choice"), key.alias("value")) for k, key in enumerate(_pigeonhole(n, radius))]
+        dealt = points.select("fp", F.explode(F.array(*keys)).alias("_k")).select("fp", "_k.choice", "_k.value")
+        dealt = chunk_pairs(dealt, ["choice", "value"], F.xxhash64("fp"), shard or SHARD)
+        compare, tasks = forest, None
+    else:
+        parts = max(1, math.ceil(n / shard) if shard else max(math.ceil(n / PART), min(8, n // FEW)))
+        dealt = points.select("fp", F.pmod(F.xxhash64("fp"), F.lit(parts)).cast("int").alias("part"))
+        dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        dealt = dealt.select("fp", "part", F.lit(0).alias("choice"), F.lit(0).alias("value"), F.least("part", "_j").alias("lo"), F.greatest("part", "_j").alias("hi"))
+        compare, tasks = wide_forest, min(2000, parts * (parts + 1))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, part, fps in _groups(batches):
-            member, root = forest(fps, part, int(keys[2]), int(keys[3]), radius)
+            member, root = compare(fps, part, int(keys[2]), int(keys[3]), radius)
             if len(member):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*fps[member].T, *fps[root].T]], ends)
         release()
 
     flat = dealt.select(*task, "part", *(w.alias(name) for w, name in zip(words, names)))
-    placed = flat.repartition(*task).sortWithinPartitions(*task)
+    placed = (flat.repartition(tasks, *task) if tasks else flat.repartition(*task)).sortWithinPartitions(*task)
     found = placed.mapInArrow(search, ", ".join(f"{e} long" for e in ends))
     if len(words) == 1:
         return found.toDF("a", "b")
@@ -285,7 +381,7 @@ def _cut(columns: np.ndarray):
         yield columns[:4, a], columns[4, a:b], columns[5:, a:b].T
 
 
-def _placed(prints: DataFrame, key: list[str], radius: int, shard: int) -> DataFrame:
+def _placed(prints: DataFrame, key: list[str], radius: int, shard: int | None) -> DataFrame:
     """``prints`` with ``first``: of the rows that links reach, the least by doc_id (nulls last) and ``key``."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)).alias("least")
     points = written(prints.groupBy("fp").agg(least), "points")
@@ -297,14 +393,14 @@ def _placed(prints: DataFrame, key: list[str], radius: int, shard: int) -> DataF
     return prints.join(placed, "fp")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD, words: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int | None = None, words: int = 1) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (least doc_id reachable by links), one row per row."""
     prints = written(fingerprints(docs, shingle, words), "fingerprints")
     digits = [F.lower(F.lpad(F.hex(w), 16, "0")) for w in reversed(_words(prints))]
     return _placed(prints, [], radius, shard).select("doc_id", F.concat(*digits).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD, words: int = 1) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int | None = None, words: int = 1) -> DataFrame:
     """The rows of ``docs`` of which each component keeps one: the row with the least doc_id (nulls
     last) and, of several texts with that id, the one whose hash is least."""
     text_key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
