@@ -104,7 +104,7 @@ def token_index(chunks: DataFrame) -> Index:
 def meanings(items: DataFrame, index: Index, signals: Signals) -> tuple[DataFrame, DataFrame]:
     """(queries, meant) of ``items`` against an index.
 
-    queries: item_id, q, phrase, pairs, terms, often, easy. ``often`` is the place of the term that most
+    queries: item_id, q, phrase, pairs (places of their terms, text), terms, often, easy. ``often`` is the place of the term that most
     chunks have. A query needs two of its terms in a chunk, unless it has one only or one that is
     repeated (``easy``): so a chunk that qualifies has a term beside the commonest, and only the rarer ones
     need be looked up. meant: token, term, n of all tokens that mean a term."""
@@ -115,7 +115,9 @@ def meanings(items: DataFrame, index: Index, signals: Signals) -> tuple[DataFram
     sizes = meant.groupBy("term").agg(F.sum("n").alias("n"))
     often = terms.join(sizes, "term").groupBy("item_id", "q").agg(F.max_by("i", F.struct("n", -F.col("i"))).alias("often"))
     easy = (F.size("terms") < 2) | (F.size("terms") < F.size("core"))
-    queries = queries.join(often, ["item_id", "q"]).select("item_id", "q", "phrase", "pairs", "terms", "often", easy.alias("easy"))
+    place = lambda t: (F.array_position("terms", t) - 1).cast("int")
+    pairs = F.transform("pairs", lambda p: F.struct(place(p[0]).alias("a"), place(p[1]).alias("b"), joined(p).alias("text")))
+    queries = queries.join(often, ["item_id", "q"]).select("item_id", "q", "phrase", pairs.alias("pairs"), "terms", "often", easy.alias("easy"))
     return stored(queries, "queries"), meant
 
 
@@ -125,23 +127,51 @@ def chunk_terms(index: Index, meant: DataFrame) -> DataFrame:
     return stored(got.agg(F.collect_set("term").alias("have"), F.collect_set(F.when(F.col("token") == F.col("term"), F.col("term"))).alias("exact")), "chunk_terms")
 
 
-def candidates(have: DataFrame, queries: DataFrame) -> DataFrame:
-    """chunk_id, item_id, q, found, same: the query's terms that the chunk has, two or more unless the query
-    is easy, and those it has as they are."""
-    asked = queries.select("item_id", "q", "easy", "often", F.posexplode("terms").alias("i", "term")).where("easy OR i <> often")
-    hits = have.select("chunk_id", F.explode("have").alias("term")).join(asked.select("item_id", "q", "term"), "term")
-    hits = hits.groupBy("chunk_id", "item_id", "q").agg(F.collect_set("term").alias("rare"))
-    hits = hits.join(queries.select("item_id", "q", "terms", "often", "easy"), ["item_id", "q"]).join(have, "chunk_id")
-    common = F.get("terms", "often")
-    found = F.filter("terms", lambda t: F.array_contains("rare", t) | ((t == common) & F.array_contains("have", t)))
-    two = (F.size("rare") >= 2) | F.array_contains("have", common)
-    hits = hits.where(F.col("easy") | two).select("chunk_id", "item_id", "q", found.alias("found"), "exact")
-    return stored(hits.select("chunk_id", "item_id", "q", "found", F.filter("found", lambda t: F.array_contains("exact", t)).alias("same")), "candidates")
+def hits_of(have: DataFrame, key: list[str], queries: DataFrame, slots: int) -> DataFrame:
+    """``key``, item_id, q, found, same: the query's terms that a row's ``have`` has, two or more unless the query
+    is easy, and those of them in its ``exact``, as ``slots`` longs with the bits of the terms' places. Rows of
+    ``have`` are one of each ``key``."""
+    asked = queries.select("item_id", "q", "easy", "often", F.get("terms", "often").alias("common"), F.posexplode("terms").alias("i", "term")).where("easy OR i <> often")
+    hits = have.select(*key, "have", "exact", F.explode("have").alias("term")).join(asked, "term")
+    own, also = F.array_contains("exact", F.col("term")), F.array_contains("have", F.col("common"))
+    often = F.when(also, F.col("often"))
+    hits = hits.select(*key, "item_id", "q", "easy", "i", F.when(own, F.col("i")).alias("i_same"), often.alias("c"), F.when(F.array_contains("exact", F.col("common")), often).alias("c_same"))
 
+    def bits(place: str, common: str, slot: int) -> Column:
+        return F.bit_or(_bit(F.col(place), slot)).bitwiseOR(F.bit_or(_bit(F.col(common), slot)))
 
-def facts_of(chunks: DataFrame, meant: DataFrame, signals: Signals) -> DataFrame:
-    """chunk_id, flat, windows, base, process of the searchable ``chunks``. ``windows`` are the terms of the
-    paragraphs and sentences that have two; null for a text of one paragraph, which is a window itself."""
+    sets = {"found": [bits("i", "c", s) for s in range(slots)], "same": [bits("i_same", "c_same", s) for s in range(slots)]}
+    hits = hits.groupBy(*key, "item_id", "q").agg(F.max("easy").alias("easy"), *(c.alias(f"{n}{s}") for n, cs in sets.items() for s, c in enumerate(cs)))
+    hits = hits.select(*key, "item_id", "q", "easy", *(F.array(*(f"{n}{s}" for s in range(slots))).alias(n) for n in sets))
+    return hits.where(F.col("easy") | (_size("found", slots) >= 2)).drop("easy")
+
+
+def _bit(place: Column, slot: int) -> Column:
+    """The long ``slot`` of a set of places that holds ``place`` alone."""
+    return F.when(F.floor(place / 63) == slot, F.call_function("shiftleft", F.lit(1).cast("long"), (place % 63).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+
+def _size(found: str, slots: int) -> Column:
+    return sum((F.bit_count(F.get(found, F.lit(s))) for s in range(slots)), F.lit(0))
+
+
+def _in(place: Column, found: Column) -> Column:
+    return F.getbit(F.get(found, F.floor(place / 63).cast("int")), (place % 63).cast("int")) == 1
+
+
+def candidates(have: DataFrame, queries: DataFrame, slots: int) -> DataFrame:
+    """chunk_id, item_id, q, found, same of every chunk that has enough of a query's terms."""
+    return stored(hits_of(have.repartition(dealt(have), "chunk_id"), ["chunk_id"], queries, slots), "candidates")
+
+
+def dealt(df: DataFrame) -> int:
+    """Parts for much work on few bytes: a fixed number, which the planner doesn't join by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def facts_of(chunks: DataFrame, signals: Signals) -> DataFrame:
+    """chunk_id, flat, parts, base, process of the searchable ``chunks``. ``parts`` are the paragraphs and
+    sentences; null for a text of one paragraph, which is a window itself."""
     low = F.lower("text")
     paragraphs = F.split("text", r"\n\s*\n")
     kept = chunks.where(searchable(F.col("text"), signals)).select(
@@ -151,14 +181,17 @@ def facts_of(chunks: DataFrame, meant: DataFrame, signals: Signals) -> DataFrame
         (0.25 * pattern_count(low, signals.domain) - 0.14 * pattern_count(low, signals.legal) - 0.18 * F.greatest(F.lit(0.0), T.nav_balance(F.col("text")))).alias("base"),
         (pattern_count(low, signals.process) > 0).alias("process"),
     )
-    kept = stored(kept, "facts")
-    parts = kept.where("parts IS NOT NULL").select("chunk_id", F.posexplode("parts").alias("w", "part"))
+    return stored(kept, "facts")
+
+
+def close_hits(facts: DataFrame, meant: DataFrame, queries: DataFrame, slots: int) -> DataFrame:
+    """chunk_id, item_id, q: queries with two terms in one paragraph or sentence of a chunk that has several."""
+    parts = facts.where("parts IS NOT NULL").select("chunk_id", F.posexplode("parts").alias("w", "part"))
     words = parts.select("chunk_id", "w", F.explode(F.array_distinct(words_of(F.col("part")))).alias("token")).join(meant.select("token", "term"), "token")
-    windows = words.groupBy("chunk_id", "w").agg(F.collect_set("term").alias("terms")).where(F.size("terms") >= 2)
-    windows = windows.groupBy("chunk_id").agg(F.collect_set("terms").alias("windows"))
-    none = F.array().cast("array<array<string>>")
-    facts = kept.join(windows, "chunk_id", "left")
-    return facts.select("chunk_id", "flat", F.when(F.col("parts").isNotNull(), F.coalesce("windows", none)).alias("windows"), "base", "process")
+    windows = words.groupBy("chunk_id", "w").agg(F.collect_set("term").alias("have")).where(F.size("have") >= 2)
+    windows = windows.withColumn("exact", F.array().cast("array<string>"))
+    found = hits_of(windows, ["chunk_id", "w"], queries, slots)
+    return found.where(_size("found", slots) >= 2).select("chunk_id", "item_id", "q").distinct()
 
 
 def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None, index: Index | None = None) -> DataFrame:
@@ -168,27 +201,31 @@ def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None,
     phrase, by two neighbouring core tokens, or by a paragraph or sentence with two of its core terms.
 
     ``chunks`` is read once for the index (not at all if ``index`` is given) and once for what is scored,
-    of candidate chunks only."""
+    of candidate chunks only. Sets of a query's terms are longs with a bit for each term, so what is
+    grouped by chunk and query has no arrays; windows are counted by a join and not looked through by each query."""
     signals = signals or Signals()
     index = index or token_index(chunks)
     queries, meant = meanings(items, index, signals)
+    slots = max(1, -(-(queries.agg(F.max(F.size("terms"))).first()[0] or 0) // 63))
     have = chunk_terms(index, meant)
-    hits = candidates(have, queries)
-    facts = facts_of(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"), meant, signals)
-    facts = facts.join(have.select("chunk_id", "exact"), "chunk_id")
-    met = hits.join(facts, "chunk_id").join(queries.select("item_id", "q", "phrase", "pairs", "terms"), ["item_id", "q"])
-    # The text is looked into only for words that are all there.
-    whole = (F.size("same") == F.size("terms")) & F.contains("flat", F.col("phrase"))
-    phrase = whole | F.exists("pairs", lambda p: F.forall(p, lambda t: F.array_contains("same", t)) & F.contains("flat", joined(p)))
-    window = F.col("windows").isNull() | F.exists("windows", lambda w: F.size(F.array_intersect(w, F.col("found"))) >= 2)
-    met = met.withColumn("told", phrase).where(F.col("told") | ((F.size("found") >= 2) & window))
+    hits = candidates(have, queries, slots)
+    facts = facts_of(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"), signals)
+    close = close_hits(facts, meant, queries, slots).withColumn("near", F.lit(True))
     # Queries of words that don't count have a phrase only, and count only beside others.
     dim = rubric(items, signals)
     plain = F.transform(F.filter("queries", lambda x: F.size(x["core"]) == 0), lambda x: x["phrase"])
-    met = met.where(F.size("found") > 0).join(dim.select("item_id", "anchors", plain.alias("plain")), "item_id")
+    dim = stored(dim.select("item_id", "anchors", plain.alias("plain")), "items")
+    texts = facts.select("chunk_id", "flat", F.col("parts").isNull().alias("whole"), "base", "process").join(have.select("chunk_id", "exact"), "chunk_id")
+    met = hits.repartition(dealt(hits), "chunk_id").join(texts.repartition(dealt(hits), "chunk_id"), "chunk_id")
+    met = met.join(queries.select("item_id", "q", "phrase", "pairs", "terms"), ["item_id", "q"]).join(dim, "item_id")
+    # The text is looked into only for words that are all there.
+    same = F.col("same")
+    told = ((_size("same", slots) == F.size("terms")) & F.contains("flat", F.col("phrase"))) | F.exists("pairs", lambda p: _in(p["a"], same) & _in(p["b"], same) & F.contains("flat", p["text"]))
     there = F.size(F.filter("anchors", lambda a: F.array_contains("exact", a)))
-    n_plain = F.size(F.filter("plain", lambda p: F.contains("flat", p)))
-    found = met.select("chunk_id", "item_id", F.col("found").alias("terms"), "told", "base", "process", there.alias("n_anchors"), n_plain.alias("n_plain"))
+    n_plain = F.when(F.size("plain") > 0, F.size(F.filter("plain", lambda p: F.contains("flat", p)))).otherwise(0)
+    met = met.select("chunk_id", "item_id", "q", "found", "terms", "whole", "base", "process", told.alias("told"), there.alias("n_anchors"), n_plain.alias("n_plain"))
+    met = met.join(close, ["chunk_id", "item_id", "q"], "left").where(F.col("told") | ((_size("found", slots) >= 2) & (F.col("whole") | F.col("near"))))
+    found = met.withColumn("terms", F.filter("terms", lambda t, i: _in(i, F.col("found"))))
     found = found.groupBy("chunk_id", "item_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"), (F.count_if("told") + F.max("n_plain")).cast("int").alias("n_phrases"),
         F.max("base").alias("base"), F.max("process").alias("process"), F.max("n_anchors").alias("n_anchors"),
@@ -199,7 +236,8 @@ def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None,
 
 
 def best(found: DataFrame, key: list[str], k: int, order: list[Column], same: list[str]) -> DataFrame:
-    """The ``k`` first rows of each ``key`` by ``order``, of rows that agree in ``same`` the first only."""
-    first = F.row_number().over(W.partitionBy(*key, *same).orderBy(*order))
-    once = found.withColumn("_first", first).where("_first = 1").drop("_first")
-    return once.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= k)
+    """The ``k`` first rows of each ``key`` by ``order``, of rows that agree in ``same`` the first only (all, if it is empty)."""
+    if same:
+        first = F.row_number().over(W.partitionBy(*key, *same).orderBy(*order))
+        found = found.withColumn("_first", first).where("_first = 1").drop("_first")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= k)

@@ -13,6 +13,7 @@ from evispark.operators import evidence as E
 from evispark.operators import match as M
 from evispark.plans import matching_queries as MQ
 from evispark.plans.registry import once, query, sql_values, table, values
+from evispark.storage import stored
 
 TOP = 6
 #: Characters of a document's beginning that a row shows.
@@ -50,10 +51,10 @@ def item_fields(spark, sf):
 def top(spark, sf):
     """The best documents of each item by the full score, with what a row shows and says."""
     found = MQ.matched(spark, sf).withColumns({"n_terms": F.size("terms").cast("long"), "n_phrases": F.col("n_phrases").cast("long")})
-    best = E.best(found, ["item_id"], TOP, [F.desc("score"), F.asc("chunk_id")], ["chunk_id"]).withColumnRenamed("chunk_id", "doc_id")
-    shown = table(spark, sf, "documents").select("doc_id", T.clip(F.col("text"), SNIPPET).alias("snippet"))
+    best = stored(E.best(found, ["item_id"], TOP, [F.desc("score"), F.asc("chunk_id")], []).withColumnRenamed("chunk_id", "doc_id"), "best")
+    shown = best.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").withColumn("snippet", T.clip(F.col("text"), SNIPPET))
     kind = D.evidence_kind(F.col("snippet"), F.size("terms") > 0, POSITIVE, NEGATIVE)
-    return best.join(shown, "doc_id").select("item_id", "doc_id", "n_terms", "n_phrases", "score", "rank", "snippet", kind.alias("kind"))
+    return shown.select("item_id", "doc_id", "n_terms", "n_phrases", "score", "rank", "snippet", kind.alias("kind"))
 
 
 def status(spark, sf):

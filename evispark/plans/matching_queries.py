@@ -113,7 +113,7 @@ def rubric_match(spark, sf):
 @query(f"SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ({MATCH})) WHERE rank <= {TOP}")
 def rubric_topk(spark, sf):
     order = [F.desc("score"), F.asc("chunk_id")]
-    return E.best(matched(spark, sf), ["item_id"], TOP, order, ["chunk_id"]).select("item_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
+    return E.best(matched(spark, sf), ["item_id"], TOP, order, []).select("item_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
 # -- passages ----------------------------------------------------------------------------------------
@@ -180,10 +180,10 @@ def snippets(spark, sf):
     sure = F.length(P.fallback(F.coalesce("text", F.lit("")))) >= LEAST
     found = stored(E.matches(chunks, items(spark, sf), SIGNALS).join(chunks.select("chunk_id", sure.alias("sure")), "chunk_id"), "scored")
     order = [F.desc("score"), F.asc("chunk_id")]
-    first = E.best(found.where("sure"), ["item_id"], TOP, order, ["chunk_id"]).drop("rank")
+    first = E.best(found.where("sure"), ["item_id"], TOP, order, []).drop("rank")
     bar = first.groupBy("item_id").agg(F.when(F.count(F.lit(1)) >= TOP, F.min("score")).alias("bar"))
     short = found.where("NOT sure").join(bar, "item_id", "left").where("bar IS NULL OR score >= bar").drop("bar")
-    rows = P.best(first.unionByName(short).join(whole, "chunk_id"))
+    rows = P.best(stored(first.unionByName(short), "looked_at").join(whole, "chunk_id"))
     rows = rows.where(F.length("snippet") >= LEAST).withColumn("kind", D.evidence_kind(F.col("snippet"), F.lit(True)))
     return E.best(rows, ["item_id"], TOP, order, ["chunk_id", "snippet"])
 
