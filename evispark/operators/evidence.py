@@ -1,11 +1,9 @@
 """Evidence of rubric items in chunks: which chunk mentions which item, how strongly, in which words.
 
-Nothing here is a regular-expression join. An index of the chunks' tokens is written once; its distinct
-tokens are matched to the rubric's terms (an equi-join on the term, or on its stem), and from then on a
-chunk meets a query only through a token that it has, and not through the query's commonest one. A phrase is
-found as a substring of the chunk's tokens joined by blanks, and a window is an array of tokens, so the
-score needs no pattern that varies by row; patterns that don't vary are tried on candidate chunks only.
-Every join is an equi-join that the planner may broadcast, by size, or split, by skew.
+Nothing here is a regular-expression join. The chunks' tokens are written once; they meet the rubric's terms by
+their first letters, and phrases by two neighbouring tokens. Whatever a token or a phrase says of an item is bits of a few longs, so a chunk
+and an item are one row of longs from the first grouping to the score, and the only tables that are joined with chunks
+are the rubric's own. Every join is an equi-join that the planner may broadcast, by size, or split, by skew.
 """
 
 from __future__ import annotations
@@ -21,7 +19,10 @@ from evispark.functions import text as T
 from evispark.storage import stored
 
 WORD = r"[\p{L}\p{N}]+"
+PARAGRAPH_BREAK = r"\n\s*\n"
 STEM_LEAST, STEM_TAIL = 5, 6
+#: Letters by which tokens and terms meet: no stem is shorter.
+KEY = STEM_LEAST - 1
 ANCHORS, ANCHOR_LEAST = 6, 4
 
 
@@ -60,71 +61,98 @@ def searchable(text: Column, signals: Signals) -> Column:
 
 
 def rubric(items: DataFrame, signals: Signals) -> DataFrame:
-    """One row per item: its queries as (q, phrase, core tokens, core pairs), and its anchor words."""
+    """One row per item: its queries as (q, tokens, core tokens), their distinct core tokens in order (``all``), and its anchor words."""
     core = T.core_tokens(F.col("query"), signals.noise)
-    each = items.select("item_id", "q", T.tokens(F.col("query")).alias("_t"), core.alias("core")).where(F.size("_t") > 0)
-    pairs = F.when(F.size("core") >= 2, F.transform(F.sequence(F.lit(1), F.size("core") - 1), lambda i: F.slice("core", i, 2)))
-    pairs = F.coalesce(pairs, F.array().cast("array<array<string>>"))
-    each = each.select("item_id", F.struct("q", joined(F.col("_t")).alias("phrase"), "core", pairs.alias("pairs")).alias("query"))
-    found = each.groupBy("item_id").agg(F.array_sort(F.collect_list("query")).alias("queries"))
+    each = items.select("item_id", "q", T.tokens(F.col("query")).alias("tokens"), core.alias("core")).where(F.size("tokens") > 0)
+    found = each.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("q", "tokens", "core"))).alias("queries"))
     words = F.array_distinct(F.flatten(F.transform("queries", lambda x: x["core"])))
     anchors = F.filter(words, lambda t: (F.length(t) >= ANCHOR_LEAST) & ~t.isin(signals.generic))
-    return found.withColumn("anchors", F.slice(anchors, 1, ANCHORS))
+    return found.select("item_id", "queries", F.array_sort(words).alias("all"), F.slice(anchors, 1, ANCHORS).alias("anchors"))
 
 
-def token_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(token, term) of all distinct tokens and terms that match: equal, or a term of five letters and
-    more without its last one, plus up to six letters."""
-    tokens, terms = tokens.select("token").distinct(), terms.select("term").distinct()
-    equal = tokens.join(terms, F.col("token") == F.col("term"))
-    stems = terms.where(F.length("term") >= STEM_LEAST).select("term", F.expr("substr(term, 1, length(term) - 1)").alias("stem"))
-    sizes = F.sequence(F.greatest(F.lit(STEM_LEAST - 1), F.length("token") - STEM_TAIL), F.length("token"))
-    heads = tokens.where(F.length("token") >= STEM_LEAST - 1).select("token", F.explode(sizes).alias("n"))
-    heads = heads.select("token", F.expr("substr(token, 1, n)").alias("stem"), F.expr("substr(token, n + 1)").alias("tail"))
-    longer = heads.join(stems, "stem").where(F.col("tail").rlike("^[a-z]*$")).select("token", "term")
-    return equal.unionByName(longer).distinct()
+def token_index(chunks: DataFrame, signals: Signals | None = None) -> DataFrame:
+    """The searchable ``chunks`` (chunk_id, text) as tokens, written once: chunk_id, words (in order), parts, base, process.
 
-
-@dataclass
-class Index:
-    """Which tokens occur in which chunks. ``postings``: chunk_id, token, each pair once; ``tokens``: token, n chunks."""
-
-    postings: DataFrame
-    tokens: DataFrame
-
-
-def token_index(chunks: DataFrame) -> Index:
-    """The index of ``chunks`` (chunk_id, text), written once. Postings stay where their chunks are: nothing is
-    shuffled, and a token that most chunks have is in as many files as they are."""
-    each = chunks.select("chunk_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("token"))
-    postings = stored(each, "postings")
-    return Index(postings, stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "tokens"))
-
-
-def meanings(items: DataFrame, index: Index, signals: Signals) -> tuple[DataFrame, DataFrame]:
-    """(queries, meant) of ``items`` against an index.
-
-    queries: item_id, q, phrase, pairs (places of their terms, text), terms, often, easy. ``often`` is the place of the term that most
-    chunks have. A query needs two of its terms in a chunk, unless it has one only or one that is
-    repeated (``easy``): so a chunk that qualifies has a term beside the commonest, and only the rarer ones
-    need be looked up. meant: token, term, n of all tokens that mean a term."""
-    queries = rubric(items, signals).select("item_id", F.explode("queries").alias("x")).select("item_id", "x.*")
-    queries = queries.where(F.size("core") > 0).withColumn("terms", F.array_distinct("core"))
-    terms = queries.select("item_id", "q", F.posexplode("terms").alias("i", "term"))
-    meant = stored(token_terms(index.tokens, terms).join(index.tokens, "token"), "meant")
-    sizes = meant.groupBy("term").agg(F.sum("n").alias("n"))
-    often = terms.join(sizes, "term").groupBy("item_id", "q").agg(F.max_by("i", F.struct("n", -F.col("i"))).alias("often"))
-    easy = (F.size("terms") < 2) | (F.size("terms") < F.size("core"))
-    place = lambda t: (F.array_position("terms", t) - 1).cast("int")
-    pairs = F.transform("pairs", lambda p: F.struct(place(p[0]).alias("a"), place(p[1]).alias("b"), joined(p).alias("text")))
-    queries = queries.join(often, ["item_id", "q"]).select("item_id", "q", "phrase", pairs.alias("pairs"), "terms", "often", easy.alias("easy"))
-    return stored(queries, "queries"), meant
+    ``parts`` are the paragraphs, and the sentences that go beyond one (any other is inside a paragraph); null for a
+    text of one paragraph, which is a window itself. ``base`` and ``process`` are what the score reads of the text alone."""
+    signals = signals or Signals()
+    low = F.lower("text")
+    paragraphs = F.filter(F.split("text", PARAGRAPH_BREAK), lambda p: T.strip(p) != "")
+    beyond = F.filter(F.split("text", T.SENTENCE_BREAK), lambda s: s.rlike(PARAGRAPH_BREAK))
+    kept = chunks.where(searchable(F.col("text"), signals)).select(
+        "chunk_id",
+        words_of(F.col("text")).alias("words"),
+        F.when(F.col("text").rlike(PARAGRAPH_BREAK), F.when(F.size(paragraphs) > 1, F.concat(paragraphs, beyond))).alias("parts"),
+        (0.25 * pattern_count(low, signals.domain) - 0.14 * pattern_count(low, signals.legal) - 0.18 * F.greatest(F.lit(0.0), T.nav_balance(F.col("text")))).alias("base"),
+        (pattern_count(low, signals.process) > 0).alias("process"),
+    )
+    return stored(kept, "index")
 
 
-def chunk_terms(index: Index, meant: DataFrame) -> DataFrame:
-    """chunk_id, have, exact: the terms that a chunk's tokens mean, and those that they are."""
-    got = index.postings.join(meant.select("token", "term"), "token").groupBy("chunk_id")
-    return stored(got.agg(F.collect_set("term").alias("have"), F.collect_set(F.when(F.col("token") == F.col("term"), F.col("term"))).alias("exact")), "chunk_terms")
+@dataclass
+class Asked:
+    """A rubric as small tables. Sets are columns of longs: ``found``: an item's terms by their place in ``all``; ``told`` and
+    ``near``: its queries by their place; ``there``: its anchors.
+
+    ``items``: item_id, all. ``queries``: item_id, and a query's place (``told``) and terms (``found``). ``terms``: key, term, and the
+    ``stem`` by which other tokens mean it. ``says``: term, item_id, the sets of a token that means the term (``told``, ``there``:
+    only of the term itself). ``grams``: four tokens in a row (the last two null if any will do), item_id, told, and the
+    ``phrase`` that is still to be looked for if four tokens don't settle it (``open``: there are such)."""
+
+    items: DataFrame
+    queries: DataFrame
+    terms: DataFrame
+    says: DataFrame
+    grams: DataFrame
+    slots: dict[str, int]
+    open: bool
+
+
+def asked(items: DataFrame, signals: Signals) -> Asked:
+    """What ``items`` ask of chunks; nothing here grows with these."""
+    each = stored(rubric(items, signals), "items")
+    most = each.agg(F.max(F.size("all")), F.max(F.size("queries"))).first()
+    slots = {k: max(1, -(-(n or 0) // 63)) for k, n in {"found": most[0], "told": most[1], "near": most[1], "there": 1}.items()}
+    sets = lambda **of: [c for k in ("found", "told", "there") for c in _set(k, of.get(k, F.lit(None).cast("int")), slots[k])]
+    queries = each.select("item_id", F.posexplode("queries").alias("k", "x")).select("item_id", "k", "x.tokens", "x.core")
+    terms = each.select("item_id", F.posexplode("all").alias("i", "term"))
+    needed = queries.select("item_id", "k", F.explode(F.array_distinct("core")).alias("term")).join(terms, ["item_id", "term"])
+    masks = needed.groupBy("item_id", "k").agg(*(F.bit_or(c).alias(n) for n, c in zip(_names(slots, "found"), _set("found", F.col("i"), slots["found"]))))
+    masks = masks.select("item_id", *_names(slots, "found"), *_set("told", F.col("k"), slots["told"]))
+    meant = terms.select("term", "item_id", *sets(found=F.col("i")), (F.length("term") >= STEM_LEAST).alias("by_stem"))
+    anchors = each.select("item_id", F.posexplode("anchors").alias("i", "term")).select("term", "item_id", *sets(there=F.col("i")), F.lit(False).alias("by_stem"))
+    single = queries.where(F.size("tokens") == 1).select(F.get("tokens", F.lit(0)).alias("term"), "item_id", *sets(told=F.col("k")), F.lit(False).alias("by_stem"))
+    says = meant.unionByName(anchors).unionByName(single).groupBy("term", "item_id")
+    says = stored(says.agg(*(F.bit_or(n).alias(n) for n in _names(slots, "found", "told", "there")), F.max("by_stem").alias("by_stem")), "says")
+    stem = F.when(F.max("by_stem"), F.expr("substr(term, 1, length(term) - 1)"))
+    known = says.groupBy("term").agg(stem.alias("stem"), F.substring("term", 1, KEY).alias("key"))
+    at = lambda n: F.get("t", F.lit(n)).alias("abcd"[n])
+    pairs = F.transform(F.sequence(F.lit(1), F.size("core") - 1), lambda i: F.slice("core", i, 2))
+    pairs = queries.where(F.size("core") >= 2).select("item_id", "k", F.explode(F.array_distinct(pairs)).alias("t"))
+    # A query of core tokens alone has its phrase only where it has a pair.
+    whole = queries.where((F.size("tokens") >= 2) & (F.size("core") < F.size("tokens"))).select("item_id", "k", F.col("tokens").alias("t"))
+    grams = pairs.unionByName(whole).select(*map(at, range(4)), "item_id", *_set("told", F.col("k"), slots["told"]), F.when(F.size("t") > 4, joined(F.col("t"))).alias("phrase"))
+    grams = stored(grams, "grams")
+    return Asked(each.select("item_id", "all"), stored(masks, "queries"), stored(known, "terms"), says.drop("by_stem"), grams, slots, not grams.where("phrase IS NOT NULL").isEmpty())
+
+
+def meanings(tokens: DataFrame, ask: Asked) -> DataFrame:
+    """``tokens`` with item_id and the sets of what each says: it is a term, or a term of five letters and more without
+    its last one, plus up to six letters. Tokens and terms meet by their first letters, so no table of all tokens is made."""
+    token, tail = F.col("token"), F.expr("substr(token, length(stem) + 1)")
+    longer = F.startswith(token, F.col("stem")) & (F.length("token") <= F.length("stem") + STEM_TAIL) & tail.rlike("^[a-z]*$")
+    found = tokens.withColumn("key", F.substring("token", 1, KEY)).join(ask.terms, "key").where((token == F.col("term")) | longer)
+    found = found.withColumn("own", token == F.col("term")).drop("key", "token", "stem").join(ask.says, "term")
+    return found.withColumns({n: F.when(F.col("own"), F.col(n)).otherwise(F.lit(0).cast("long")) for n in _names(ask.slots, "told", "there")}).drop("own", "term")
+
+
+def _names(slots: dict[str, int], *which: str) -> list[str]:
+    return [f"{k}{s}" for k in which or slots for s in range(slots[k])]
+
+
+def _set(name: str, place: Column, slots: int) -> list[Column]:
+    """The set that holds ``place`` alone; empty if that is null."""
+    return [_bit(place, s).alias(f"{name}{s}") for s in range(slots)]
 
 
 def hits_of(have: DataFrame, key: list[str], queries: DataFrame, slots: int) -> DataFrame:
@@ -160,7 +188,7 @@ def _in(place: Column, found: Column) -> Column:
 
 
 def candidates(have: DataFrame, queries: DataFrame, slots: int) -> DataFrame:
-    """chunk_id, item_id, q, found, same of every chunk that has enough of a query's terms."""
+    """chunk_id, item_id, q, found, same of every chunk that has enough of a query's terms: for terms as arrays. ``matches`` doesn't use it."""
     return stored(hits_of(have.repartition(dealt(have), "chunk_id"), ["chunk_id"], queries, slots), "candidates")
 
 
@@ -169,70 +197,69 @@ def dealt(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def facts_of(chunks: DataFrame, signals: Signals) -> DataFrame:
-    """chunk_id, flat, parts, base, process of the searchable ``chunks``. ``parts`` are the paragraphs and
-    sentences; null for a text of one paragraph, which is a window itself."""
-    low = F.lower("text")
-    paragraphs = F.split("text", r"\n\s*\n")
-    kept = chunks.where(searchable(F.col("text"), signals)).select(
-        "chunk_id",
-        joined(words_of(F.col("text"))).alias("flat"),
-        F.when(F.size(F.filter(paragraphs, lambda p: T.strip(p) != "")) > 1, F.concat(paragraphs, F.split("text", T.SENTENCE_BREAK))).alias("parts"),
-        (0.25 * pattern_count(low, signals.domain) - 0.14 * pattern_count(low, signals.legal) - 0.18 * F.greatest(F.lit(0.0), T.nav_balance(F.col("text")))).alias("base"),
-        (pattern_count(low, signals.process) > 0).alias("process"),
-    )
-    return stored(kept, "facts")
+def close_hits(index: DataFrame, ask: Asked) -> DataFrame:
+    """chunk_id, item_id, near: queries with two terms in one paragraph or sentence of a chunk that has several."""
+    found, near = _names(ask.slots, "found"), _names(ask.slots, "near")
+    parts = index.where("parts IS NOT NULL").select("chunk_id", F.posexplode("parts").alias("w", "part"))
+    words = parts.select("chunk_id", "w", F.explode(F.array_distinct(words_of(F.col("part")))).alias("token"))
+    windows = meanings(words, ask).groupBy("chunk_id", "w", "item_id").agg(*(F.bit_or(n).alias(n) for n in found))
+    close = windows.join(_needs(ask), "item_id").where(_count(_both(found)) >= 2)
+    return close.select("chunk_id", "item_id", *(F.col(f"q_told{s}").alias(n) for s, n in enumerate(near)))
+
+
+def told_hits(index: DataFrame, ask: Asked) -> DataFrame:
+    """chunk_id, item_id, told: queries whose phrase, or two neighbouring core tokens, occur in a chunk."""
+    told = _names(ask.slots, "told")
+    runs = F.arrays_zip("words", *(F.slice("words", n, F.size("words")).alias(f"w{n}") for n in (2, 3, 4)))
+    runs = index.select("chunk_id", F.explode(runs).alias("r")).select("chunk_id", F.col("r.words").alias("a"), F.col("r.w2").alias("b"), F.col("r.w3").alias("x"), F.col("r.w4").alias("y"))
+    found = runs.join(ask.grams, ["a", "b"]).where("(c IS NULL OR c = x) AND (d IS NULL OR d = y)").select("chunk_id", "item_id", *told, "phrase")
+    if not ask.open:
+        return found.drop("phrase")
+    rest = found.where("phrase IS NOT NULL").distinct().join(index.select("chunk_id", joined(F.col("words")).alias("flat")), "chunk_id")
+    return found.where("phrase IS NULL").drop("phrase").unionByName(rest.where(F.contains("flat", F.col("phrase"))).select("chunk_id", "item_id", *told))
+
+
+def _needs(ask: Asked) -> DataFrame:
+    return ask.queries.select("item_id", *(F.col(n).alias(f"q_{n}") for n in ask.queries.columns if n != "item_id"))
+
+
+def _both(names: list[str], others: list[str] | None = None) -> list[Column]:
+    """What a row's sets share with a query's, of the same name or of ``others``."""
+    return [F.col(n).bitwiseAND(F.col(f"q_{o}")) for n, o in zip(names, others or names)]
 
 
-def close_hits(facts: DataFrame, meant: DataFrame, queries: DataFrame, slots: int) -> DataFrame:
-    """chunk_id, item_id, q: queries with two terms in one paragraph or sentence of a chunk that has several."""
-    parts = facts.where("parts IS NOT NULL").select("chunk_id", F.posexplode("parts").alias("w", "part"))
-    words = parts.select("chunk_id", "w", F.explode(F.array_distinct(words_of(F.col("part")))).alias("token")).join(meant.select("token", "term"), "token")
-    windows = words.groupBy("chunk_id", "w").agg(F.collect_set("term").alias("have")).where(F.size("have") >= 2)
-    windows = windows.withColumn("exact", F.array().cast("array<string>"))
-    found = hits_of(windows, ["chunk_id", "w"], queries, slots)
-    return found.where(_size("found", slots) >= 2).select("chunk_id", "item_id", "q").distinct()
+def _count(sets: list[Column]) -> Column:
+    return sum((F.bit_count(c) for c in sets), F.lit(0))
 
 
-def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None, index: Index | None = None) -> DataFrame:
-    """chunk_id, item_id, score, terms, n_phrases, n_anchors of every chunk that qualifies for an item.
+def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None, index: DataFrame | None = None) -> DataFrame:
+    """chunk_id, item_id, score, terms, n_terms, n_phrases, n_anchors of every chunk that qualifies for an item.
 
     ``chunks``: chunk_id, text. ``items``: item_id, q, query (one row per query). A query qualifies by its
     phrase, by two neighbouring core tokens, or by a paragraph or sentence with two of its core terms.
 
-    ``chunks`` is read once for the index (not at all if ``index`` is given) and once for what is scored,
-    of candidate chunks only. Sets of a query's terms are longs with a bit for each term, so what is
-    grouped by chunk and query has no arrays; windows are counted by a join and not looked through by each query."""
+    ``chunks`` is read once, for the index (not at all if ``index`` is given). What a chunk has of an item is one row of
+    longs, whose bits are the item's terms, queries and anchors; texts are never joined but for phrases of more than four tokens."""
     signals = signals or Signals()
-    index = index or token_index(chunks)
-    queries, meant = meanings(items, index, signals)
-    slots = max(1, -(-(queries.agg(F.max(F.size("terms"))).first()[0] or 0) // 63))
-    have = chunk_terms(index, meant)
-    hits = candidates(have, queries, slots)
-    facts = facts_of(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"), signals)
-    close = close_hits(facts, meant, queries, slots).withColumn("near", F.lit(True))
-    # Queries of words that don't count have a phrase only, and count only beside others.
-    dim = rubric(items, signals)
-    plain = F.transform(F.filter("queries", lambda x: F.size(x["core"]) == 0), lambda x: x["phrase"])
-    dim = stored(dim.select("item_id", "anchors", plain.alias("plain")), "items")
-    texts = facts.select("chunk_id", "flat", F.col("parts").isNull().alias("whole"), "base", "process").join(have.select("chunk_id", "exact"), "chunk_id")
-    met = hits.repartition(dealt(hits), "chunk_id").join(texts.repartition(dealt(hits), "chunk_id"), "chunk_id")
-    met = met.join(queries.select("item_id", "q", "phrase", "pairs", "terms"), ["item_id", "q"]).join(dim, "item_id")
-    # The text is looked into only for words that are all there.
-    same = F.col("same")
-    told = ((_size("same", slots) == F.size("terms")) & F.contains("flat", F.col("phrase"))) | F.exists("pairs", lambda p: _in(p["a"], same) & _in(p["b"], same) & F.contains("flat", p["text"]))
-    there = F.size(F.filter("anchors", lambda a: F.array_contains("exact", a)))
-    n_plain = F.when(F.size("plain") > 0, F.size(F.filter("plain", lambda p: F.contains("flat", p)))).otherwise(0)
-    met = met.select("chunk_id", "item_id", "q", "found", "terms", "whole", "base", "process", told.alias("told"), there.alias("n_anchors"), n_plain.alias("n_plain"))
-    met = met.join(close, ["chunk_id", "item_id", "q"], "left").where(F.col("told") | ((_size("found", slots) >= 2) & (F.col("whole") | F.col("near"))))
-    found = met.withColumn("terms", F.filter("terms", lambda t, i: _in(i, F.col("found"))))
-    found = found.groupBy("chunk_id", "item_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"), (F.count_if("told") + F.max("n_plain")).cast("int").alias("n_phrases"),
-        F.max("base").alias("base"), F.max("process").alias("process"), F.max("n_anchors").alias("n_anchors"),
-    )
+    index = index or token_index(chunks, signals)
+    ask = asked(items, signals)
+    slots, found, told, near = ask.slots, *(_names(ask.slots, k) for k in ("found", "told", "near"))
+    none = lambda have: {n: F.lit(0).cast("long") for n in _names(slots) if n not in have} | {"base": F.lit(None).cast("double"), "process": F.lit(None).cast("boolean")}
+    own = meanings(index.select("chunk_id", "base", "process", F.col("parts").isNull().alias("whole"), F.explode(F.array_distinct("words")).alias("token")), ask)
+    own = own.withColumns({n: F.when(F.col("whole"), F.lit(-1)).otherwise(F.lit(0)).cast("long") for n in near}).drop("whole")
+    met = own.unionByName(told_hits(index, ask).withColumns(none(told))).unionByName(close_hits(index, ask).withColumns(none(near)))
+    met = met.groupBy("chunk_id", "item_id").agg(*(F.bit_or(n).alias(n) for n in _names(slots)), F.max("base").alias("base"), F.max("process").alias("process"))
+    is_told, is_near = (_count(_both(names, told)) > 0 for names in (told, near))
+    met = met.join(_needs(ask), "item_id").where(is_told | ((_count(_both(found)) >= 2) & is_near))
+    same = [*told, "there0", "base", "process"]
+    met = met.groupBy("chunk_id", "item_id").agg(*(F.bit_or(c).alias(n) for n, c in zip(found, _both(found))), *(F.first(n).alias(n) for n in same))
+    met = met.join(ask.items, "item_id")
+    n_terms, n_phrases, n_anchors = (_count([F.col(n) for n in names]) for names in (found, told, ["there0"]))
+    terms = F.filter("all", lambda t, i: _in(i, F.array(*found)))
+    met = met.select("chunk_id", "item_id", terms.alias("terms"), n_terms.alias("n_terms"), n_phrases.alias("n_phrases"), n_anchors.alias("n_anchors"), "base", "process")
     bonus = F.when(F.col("process") & (F.col("n_anchors") > 0), 1.35 + 0.22 * F.least("n_anchors", F.lit(3))).otherwise(0.0)
-    score = F.round(2.1 * F.size("terms") + 0.72 * F.col("n_phrases") + F.col("base") + bonus, 4)
-    return found.select("chunk_id", "item_id", score.alias("score"), "terms", "n_phrases", "n_anchors")
+    score = F.round(2.1 * F.col("n_terms") + 0.72 * F.col("n_phrases") + F.col("base") + bonus, 4)
+    return met.select("chunk_id", "item_id", score.alias("score"), "terms", "n_terms", "n_phrases", "n_anchors")
 
 
 def best(found: DataFrame, key: list[str], k: int, order: list[Column], same: list[str]) -> DataFrame:

@@ -50,10 +50,10 @@ def item_fields(spark, sf):
 @once
 def top(spark, sf):
     """The best documents of each item by the full score, with what a row shows and says."""
-    found = MQ.matched(spark, sf).withColumns({"n_terms": F.size("terms").cast("long"), "n_phrases": F.col("n_phrases").cast("long")})
+    found = MQ.matched(spark, sf).withColumns({"n_terms": F.col("n_terms").cast("long"), "n_phrases": F.col("n_phrases").cast("long")})
     best = stored(E.best(found, ["item_id"], TOP, [F.desc("score"), F.asc("chunk_id")], []).withColumnRenamed("chunk_id", "doc_id"), "best")
     shown = best.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").withColumn("snippet", T.clip(F.col("text"), SNIPPET))
-    kind = D.evidence_kind(F.col("snippet"), F.size("terms") > 0, POSITIVE, NEGATIVE)
+    kind = D.evidence_kind(F.col("snippet"), F.col("n_terms") > 0, POSITIVE, NEGATIVE)
     return shown.select("item_id", "doc_id", "n_terms", "n_phrases", "score", "rank", "snippet", kind.alias("kind"))
 
 
@@ -74,7 +74,7 @@ def phrase_match(spark, sf):
 @query(f"SELECT item_id, doc_id, n_terms, n_phrases, score FROM ({MQ.MATCH})")
 def evidence_score(spark, sf):
     found = MQ.matched(spark, sf)
-    return found.select("item_id", F.col("chunk_id").alias("doc_id"), F.size("terms").cast("long").alias("n_terms"), F.col("n_phrases").cast("long").alias("n_phrases"), "score")
+    return found.select("item_id", F.col("chunk_id").alias("doc_id"), F.col("n_terms").cast("long").alias("n_terms"), F.col("n_phrases").cast("long").alias("n_phrases"), "score")
 
 
 @query(f"SELECT item_id, doc_id, n_terms, n_phrases, score, kind, rank FROM ({_TOP})")

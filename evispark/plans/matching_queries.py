@@ -9,7 +9,7 @@ from evispark.functions import passage as P
 from evispark.functions import text as T
 from evispark.operators import decide as D
 from evispark.operators import evidence as E
-from evispark.plans.registry import once, query, table
+from evispark.plans.registry import query, table
 from evispark.storage import stored
 
 #: Words that occur in the test tables, in the places of the rubric's own patterns.
@@ -96,7 +96,6 @@ def items(spark, sf):
     return tokens.select("item_id", "q", F.array_join(F.slice("t", 4 * F.col("q") + 1, 4), " ").alias("query"))
 
 
-@once
 def matched(spark, sf):
     """Every document and item that meet, with the full score."""
     return E.matches(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), items(spark, sf), SIGNALS)
@@ -106,7 +105,7 @@ def matched(spark, sf):
 def rubric_match(spark, sf):
     found = matched(spark, sf)
     return found.select(
-        F.col("chunk_id").alias("doc_id"), "item_id", F.size("terms").cast("long").alias("n_terms"), F.col("n_phrases").cast("long").alias("n_phrases"), F.col("n_anchors").cast("long").alias("n_anchors"), "score"
+        F.col("chunk_id").alias("doc_id"), "item_id", F.col("n_terms").cast("long").alias("n_terms"), F.col("n_phrases").cast("long").alias("n_phrases"), F.col("n_anchors").cast("long").alias("n_anchors"), "score"
     )
 
 
