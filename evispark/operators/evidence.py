@@ -21,8 +21,8 @@ from evispark.storage import stored
 WORD = r"[\p{L}\p{N}]+"
 PARAGRAPH_BREAK = r"\n\s*\n"
 STEM_LEAST, STEM_TAIL = 5, 6
-#: Letters by which tokens and terms meet: no stem is shorter.
-KEY = STEM_LEAST - 1
+#: First letters by which tokens and terms meet: all of a shorter term, the most that a stem has.
+KEYS = STEM_LEAST - 1, STEM_LEAST
 ANCHORS, ANCHOR_LEAST = 6, 4
 
 
@@ -125,7 +125,7 @@ def asked(items: DataFrame, signals: Signals) -> Asked:
     says = meant.unionByName(anchors).unionByName(single).groupBy("term", "item_id")
     says = stored(says.agg(*(F.bit_or(n).alias(n) for n in _names(slots, "found", "told", "there")), F.max("by_stem").alias("by_stem")), "says")
     stem = F.when(F.max("by_stem"), F.expr("substr(term, 1, length(term) - 1)"))
-    known = says.groupBy("term").agg(stem.alias("stem"), F.substring("term", 1, KEY).alias("key"))
+    known = says.groupBy("term").agg(stem.alias("stem"), F.substring(F.coalesce(stem, F.col("term")), 1, KEYS[1]).alias("key"))
     at = lambda n: F.get("t", F.lit(n)).alias("abcd"[n])
     pairs = F.transform(F.sequence(F.lit(1), F.size("core") - 1), lambda i: F.slice("core", i, 2))
     pairs = queries.where(F.size("core") >= 2).select("item_id", "k", F.explode(F.array_distinct(pairs)).alias("t"))
@@ -141,7 +141,8 @@ def meanings(tokens: DataFrame, ask: Asked) -> DataFrame:
     its last one, plus up to six letters. Tokens and terms meet by their first letters, so no table of all tokens is made."""
     token, tail = F.col("token"), F.expr("substr(token, length(stem) + 1)")
     longer = F.startswith(token, F.col("stem")) & (F.length("token") <= F.length("stem") + STEM_TAIL) & tail.rlike("^[a-z]*$")
-    found = tokens.withColumn("key", F.substring("token", 1, KEY)).join(ask.terms, "key").where((token == F.col("term")) | longer)
+    keys = F.when(F.length("token") > KEYS[0], F.array(*(F.substring("token", 1, k) for k in KEYS))).otherwise(F.array("token"))
+    found = tokens.withColumn("key", F.explode(keys)).join(ask.terms, "key").where((token == F.col("term")) | longer)
     found = found.withColumn("own", token == F.col("term")).drop("key", "token", "stem").join(ask.says, "term")
     return found.withColumns({n: F.when(F.col("own"), F.col(n)).otherwise(F.lit(0).cast("long")) for n in _names(ask.slots, "told", "there")}).drop("own", "term")
 
