@@ -9,7 +9,7 @@ remembered ids. ``tests/llm`` holds this against the library's encoding of whole
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -21,6 +21,9 @@ MEMO = 1_100_000
 #: Chunks encoded in one call: the library's results are far larger than the ids.
 BLOCK = 8192
 
+#: Stands for ids not known yet; ids have four bytes each.
+_UNKNOWN = b"?"
+
 _TRAIL = b",.!?;:"
 _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -98,6 +101,13 @@ class ChunkEncoder:
             b = (t or "").encode()
             # The library lower-cases too; its special tokens are matched before that.
             split.append((b if b"<|" in b else b.lower()).split())
-        self.learn(set().union(*split))
-        get = self.memo.__getitem__
-        return [list(map(get, s)) for s in split]
+        found = [list(map(self.memo.get, s, repeat(_UNKNOWN))) for s in split]
+        gaps = []
+        for words, ids in zip(split, found):
+            for _ in range(ids.count(_UNKNOWN)):
+                at = ids.index(_UNKNOWN, gaps[-1][1] + 1 if gaps and gaps[-1][0] is ids else 0)
+                gaps.append((ids, at, words[at]))
+        self.learn({word for _, _, word in gaps})
+        for ids, at, word in gaps:
+            ids[at] = self.memo[word]
+        return found
