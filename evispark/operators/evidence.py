@@ -8,6 +8,7 @@ are the rubric's own. Every join is an equi-join that the planner may broadcast,
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,9 @@ from evispark import lexicon as L
 from evispark.functions import text as T
 from evispark.storage import stored
 
-WORD = r"[\p{L}\p{N}]+"
+NO_WORD = r"[^\p{L}\p{N}]+"
+#: Patterns that stand for themselves.
+PLAIN = re.compile("[A-Za-z0-9 =_]+")
 PARAGRAPH_BREAK = r"\n\s*\n"
 STEM_LEAST, STEM_TAIL = 5, 6
 #: First letters by which tokens and terms meet: all of a shorter term, the most that a stem has.
@@ -40,7 +43,7 @@ class Signals:
 
 def words_of(text: Column) -> Column:
     """Tokens in order: runs of letters and digits of any script, lower-cased."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
 def joined(tokens: Column) -> Column:
@@ -50,7 +53,8 @@ def joined(tokens: Column) -> Column:
 
 def pattern_count(text: Column, patterns: list[str]) -> Column:
     """How many of the patterns occur."""
-    return sum((F.coalesce(text.rlike(p), F.lit(False)).cast("int") for p in patterns), F.lit(0))
+    found = (F.contains(text, F.lit(p)) if PLAIN.fullmatch(p) else text.rlike(p) for p in patterns)
+    return sum((F.coalesce(x, F.lit(False)).cast("int") for x in found), F.lit(0))
 
 
 def searchable(text: Column, signals: Signals) -> Column:
@@ -94,14 +98,13 @@ class Asked:
     """A rubric as small tables. Sets are columns of longs: ``found``: an item's terms by their place in ``all``; ``told`` and
     ``near``: its queries by their place; ``there``: its anchors.
 
-    ``items``: item_id, all. ``queries``: item_id, and a query's place (``told``) and terms (``found``). ``terms``: key, term, and the
-    ``stem`` by which other tokens mean it. ``says``: term, item_id, the sets of a token that means the term (``told``, ``there``:
-    only of the term itself). ``grams``: four tokens in a row (the last two null if any will do), item_id, told, and the
+    ``items``: item_id, all. ``queries``: item_id, and a query's place (``told``) and terms (``found``).
+    ``says``: key (hash of a term's first letters), term, the ``stem`` by which other tokens mean it, item_id, the sets of a token that
+    means the term (``told``, ``there``: only of the term itself). ``grams``: key (hash of the first two), four tokens in a row (the last two null if any will do), item_id, told, and the
     ``phrase`` that is still to be looked for if four tokens don't settle it (``open``: there are such)."""
 
     items: DataFrame
     queries: DataFrame
-    terms: DataFrame
     says: DataFrame
     grams: DataFrame
     slots: dict[str, int]
@@ -125,26 +128,27 @@ def asked(items: DataFrame, signals: Signals) -> Asked:
     says = meant.unionByName(anchors).unionByName(single).groupBy("term", "item_id")
     says = stored(says.agg(*(F.bit_or(n).alias(n) for n in _names(slots, "found", "told", "there")), F.max("by_stem").alias("by_stem")), "says")
     stem = F.when(F.max("by_stem"), F.expr("substr(term, 1, length(term) - 1)"))
-    known = says.groupBy("term").agg(stem.alias("stem"), F.substring(F.coalesce(stem, F.col("term")), 1, KEYS[1]).alias("key"))
+    known = says.groupBy("term").agg(stem.alias("stem"), F.xxhash64(F.substring(F.coalesce(stem, F.col("term")), 1, KEYS[1])).alias("key"))
+    says = stored(says.drop("by_stem").join(known, "term"), "terms")
     at = lambda n: F.get("t", F.lit(n)).alias("abcd"[n])
     pairs = F.transform(F.sequence(F.lit(1), F.size("core") - 1), lambda i: F.slice("core", i, 2))
     pairs = queries.where(F.size("core") >= 2).select("item_id", "k", F.explode(F.array_distinct(pairs)).alias("t"))
     # A query of core tokens alone has its phrase only where it has a pair.
     whole = queries.where((F.size("tokens") >= 2) & (F.size("core") < F.size("tokens"))).select("item_id", "k", F.col("tokens").alias("t"))
     grams = pairs.unionByName(whole).select(*map(at, range(4)), "item_id", *_set("told", F.col("k"), slots["told"]), F.when(F.size("t") > 4, joined(F.col("t"))).alias("phrase"))
-    grams = stored(grams, "grams")
-    return Asked(each.select("item_id", "all"), stored(masks, "queries"), stored(known, "terms"), says.drop("by_stem"), grams, slots, not grams.where("phrase IS NOT NULL").isEmpty())
+    grams = stored(grams.withColumn("key", F.xxhash64("a", "b")), "grams")
+    return Asked(each.select("item_id", "all"), stored(masks, "queries"), says, grams, slots, not grams.where("phrase IS NOT NULL").isEmpty())
 
 
 def meanings(tokens: DataFrame, ask: Asked) -> DataFrame:
     """``tokens`` with item_id and the sets of what each says: it is a term, or a term of five letters and more without
-    its last one, plus up to six letters. Tokens and terms meet by their first letters, so no table of all tokens is made."""
+    its last one, plus up to six letters. Tokens and terms meet by a hash of their first letters, so no table of all tokens is made."""
     token, tail = F.col("token"), F.expr("substr(token, length(stem) + 1)")
     longer = F.startswith(token, F.col("stem")) & (F.length("token") <= F.length("stem") + STEM_TAIL) & tail.rlike("^[a-z]*$")
-    keys = F.when(F.length("token") > KEYS[0], F.array(*(F.substring("token", 1, k) for k in KEYS))).otherwise(F.array("token"))
-    found = tokens.withColumn("key", F.explode(keys)).join(ask.terms, "key").where((token == F.col("term")) | longer)
-    found = found.withColumn("own", token == F.col("term")).drop("key", "token", "stem").join(ask.says, "term")
-    return found.withColumns({n: F.when(F.col("own"), F.col(n)).otherwise(F.lit(0).cast("long")) for n in _names(ask.slots, "told", "there")}).drop("own", "term")
+    keys = F.when(F.length("token") > KEYS[0], F.array(*(F.xxhash64(F.substring("token", 1, k)) for k in KEYS))).otherwise(F.array(F.xxhash64("token")))
+    found = tokens.withColumn("key", F.explode(keys)).join(ask.says, "key").where((token == F.col("term")) | longer)
+    found = found.withColumn("own", token == F.col("term")).drop("key", "token", "stem", "term")
+    return found.withColumns({n: F.when(F.col("own"), F.col(n)).otherwise(F.lit(0).cast("long")) for n in _names(ask.slots, "told", "there")}).drop("own")
 
 
 def _names(slots: dict[str, int], *which: str) -> list[str]:
@@ -211,9 +215,14 @@ def close_hits(index: DataFrame, ask: Asked) -> DataFrame:
 def told_hits(index: DataFrame, ask: Asked) -> DataFrame:
     """chunk_id, item_id, told: queries whose phrase, or two neighbouring core tokens, occur in a chunk."""
     told = _names(ask.slots, "told")
-    runs = F.arrays_zip("words", *(F.slice("words", n, F.size("words")).alias(f"w{n}") for n in (2, 3, 4)))
-    runs = index.select("chunk_id", F.explode(runs).alias("r")).select("chunk_id", F.col("r.words").alias("a"), F.col("r.w2").alias("b"), F.col("r.w3").alias("x"), F.col("r.w4").alias("y"))
-    found = runs.join(ask.grams, ["a", "b"]).where("(c IS NULL OR c = x) AND (d IS NULL OR d = y)").select("chunk_id", "item_id", *told, "phrase")
+    places = F.explode(F.sequence(F.lit(0), F.size("words") - 2)).alias("i")
+    runs = index.where(F.size("words") >= 2).select("chunk_id", "words", places)
+    word = lambda n: F.get("words", F.col("i") + n)
+    runs = runs.select("chunk_id", F.xxhash64(word(0), word(1)).alias("key"), *(word(n).alias(f"word{n}") for n in range(4)))
+    # Equal, said so that the hash alone is the join's key: a long is looked up faster than two strings.
+    same = [f"startswith(word{n}, {x}) AND octet_length(word{n}) <= octet_length({x})" for n, x in enumerate("ab")]
+    same = " AND ".join([*same, "(c IS NULL OR c = word2)", "(d IS NULL OR d = word3)"])
+    found = runs.join(ask.grams, "key").where(same).select("chunk_id", "item_id", *told, "phrase")
     if not ask.open:
         return found.drop("phrase")
     rest = found.where("phrase IS NOT NULL").distinct().join(index.select("chunk_id", joined(F.col("words")).alias("flat")), "chunk_id")
@@ -250,6 +259,8 @@ def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None,
     own = own.withColumns({n: F.when(F.col("whole"), F.lit(-1)).otherwise(F.lit(0)).cast("long") for n in near}).drop("whole")
     met = own.unionByName(told_hits(index, ask).withColumns(none(told))).unionByName(close_hits(index, ask).withColumns(none(near)))
     met = met.groupBy("chunk_id", "item_id").agg(*(F.bit_or(n).alias(n) for n in _names(slots)), F.max("base").alias("base"), F.max("process").alias("process"))
+    # Most pairs have one term: they are dropped before the item's queries are looked at.
+    met = met.where((_count([F.col(n) for n in told]) > 0) | ((_count([F.col(n) for n in found]) >= 2) & (_count([F.col(n) for n in near]) > 0)))
     is_told, is_near = (_count(_both(names, told)) > 0 for names in (told, near))
     met = met.join(_needs(ask), "item_id").where(is_told | ((_count(_both(found)) >= 2) & is_near))
     same = [*told, "there0", "base", "process"]
