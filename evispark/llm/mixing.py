@@ -31,7 +31,8 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,6 +71,12 @@ class Classifier:
     def __init__(self, domains: list[str], prior: list[float], table: list[list[int]]):
         self.domains, self.prior, self.table = domains, prior, table
 
+    def entries(self, spark: SparkSession) -> DataFrame:
+        """A row for each bucket: _b, and its entry of every domain (_w0, ...). As literals these numbers would be in every
+        text of a plan that the driver keeps."""
+        columns = {"_b": pa.array(range(BUCKETS), pa.int32())}
+        return spark.createDataFrame(pa.table(columns | {f"_w{j}": pa.array(row, pa.int64()) for j, row in enumerate(self.table)}))
+
     def logits(self, evidence: list[Column], tokens: Column, label: Column | None = None) -> Column:
         """array<double> in the order of ``domains`` from the summed table entries of a row's words;
         a ``label`` that is no domain counts for none."""
@@ -121,7 +128,9 @@ def memberships(docs: DataFrame, model: Classifier, *keep: str, label: str | Non
     rows = docs.select(*keep, *own, F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_text"))
     words = rows.withColumn("_word", F.explode(split_words(F.col("_text")))).drop("_text")
     words = words.withColumn("_b", bucket_of(F.col("_word"))).drop("_word")
-    sums = [F.sum(F.get(constant(row, "array<bigint>"), F.col("_b"))).alias(f"_e{j}") for j, row in enumerate(model.table)]
+    if model.domains:
+        words = words.join(F.broadcast(model.entries(docs.sparkSession)), "_b", "left")
+    sums = [F.sum(f"_w{j}").alias(f"_e{j}") for j in range(len(model.table))]
     key = [*keep, *(["_own"] if own else []), "_row"]
     got = words.groupBy(*key).agg(F.count("_b").alias("tokens"), *sums)
     logits = model.logits([F.col(f"_e{j}") for j in range(len(model.table))], F.col("tokens"), F.col("_own") if own else None)
