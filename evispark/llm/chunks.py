@@ -24,8 +24,10 @@ BLOCK = 8192
 #: Stands for ids not known yet; ids have four bytes each.
 _UNKNOWN = b"?"
 
-_TRAIL = b",.!?;:"
+_TRAIL = b",.!?;:%$*#&"
 _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: Second bytes of the letters that begin with C3: sharp s to y with dots, but for the sign of division.
+_LATIN = frozenset(range(0x9F, 0xC0)) - {0xB7}
 
 
 class ChunkEncoder:
@@ -71,13 +73,13 @@ class ChunkEncoder:
     def learn(self, chunks: set[bytes]) -> None:
         """Remember the ids of chunks not seen before.
 
-        A chunk that ends in a letter or digit of ASCII plus sentence punctuation is the ids of its
-        stem plus those of the punctuation, since the tokenizer's pattern splits there.
+        A chunk that ends in a letter of Latin-1 or a digit plus sentence punctuation is the ids of its
+        stem plus those of the punctuation and signs, since the tokenizer's pattern splits there.
         """
         memo, new, stems = self.memo, [], {}
         for c in chunks.difference(memo):
             stem = c.rstrip(_TRAIL)
-            if stem and stem is not c and len(stem) != len(c) and stem[-1] in _PLAIN:
+            if stem and stem is not c and len(stem) != len(c) and (stem[-1] in _PLAIN or stem[-1] in _LATIN and stem[-2:-1] == b"\xc3"):
                 stems[c] = (stem, c[len(stem) :])
             else:
                 new.append(c)

@@ -52,16 +52,16 @@ NAMES = [x.split()[0] for x in PIECES.split(", ")]
 def best_cuts(pos: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
     """Indices of the cheapest cuts of candidates ``pos`` (ascending, from 0, gaps at most ``size``)."""
     m = len(pos) - 1
-    exact: dict[int, list[int]] = {}
-    for p in POWERS:
-        if p < size:
-            at = np.searchsorted(pos, pos - p)
-            for j in np.nonzero((pos >= p) & (pos[np.minimum(at, m)] == pos - p))[0].tolist():
-                exact.setdefault(j, []).append(int(at[j]))
+    place = np.full(int(pos[-1]) + 1, -1)
+    place[pos[::-1]] = np.arange(m, -1, -1)
+    before = [np.where(pos >= p, place[np.maximum(pos - p, 0)], -1) for p in POWERS if p < size]
+    # Of each cut, those a power of two before it: exact[first[j] : first[j + 1]].
+    at, _ = np.nonzero((before := np.array(before, np.int64).reshape(-1, m + 1).T) >= 0)
+    exact, first = before[before >= 0].tolist(), np.searchsorted(at, np.arange(m + 2)).tolist()
     where, cost = pos.tolist(), penalty.tolist()
     best, back = [0] * (m + 1), [0] * (m + 1)
     queue, values, head = [0] * (m + 1), [0] * (m + 1), 0
-    tail, none = 0, ()
+    tail = 0
     for j in range(1, m + 1):
         at, value = where[j], best[j - 1] + where[j - 1]
         while tail > head and values[tail - 1] >= value:
@@ -71,7 +71,7 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[in
         while where[queue[head]] < at - size:
             head += 1
         least, arg = values[head] + size - at, queue[head]
-        for i in exact.get(j, none):
+        for i in exact[first[j] : first[j + 1]]:
             if best[i] < least:
                 least, arg = best[i], i
         best[j], back[j] = least + SEQUENCE_COST + cost[j], arg
