@@ -43,7 +43,11 @@ class Signals:
 
 def words_of(text: Column) -> Column:
     """Tokens in order: runs of letters and digits of any script, lower-cased."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
+    return _words(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _words(low: Column) -> Column:
+    return F.array_remove(F.split(low, NO_WORD), "")
 
 
 def joined(tokens: Column) -> Column:
@@ -59,7 +63,10 @@ def pattern_count(text: Column, patterns: list[str]) -> Column:
 
 def searchable(text: Column, signals: Signals) -> Column:
     """Neither about cookies and subscriptions nor legal small print alone."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return _kept(F.lower(F.coalesce(text, F.lit(""))), signals)
+
+
+def _kept(low: Column, signals: Signals) -> Column:
     legal_only = (pattern_count(low, signals.legal) >= 2) & (pattern_count(low, signals.domain) == 0)
     return ~(pattern_count(low, signals.irrelevant) > 0) & ~legal_only
 
@@ -74,23 +81,31 @@ def rubric(items: DataFrame, signals: Signals) -> DataFrame:
     return found.select("item_id", "queries", F.array_sort(words).alias("all"), F.slice(anchors, 1, ANCHORS).alias("anchors"))
 
 
+def dealt_out(chunks: DataFrame) -> DataFrame:
+    """``chunks`` by a hash of chunk_id, in parts that the planner sizes: a table of one file, or of one group of rows
+    a file, is read by one task, and what is then done with its texts must not stay there."""
+    return chunks.repartition("chunk_id")
+
+
 def token_index(chunks: DataFrame, signals: Signals | None = None) -> DataFrame:
     """The searchable ``chunks`` (chunk_id, text) as tokens, written once: chunk_id, words (in order), parts, base, process.
 
     ``parts`` are the paragraphs, and the sentences that go beyond one (any other is inside a paragraph); null for a
     text of one paragraph, which is a window itself. ``base`` and ``process`` are what the score reads of the text alone."""
     signals = signals or Signals()
-    low = F.lower("text")
+    low, kept = F.col("low"), F.col("kept")
     paragraphs = F.filter(F.split("text", PARAGRAPH_BREAK), lambda p: T.strip(p) != "")
     beyond = F.filter(F.split("text", T.SENTENCE_BREAK), lambda s: s.rlike(PARAGRAPH_BREAK))
-    kept = chunks.where(searchable(F.col("text"), signals)).select(
+    # Columns of their own: lower-casing is dear. No filter: it would be moved before the dealing, to the few tasks that read.
+    rows = dealt_out(chunks).select("chunk_id", "text", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    rows = rows.withColumn("kept", _kept(low, signals)).select(
         "chunk_id",
-        words_of(F.col("text")).alias("words"),
-        F.when(F.col("text").rlike(PARAGRAPH_BREAK), F.when(F.size(paragraphs) > 1, F.concat(paragraphs, beyond))).alias("parts"),
-        (0.25 * pattern_count(low, signals.domain) - 0.14 * pattern_count(low, signals.legal) - 0.18 * F.greatest(F.lit(0.0), T.nav_balance(F.col("text")))).alias("base"),
-        (pattern_count(low, signals.process) > 0).alias("process"),
+        F.when(kept, _words(low)).alias("words"),
+        F.when(kept & F.col("text").rlike(PARAGRAPH_BREAK), F.when(F.size(paragraphs) > 1, F.concat(paragraphs, beyond))).alias("parts"),
+        F.when(kept, 0.25 * pattern_count(low, signals.domain) - 0.14 * pattern_count(low, signals.legal) - 0.18 * F.greatest(F.lit(0.0), T.nav_balance(F.col("text")))).alias("base"),
+        F.when(kept, pattern_count(low, signals.process) > 0).alias("process"),
     )
-    return stored(kept, "index")
+    return stored(rows, "index").where("words IS NOT NULL")
 
 
 @dataclass
