@@ -27,6 +27,8 @@ STEM_LEAST, STEM_TAIL = 5, 6
 #: First letters by which tokens and terms meet: all of a shorter term, the most that a stem has.
 KEYS = STEM_LEAST - 1, STEM_LEAST
 ANCHORS, ANCHOR_LEAST = 6, 4
+#: The index's own columns.
+INDEX = ["chunk_id", "words", "parts", "base", "process"]
 
 
 @dataclass
@@ -81,14 +83,26 @@ def rubric(items: DataFrame, signals: Signals) -> DataFrame:
     return found.select("item_id", "queries", F.array_sort(words).alias("all"), F.slice(anchors, 1, ANCHORS).alias("anchors"))
 
 
-def dealt_out(chunks: DataFrame) -> DataFrame:
-    """``chunks`` by a hash of chunk_id, in parts that the planner sizes: a table of one file, or of one group of rows
+def dealt_out(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``chunks`` by a hash of ``key``, in parts that the planner sizes: a table of one file, or of one group of rows
     a file, is read by one task, and what is then done with its texts must not stay there."""
-    return chunks.repartition("chunk_id")
+    return chunks.repartition(key)
 
 
-def token_index(chunks: DataFrame, signals: Signals | None = None) -> DataFrame:
-    """The searchable ``chunks`` (chunk_id, text) as tokens, written once: chunk_id, words (in order), parts, base, process.
+def token_index(chunks: DataFrame, signals: Signals | None = None, carried: dict[str, Column] | None = None, dealt: bool = False) -> DataFrame:
+    """The searchable ``chunks`` as ``index_rows``, written once."""
+    return searchable_of(stored(index_rows(chunks, signals, carried, dealt), "index"))
+
+
+def searchable_of(rows: DataFrame) -> DataFrame:
+    """The rows of the searchable chunks of a table of ``index_rows``."""
+    return rows.where("process IS NOT NULL")
+
+
+def index_rows(chunks: DataFrame, signals: Signals | None = None, carried: dict[str, Column] | None = None, dealt: bool = False) -> DataFrame:
+    """The ``chunks`` (chunk_id, text) as tokens: chunk_id, words (in order), parts, base, process, and ``carried``: what is said of
+    a chunk's ``text`` besides, which ``matches`` hands on. All null but for these and chunk_id where a chunk isn't searchable.
+    ``dealt``: the chunks have been dealt out already.
 
     ``parts`` are the paragraphs, and the sentences that go beyond one (any other is inside a paragraph); null for a
     text of one paragraph, which is a window itself. ``base`` and ``process`` are what the score reads of the text alone."""
@@ -97,15 +111,15 @@ def token_index(chunks: DataFrame, signals: Signals | None = None) -> DataFrame:
     paragraphs = F.filter(F.split("text", PARAGRAPH_BREAK), lambda p: T.strip(p) != "")
     beyond = F.filter(F.split("text", T.SENTENCE_BREAK), lambda s: s.rlike(PARAGRAPH_BREAK))
     # Columns of their own: lower-casing is dear. No filter: it would be moved before the dealing, to the few tasks that read.
-    rows = dealt_out(chunks).select("chunk_id", "text", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    rows = rows.withColumn("kept", _kept(low, signals)).select(
+    rows = (chunks if dealt else dealt_out(chunks)).select("chunk_id", "text", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return rows.withColumn("kept", _kept(low, signals)).select(
         "chunk_id",
         F.when(kept, _words(low)).alias("words"),
         F.when(kept & F.col("text").rlike(PARAGRAPH_BREAK), F.when(F.size(paragraphs) > 1, F.concat(paragraphs, beyond))).alias("parts"),
         F.when(kept, 0.25 * pattern_count(low, signals.domain) - 0.14 * pattern_count(low, signals.legal) - 0.18 * F.greatest(F.lit(0.0), T.nav_balance(F.col("text")))).alias("base"),
         F.when(kept, pattern_count(low, signals.process) > 0).alias("process"),
+        *(c.alias(n) for n, c in (carried or {}).items()),
     )
-    return stored(rows, "index").where("words IS NOT NULL")
 
 
 @dataclass
@@ -258,7 +272,7 @@ def _count(sets: list[Column]) -> Column:
 
 
 def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None, index: DataFrame | None = None) -> DataFrame:
-    """chunk_id, item_id, score, terms, n_terms, n_phrases, n_anchors of every chunk that qualifies for an item.
+    """chunk_id, item_id, score, terms, n_terms, n_phrases, n_anchors of every chunk that qualifies for an item, and what the index carries.
 
     ``chunks``: chunk_id, text. ``items``: item_id, q, query (one row per query). A query qualifies by its
     phrase, by two neighbouring core tokens, or by a paragraph or sentence with two of its core terms.
@@ -269,24 +283,26 @@ def matches(chunks: DataFrame, items: DataFrame, signals: Signals | None = None,
     index = index or token_index(chunks, signals)
     ask = asked(items, signals)
     slots, found, told, near = ask.slots, *(_names(ask.slots, k) for k in ("found", "told", "near"))
-    none = lambda have: {n: F.lit(0).cast("long") for n in _names(slots) if n not in have} | {"base": F.lit(None).cast("double"), "process": F.lit(None).cast("boolean")}
-    own = meanings(index.select("chunk_id", "base", "process", F.col("parts").isNull().alias("whole"), F.explode(F.array_distinct("words")).alias("token")), ask)
+    carried = [n for n in index.columns if n not in INDEX]
+    known = {n: kind for n, kind in index.dtypes if n in ("base", "process", *carried)}
+    none = lambda have: {n: F.lit(0).cast("long") for n in _names(slots) if n not in have} | {n: F.lit(None).cast(kind) for n, kind in known.items()}
+    own = meanings(index.select("chunk_id", *known, F.col("parts").isNull().alias("whole"), F.explode(F.array_distinct("words")).alias("token")), ask)
     own = own.withColumns({n: F.when(F.col("whole"), F.lit(-1)).otherwise(F.lit(0)).cast("long") for n in near}).drop("whole")
     met = own.unionByName(told_hits(index, ask).withColumns(none(told))).unionByName(close_hits(index, ask).withColumns(none(near)))
-    met = met.groupBy("chunk_id", "item_id").agg(*(F.bit_or(n).alias(n) for n in _names(slots)), F.max("base").alias("base"), F.max("process").alias("process"))
+    met = met.groupBy("chunk_id", "item_id").agg(*(F.bit_or(n).alias(n) for n in _names(slots)), *(F.max(n).alias(n) for n in known))
     # Most pairs have one term: they are dropped before the item's queries are looked at.
     met = met.where((_count([F.col(n) for n in told]) > 0) | ((_count([F.col(n) for n in found]) >= 2) & (_count([F.col(n) for n in near]) > 0)))
     is_told, is_near = (_count(_both(names, told)) > 0 for names in (told, near))
     met = met.join(_needs(ask), "item_id").where(is_told | ((_count(_both(found)) >= 2) & is_near))
-    same = [*told, "there0", "base", "process"]
+    same = [*told, "there0", *known]
     met = met.groupBy("chunk_id", "item_id").agg(*(F.bit_or(c).alias(n) for n, c in zip(found, _both(found))), *(F.first(n).alias(n) for n in same))
     met = met.join(ask.items, "item_id")
     n_terms, n_phrases, n_anchors = (_count([F.col(n) for n in names]) for names in (found, told, ["there0"]))
     terms = F.filter("all", lambda t, i: _in(i, F.array(*found)))
-    met = met.select("chunk_id", "item_id", terms.alias("terms"), n_terms.alias("n_terms"), n_phrases.alias("n_phrases"), n_anchors.alias("n_anchors"), "base", "process")
+    met = met.select("chunk_id", "item_id", terms.alias("terms"), n_terms.alias("n_terms"), n_phrases.alias("n_phrases"), n_anchors.alias("n_anchors"), *known)
     bonus = F.when(F.col("process") & (F.col("n_anchors") > 0), 1.35 + 0.22 * F.least("n_anchors", F.lit(3))).otherwise(0.0)
     score = F.round(2.1 * F.col("n_terms") + 0.72 * F.col("n_phrases") + F.col("base") + bonus, 4)
-    return met.select("chunk_id", "item_id", score.alias("score"), "terms", "n_terms", "n_phrases", "n_anchors")
+    return met.select("chunk_id", "item_id", score.alias("score"), "terms", "n_terms", "n_phrases", "n_anchors", *carried)
 
 
 def best(found: DataFrame, key: list[str], k: int, order: list[Column], same: list[str]) -> DataFrame:

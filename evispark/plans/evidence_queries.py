@@ -60,7 +60,7 @@ def top(spark, sf):
 def status(spark, sf):
     """item_id, status, n_rows: items without rows are told apart by whether there was anything to search."""
     first = top(spark, sf).groupBy("item_id").agg(F.max(F.when(F.col("rank") == 1, F.col("kind"))).alias("kind"), F.count(F.lit(1)).alias("n"))
-    searched = table(spark, sf, "documents").where(E.searchable(F.col("text"), MQ.SIGNALS)).agg(F.count(F.lit(1)).alias("searched"))
+    searched = MQ.searched(spark, sf).agg(F.count(F.lit(1)).alias("searched"))
     found = MQ.rubric(spark, sf).select("item_id").join(first, "item_id", "left").crossJoin(searched)  # one row
     return found.select("item_id", D.retrieval_status(F.col("kind"), F.col("searched")).alias("status"), F.coalesce("n", F.lit(0)).alias("n_rows"))
 

@@ -9,7 +9,7 @@ from evispark.functions import passage as P
 from evispark.functions import text as T
 from evispark.operators import decide as D
 from evispark.operators import evidence as E
-from evispark.plans.registry import query, table
+from evispark.plans.registry import once, query, table
 from evispark.storage import stored
 
 #: Words that occur in the test tables, in the places of the rubric's own patterns.
@@ -96,9 +96,24 @@ def items(spark, sf):
     return tokens.select("item_id", "q", F.array_join(F.slice("t", 4 * F.col("q") + 1, 4), " ").alias("query"))
 
 
+@once
+def index(spark, sf):
+    """Whole documents as tokens."""
+    return E.index_rows(documents(spark, sf), SIGNALS)
+
+
+def documents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def searched(spark, sf):
+    """The documents that are searched, by what was written of them."""
+    return E.searchable_of(index(spark, sf))
+
+
 def matched(spark, sf):
     """Every document and item that meet, with the full score."""
-    return E.matches(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), items(spark, sf), SIGNALS)
+    return E.matches(documents(spark, sf), items(spark, sf), SIGNALS, searched(spark, sf))
 
 
 @query(MATCH)
