@@ -176,10 +176,13 @@ _PASSAGES = rf"""
 """
 
 
-def pieces(spark, sf):
-    """chunk_id, text, document, start, end of each stretch of ``PIECE`` characters."""
+def pieces(spark, sf, chunks=None):
+    """chunk_id, text, document, start, end of each stretch of ``PIECE`` characters; of the documents of ``chunks`` only, if given."""
     size = F.length("text")
-    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(PIECE))).alias("start"))
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    if chunks:
+        docs = docs.join(chunks.select(F.expr(f"(chunk_id - pmod(chunk_id, {MOST_PIECES})) div {MOST_PIECES}").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    docs = E.dealt_out(docs, "doc_id").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(PIECE))).alias("start"))
     number = F.col("doc_id") * MOST_PIECES + F.floor(F.col("start") / PIECE)
     return docs.select(number.alias("chunk_id"), F.substring("text", F.col("start") + 1, F.lit(PIECE)).alias("text"), F.col("text").alias("document"), "start", F.least(F.col("start") + PIECE, F.length("text")).alias("end"))
 
@@ -189,15 +192,15 @@ def snippets(spark, sf):
 
     A chunk whose first two paragraphs have ``LEAST`` characters surely shows a passage as long, so only
     an item's six best such chunks, and short ones that score as well, are looked at."""
-    whole = pieces(spark, sf)
-    chunks = whole.select("chunk_id", "text")
+    chunks = pieces(spark, sf).select("chunk_id", "text")
     sure = F.length(P.fallback(F.coalesce("text", F.lit("")))) >= LEAST
-    found = stored(E.matches(chunks, items(spark, sf), SIGNALS).join(chunks.select("chunk_id", sure.alias("sure")), "chunk_id"), "scored")
+    found = stored(E.matches(chunks, items(spark, sf), SIGNALS, E.token_index(chunks, SIGNALS, {"sure": sure}, dealt=True)), "scored")
     order = [F.desc("score"), F.asc("chunk_id")]
     first = E.best(found.where("sure"), ["item_id"], TOP, order, []).drop("rank")
     bar = first.groupBy("item_id").agg(F.when(F.count(F.lit(1)) >= TOP, F.min("score")).alias("bar"))
     short = found.where("NOT sure").join(bar, "item_id", "left").where("bar IS NULL OR score >= bar").drop("bar")
-    rows = P.best(stored(first.unionByName(short), "looked_at").join(whole, "chunk_id"))
+    seen = stored(first.unionByName(short), "looked_at")
+    rows = P.best(seen.join(pieces(spark, sf, seen), "chunk_id"))
     rows = rows.where(F.length("snippet") >= LEAST).withColumn("kind", D.evidence_kind(F.col("snippet"), F.lit(True)))
     return E.best(rows, ["item_id"], TOP, order, ["chunk_id", "snippet"])
 
